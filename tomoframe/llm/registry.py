@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomoframe.llm import exact_dedup, licenses, sharding
+from tomoframe.llm import exact_dedup, html_extract, licenses, ngram_join, ordinal_quality, packing, pieces, quality_rules, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_balanced_label_propagation": sharding.op2_balanced_label_propagation,
+        "op3_ordinal_quality": ordinal_quality.op3_ordinal_quality,
+        "op4_subsequence_kernel_svm": toxicity.op4_subsequence_kernel_svm,
+        "op5_token_group_matrix": ngram_join.op5_token_group_matrix,
+        "op6_recurrent_block_labeller": html_extract.op6_recurrent_block_labeller,
         "op7_license_scan": licenses.op7_license_scan,
+        "op8_bounded_space_packing": packing.op8_bounded_space_packing,
+        "op9_sentencepiece_agenda": pieces.op9_sentencepiece_agenda,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": licenses.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op7_license_scan": licenses.SQL, "op10_exact_dedup": exact_dedup.SQL}
