@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomoframe.functions.cluster import ship
+
 #: Bytes of text that a slice holds at most (one longer text makes a slice of its own).
 SLICE_BYTES = 4 << 20
 
@@ -32,6 +34,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string, null as empty): all that a text operator reads."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
@@ -114,6 +117,7 @@ class WordHasher:
 
 def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text (null as empty) make()(texts) marks true: a filter without a join."""
+    ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

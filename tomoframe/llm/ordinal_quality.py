@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomoframe.functions.cluster import ship
 from tomoframe.llm import arrow_text, shared
 
 WORD_BITS = 14
@@ -85,6 +86,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = GRADES, max_docs: i
     """Fits on at most max_docs rated documents of each grade, none held out; the driver gets their hashed features."""
     from tomoframe.llm.toxicity import held_out
 
+    ship(docs.sparkSession)
     usable = ratings.where(~held_out()).groupBy("doc_id").agg(F.max("grade").alias("grade"))
     chosen = None
     for g in range(grades):

@@ -3,17 +3,18 @@
 Words are compared by their subsequences of three characters within a short
 span, each weighted by a decay for its span, so gaps and inserted characters
 cost little.  The kernel of a word and a landmark is raised to a power, which
-keeps near matches and drops chance ones; that of a sentence is the sum over
-its words.  Landmarks are the words that tell toxic training documents best,
-and the commonest words.  A linear support vector machine is trained on the
-Nyström features of labelled sentences: a toxic document is a bag whose
-strongest sentence is its example, a clean one gives its strongest as counter
-examples.  A document's score is that of its strongest sentence, through a
-fitted sigmoid.
+keeps near matches and drops chance ones; a sentence counts by its strongest
+words.  Landmarks are the words that tell toxic training documents best, and
+the commonest words.  A linear support vector machine is trained on the
+Nyström features of labelled sentences: those of a toxic document that hold
+evidence are its examples, the strongest of clean documents the counter
+examples.  A document's score is that of the strongest words of its
+sentences, through a fitted sigmoid.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 from collections.abc import Iterator
@@ -24,14 +25,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomoframe.functions.cluster import ship
 from tomoframe.llm import arrow_text, shared
 
 #: Longest span of a subsequence of three characters, decay for each character of the span, power of the kernel.
 SPAN, DECAY, POWER = 5, 0.6, 3
-#: Bounds of the training sample: labelled documents of each class, and sentences kept of each.
+#: Bounds of the training sample: labelled documents of each class, and examples kept of each.
 MAX_DOCS, MAX_SENTENCES = 3000, 4
 LANDMARKS, COMMON_LANDMARKS = 160, 32
+#: Evidence that a landmark needs: log-likelihood ratio, and toxic documents for each clean one that holds the word.
+MIN_RATIO, MIN_ODDS = 5.0, 1.0
+#: Kernel value to a telling landmark that a toxic document's sentence must reach to be an example.
+MIN_EVIDENCE = 0.3
 THRESHOLD = 0.7
+#: A document's strongest words that its score looks at.
+TOP = 3
 
 _STEPS = [(i, j) for i, j in itertools.combinations(range(1, SPAN), 2)]
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
@@ -114,12 +122,12 @@ class SubsequenceKernel:
 
 @dataclass
 class ToxicityModel:
-    """Landmarks, one weight for each, the bias, and the sigmoid's two numbers."""
+    """Landmarks, one weight for each, the bias, and the sigmoid's slopes for the TOP strongest words and its shift."""
 
     landmarks: list[str]
     weight: np.ndarray
     bias: float
-    slope: float = 1.0
+    slope: np.ndarray = field(default_factory=lambda: np.eye(1, TOP)[0])
     shift: float = 0.0
     _cache: dict[str, float] = field(default_factory=dict, repr=False)
 
@@ -137,25 +145,25 @@ class ToxicityModel:
             self._cache.update(zip(part, (self._kernel(part) @ self.weight).tolist(), strict=True))
 
     def decisions(self, texts: list[str]) -> np.ndarray:
-        """The margin of each text's strongest sentence; the bias for a text without words."""
-        cut = [sentences(t) for t in texts]
-        flat = [s for doc in cut for s in doc]
-        if not flat:
-            return np.full(len(texts), self.bias)
-        words = list(itertools.chain.from_iterable(flat))
+        """Margins, within -1 and 1, of each text's TOP strongest words; the bias where there is none."""
+        cut = [list(itertools.chain.from_iterable(sentences(t))) for t in texts]
+        out = np.full((len(texts), TOP), self.bias)
+        words = list(itertools.chain.from_iterable(cut))
+        if not words:
+            return np.clip(out, -1, 1)
         self._words(set(words))
-        per = np.fromiter(map(self._cache.__getitem__, words), np.float64, len(words))
-        starts = np.concatenate(([0], np.cumsum([len(s) for s in flat])[:-1]))
-        sums = np.add.reduceat(per, starts) + self.bias
-        out, at = np.full(len(texts), self.bias), 0
+        per = np.fromiter(map(self._cache.__getitem__, words), np.float64, len(words)) + self.bias
+        at = 0
         for i, doc in enumerate(cut):
-            if doc:
-                out[i] = sums[at : at + len(doc)].max()
-                at += len(doc)
-        return out
+            own = per[at : at + len(doc)]
+            if len(own) > TOP:
+                own = np.partition(own, len(own) - TOP)[-TOP:]
+            out[i, : len(own)] = np.sort(own)[::-1]
+            at += len(doc)
+        return np.clip(out, -1, 1)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        z = np.clip(self.slope * self.decisions(texts) + self.shift, -40, 40)
+        z = np.clip(self.decisions(texts) @ self.slope + self.shift, -40, 40)
         return 1 / (1 + np.exp(-z))
 
 
@@ -164,9 +172,14 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labelled documents that training may use."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(doc_id, toxic, text) of at most max_docs labelled documents of each class, none of them held out."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = usable_labels(labels)
     picked = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs) for k in (0, 1)]
     chosen = picked[0].unionByName(picked[1])  # at most 2 * max_docs rows
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -177,7 +190,7 @@ def _clean_word(w: str) -> str:
     return w.strip(".,;:!?'\"()[]{}<>-_*#$%&|")
 
 
-def _landmarks(sample: DataFrame, n: int, common: int) -> list[str]:
+def _landmarks(sample: DataFrame, n: int, common: int) -> tuple[list[str], list[str]]:
     """Words by the signed likelihood ratio of their document counts in the two classes, and the commonest words."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +206,9 @@ def _landmarks(sample: DataFrame, n: int, common: int) -> list[str]:
     g2 = F.col("a") * F.log((F.col("a") + 0.5) / (rate * n1 + 0.5)) + F.col("b") * F.log((F.col("b") + 0.5) / (rate * n0 + 0.5))
     counts = counts.withColumn("g2", F.when(F.col("a") * n0 > F.col("b") * n1, g2).otherwise(-g2))
     counts = shared.stage_table(counts, "words")
-    best = [r["word"] for r in counts.where("a > 1").orderBy(F.desc("g2"), "word").limit(n).collect()]
+    best = [r["word"] for r in counts.where((F.col("a") > 1) & (F.col("g2") >= MIN_RATIO) & (F.col("a") >= MIN_ODDS * F.col("b"))).orderBy(F.desc("g2"), "word").limit(n).collect()]
     often = [r["word"] for r in counts.orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(common).collect()]
-    return list(dict.fromkeys(best + often))
+    return best, [w for w in often if w not in best]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -213,19 +226,16 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> tu
     return w[:-1], float(w[-1])
 
 
-def _sigmoid_fit(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve of y over f, by damped Newton steps."""
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
-        s = p * (1 - p)
-        g = np.array([((p - y) * f).sum() + 1e-2 * a, (p - y).sum() + 1e-3 * b])
-        h = np.array([[(s * f * f).sum() + 1e-2, (s * f).sum()], [(s * f).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-8:
-            break
-    return float(a), float(b)
+def _sigmoid_fit(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes, none below 0, and shift of the logistic curve of y over the columns of f, by projected gradient steps."""
+    w, b = np.full(f.shape[1], 0.5), 0.0
+    total = weight.sum()
+    for _ in range(4000):
+        p = 1 / (1 + np.exp(-np.clip(f @ w + b, -30, 30)))
+        e = weight * (p - y) / total
+        w = np.maximum(0.0, w - 1.0 * (f.T @ e + 1e-4 * w))
+        b -= 1.0 * (e.sum() + 1e-5 * b)
+    return w, float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, landmarks: int = LANDMARKS, common: int = COMMON_LANDMARKS) -> ToxicityModel:
@@ -233,12 +243,17 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, landmark
 
     Without a toxic and a clean training document the model scores all texts 0.
     """
+    ship(docs.sparkSession)
     sample = shared.stage_table(training_sample(docs, labels, max_docs), "labelled")
-    kinds = {r[0] for r in sample.select("toxic").distinct().collect()}
-    if kinds != {0, 1}:
+    have = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    all_of = {r["toxic"]: r["n"] for r in usable_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if set(have) != {0, 1}:
+        return ToxicityModel([], np.zeros(0), -40.0)
+    best, often = _landmarks(sample, landmarks, common)
+    if not best:
         return ToxicityModel([], np.zeros(0), -40.0)
-    marks = _landmarks(sample, landmarks, common)
-    m = len(marks)
+    marks = best + often
+    m, told = len(marks), len(best)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = SubsequenceKernel(marks)
@@ -248,10 +263,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, landmark
                 words = sorted({w for s in cut for w in s})
                 at = {w: i for i, w in enumerate(words)}
                 values = kernel(words)
-                peak = values.max(1) if m and words else np.zeros(len(words))
-                # the sentences with the strongest single words
-                top = sorted(cut, key=lambda s: -max((peak[at[w]] for w in s), default=0))[:MAX_SENTENCES]
-                rows = [values[[at[w] for w in s]].sum(0) if s else np.zeros(m, np.float32) for s in top]
+                peak = values[:, :told].max(1) if words else np.zeros(len(words))
+                # the sentences' strongest words, each an example of its sentence
+                top = heapq.nlargest(MAX_SENTENCES, (at[w] for s in cut for w in s), key=peak.__getitem__)
+                rows = [values[i] for i in top] or [np.zeros(m, np.float32)]
                 yield pa.RecordBatch.from_pydict({"doc": pa.array([doc] * len(rows), pa.int64()), "toxic": pa.array([int(toxic)] * len(rows), pa.int32()), "x": pa.array([r.astype(np.float32) for r in rows], pa.list_(pa.float32()))})
 
     got = sample.select("toxic", F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(features, "doc long, toxic int, x array<float>").orderBy("doc", "toxic").toArrow()
@@ -263,21 +278,23 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, landmark
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     x = raw @ root
     bag = np.unique(doc, return_inverse=True)[1]
-    score = raw[:, : max(1, m - common)].max(1)
-    w, b = np.zeros(m), 0.0
-    n1, n0 = len(np.unique(bag[y == 1])), len(np.unique(bag[y == 0]))
-    for _ in range(3):
-        order = np.lexsort((-score, bag))
-        head = order[np.concatenate(([True], bag[order][1:] != bag[order][:-1]))]
-        use = np.concatenate([head[y[head] == 1], np.flatnonzero(y == 0)])
-        cost = np.where(y[use] == 1, 1.0, 1.0 * max(1, n1) / max(1, n0) / MAX_SENTENCES * 2)
-        w, b = _svm(x[use], np.where(y[use] == 1, 1.0, -1.0), cost)
-        score = x @ w + b
-    best = np.full(bag.max() + 1, -np.inf)
-    np.maximum.at(best, bag, score)
+    score = raw[:, :told].max(1)
+    use = np.flatnonzero((y == 0) | (score >= MIN_EVIDENCE))
+    # a sampled document stands for its share of its class
+    stands = np.array([all_of[k] / have[k] for k in (0, 1)])
+    cost = 10.0 * (stands / stands[1])[y[use]]
+    cost[y[use] == 1] /= np.bincount(bag[use])[bag[use]][y[use] == 1]
+    w, b = _svm(x[use], np.where(y[use] == 1, 1.0, -1.0), cost)
+    score = x @ w + b
+    strongest = np.full((bag.max() + 1, TOP), b)
     truth = np.zeros(bag.max() + 1)
     truth[bag] = y
-    slope, shift = _sigmoid_fit(best, truth)
+    order = np.lexsort((-score, bag))
+    place = np.arange(len(order)) - np.searchsorted(bag[order], bag[order])
+    head = order[place < TOP]
+    strongest[bag[head], place[place < TOP]] = score[head]
+    strongest = np.clip(strongest, -1, 1)
+    slope, shift = _sigmoid_fit(strongest, truth, stands[truth.astype(int)])
     return ToxicityModel(marks, root @ w, b, slope, shift)
 
 
