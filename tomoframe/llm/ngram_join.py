@@ -17,7 +17,7 @@ three times, ever finer, and every step is exact:
    bounded by the union of all other groups, again by token range.
 3. What is left is joined to the (token, group) matrix by its rarest tokens,
    bounded by the union of each group found, and compared with the members of
-   the groups that qualify.
+   the groups that qualify, until one links.
 
 Results are one row per document with its component, so a large group of
 copies or near copies costs rows, not pairs.
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomoframe.llm import arrow_text, shared
@@ -220,10 +220,10 @@ def _token_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, n long, tokens array<long>, keys array<long>")
 
 
-def _linked(percent: int):  # noqa: ANN202
-    """Condition that token arrays ta and tb of sizes na and nb link."""
-    both = F.size(F.array_intersect("ta", "tb"))
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (100 * both >= percent * (F.col("na") + F.col("nb") - both))
+def _linked(percent: int, ta: Column, na: Column, tb: Column, nb: Column) -> Column:
+    """Condition that token sets ta and tb of sizes na and nb link."""
+    both = F.size(F.array_intersect(ta, tb))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * both >= percent * (na + nb - both))
 
 
 def _pivot_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _pivot_links(sets: DataFrame, percent: int) -> DataFrame:
     pairs = keyed.join(pivots, ["k", "key"]).where("rep <> pivot").select("rep", "pivot").distinct()
     a = sets.select("rep", F.col("n").alias("na"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("rep").alias("pivot"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(a, "rep").join(b, "pivot").where(_linked(percent)).select(F.col("rep").alias("src"), F.col("pivot").alias("dst"))
+    return pairs.join(a, "rep").join(b, "pivot").where(_linked(percent, F.col("ta"), F.col("na"), F.col("tb"), F.col("nb"))).select(F.col("rep").alias("src"), F.col("pivot").alias("dst"))
 
 
 def _matrix_links(left: DataFrame, percent: int) -> DataFrame:
@@ -259,11 +259,12 @@ def _matrix_links(left: DataFrame, percent: int) -> DataFrame:
     index = index.groupBy("token", "label", "part").agg(F.min("n").alias("small"), F.max("n").alias("large"))
     fits = (F.col("lq") != F.col("label")) & (F.col("small") <= F.col("nq")) & (100 * F.col("large") >= percent * F.col("nq"))
     found = probe.join(index, "token").where(fits).select("rep", "label", "part").distinct()
-    union = members.groupBy("label", "part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tb"), F.collect_list(F.struct("rep", "n", "tokens")).alias("held"))
+    union = members.groupBy("label", "part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tb"), F.collect_list(F.struct("n", "tokens")).alias("held"))
     query = left.select("rep", F.col("n").alias("na"), F.col("tokens").alias("ta"))
     bound = found.join(query, "rep").join(union, ["label", "part"]).where(100 * F.size(F.array_intersect("ta", "tb")) >= percent * F.col("na"))
-    opened = bound.select("rep", "na", "ta", F.explode("held").alias("m")).select("rep", "na", "ta", F.col("m.rep").alias("other"), F.col("m.n").alias("nb"), F.col("m.tokens").alias("tb"))
-    return opened.where(_linked(percent)).select(F.col("rep").alias("src"), F.col("other").alias("dst"))
+    # members of a group are linked among themselves already, so one link to any of them joins the query to all
+    opened = bound.where(F.exists("held", lambda m: _linked(percent, F.col("ta"), F.col("na"), m["tokens"], m["n"])))
+    return opened.select(F.col("rep").alias("src"), F.col("label").alias("dst"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
