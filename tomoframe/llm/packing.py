@@ -12,7 +12,9 @@ tasks.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,12 @@ _PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ſ]+|
 _NOT_PLAIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ſ]")
 
 
+def _little(ids: array) -> bytes:
+    if sys.byteorder != "little":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 class ByteEncoder:
     """Ids by the tokenizers library, as little-endian unsigned 32-bit bytes.
 
@@ -40,7 +48,7 @@ class ByteEncoder:
     library whole.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000) -> None:
+    def __init__(self, path: str, cache_words: int = 600_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,24 +58,37 @@ class ByteEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.most = cache_words
+        # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(rest)}
+        trial = [" the", "Straße", "\n\n", "12", " don", "'t", "naïve", "...", " \x01"]
+        if self._words(trial) != self._library(trial):
+            self._words = self._library  # not a byte-level vocabulary
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words by the library's merge model alone, which skips splitting them again."""
+        model, alphabet = self.library.model, self.alphabet
+        return [_little(array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(alphabet))])) for w in words]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)]
+        return [_little(array("I", e.ids)) for e in batch(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if _NOT_PLAIN.search(text) or any(s in text for s in self.special):
-            return self._library([text])[0]
-        words = _PLAIN_WORDS.findall(text)
+    def batch(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; new words of all texts go to the library in one call."""
+        cut = [None if _NOT_PLAIN.search(t) or any(s in t for s in self.special) else _PLAIN_WORDS.findall(t) for t in texts]
         cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            if len(cache) > self.most:
-                cache.clear()
-            new = [w for w in set(words) if w not in cache]
-            cache.update(zip(new, self._library(new), strict=True))
-            return b"".join(map(cache.__getitem__, words))
+        if len(cache) > self.most:
+            cache.clear()
+        new = list(set().union(*filter(None, cut)).difference(cache))
+        cache.update(zip(new, self._words(new), strict=True))
+        get = cache.__getitem__
+        for t, words in zip(texts, cut, strict=True):
+            yield self._library([t])[0] if words is None else b"".join(map(get, words))
+
+    def __call__(self, text: str) -> bytes:
+        return next(self.batch([text]))
 
 
 class Packer:
@@ -140,8 +161,8 @@ def _pack_tasks(docs: DataFrame, path: str, window: int, room: int) -> DataFrame
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for part in arrow_text.slices(batch, 1):
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encode(text) + end
+                for doc, found in zip(part.column(0).to_pylist(), encode.batch(part.column(1).to_pylist()), strict=True):
+                    ids = found + end
                     packer.add(doc, ids, len(ids) // 4)
                 yield pa.RecordBatch.from_pydict(packer.batch())
         packer.leave()
