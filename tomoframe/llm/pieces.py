@@ -10,6 +10,7 @@ when an Arrow batch brings it for the first time.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -46,49 +47,68 @@ class Vocabulary:
                 self.decoded[i] = piece.replace(SPACE, " ").encode()
         if len(self.byte) != 256:
             raise ValueError("the vocabulary has no byte pieces")
-        inner = any(SPACE in p.strip(SPACE) or (p.endswith(SPACE) and p.strip(SPACE)) for p in self.id)
+        self._pairs()
         used = {c for p in self.id for c in p}
         #: Characters of no piece: nothing merges across them, so each is a chunk.
         self.alone = "".join(c for c in "\n\t\r" if c not in used)
+        self.chunks = next(c for c in map(re.compile, self._cuts()) if all(c.findall(p) == [p] for p in self.id))
+
+    def _cuts(self) -> list[str]:
+        """Ways to cut a text, finest first; one serves if it leaves every piece whole, as its cuts depend on neighbouring characters only."""
         stop = re.escape(self.alone)
-        self.chunks = re.compile(rf"[{stop}]|{SPACE}*[^{SPACE}{stop}]+|{SPACE}+" if self.alone else rf"{SPACE}*[^{SPACE}]+|{SPACE}+") if not inner else re.compile(r"(?s).+")
+        first = f"[{stop}]|" if stop else ""
+        letters, others = r"[^\W\d_²³¹¼½¾]+", rf"(?:[^\w{SPACE}{stop}]|[_²³¹¼½¾])+"
+        return [
+            rf"{first}{SPACE}*{letters}|{SPACE}*\d|{SPACE}*{others}|{SPACE}+",
+            rf"{first}{SPACE}*{letters}|{SPACE}*(?:[^\w{SPACE}{stop}]|[\d_²³¹¼½¾])+|{SPACE}+",
+            rf"{first}{SPACE}*[^{SPACE}{stop}]+|{SPACE}+",
+            r"(?s).+",
+        ]
+
+    def _pairs(self) -> None:
+        """Numbers all symbols, and lists for each pair that makes a piece its negative score and the piece's number."""
+        self.symbol: dict[str, int] = {}
+        number = lambda x: self.symbol.setdefault(x, len(self.symbol))
+        for c in sorted({c for p in self.id for c in p}):
+            number(c)
+        self.pair: dict[int, tuple[float, int]] = {}
+        for p, score in self.score.items():
+            for k in range(1, len(p)):
+                if (k == 1 or p[:k] in self.id) and (k == len(p) - 1 or p[k:] in self.id):
+                    self.pair[number(p[:k]) << 20 | number(p[k:])] = -score, number(p)
+        self.piece_of = {n: self.id.get(x) for x, n in self.symbol.items()}
 
     def merge(self, chunk: str) -> list[int]:
-        """Ids of a chunk by the score-ordered agenda."""
-        if (whole := self.id.get(chunk)) is not None and len(chunk) == 1:
-            return [whole]
-        symbols: list[str | None] = list(chunk)
+        """Ids of a chunk by the agenda of adjacent pairs: best score first, leftmost among equals."""
+        number, pair = self.symbol, self.pair.get
+        symbols = [number.get(c, -1) for c in chunk]
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        score, agenda = self.score, []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if (s := score.get(pair)) is not None:
-                agenda.append((-s, i, i + 1, len(pair)))
+        agenda = [(t[0], i, i + 1, symbols[i], symbols[i + 1], t[1]) for i in range(n - 1) if (t := pair(symbols[i] << 20 | symbols[i + 1]))]
         heapq.heapify(agenda)
+        pop, push = heapq.heappop, heapq.heappush
         while agenda:
-            _, i, j, size = heapq.heappop(agenda)
-            left, right = symbols[i], symbols[j]
-            if left is None or right is None or len(left) + len(right) != size:
+            _, i, j, left, right, new = pop(agenda)
+            if symbols[i] != left or symbols[j] != right or after[i] != j:
                 continue
-            symbols[i], symbols[j] = left + right, None
+            symbols[i], symbols[j] = new, -2
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                pair = symbols[i] + symbols[k]
-                if (s := score.get(pair)) is not None:
-                    heapq.heappush(agenda, (-s, i, k, len(pair)))
-            if (h := before[i]) >= 0:
-                pair = symbols[h] + symbols[i]
-                if (s := score.get(pair)) is not None:
-                    heapq.heappush(agenda, (-s, h, i, len(pair)))
+                if t := pair(new << 20 | symbols[k]):
+                    push(agenda, (t[0], i, k, new, symbols[k], t[1]))
+            h = before[i]
+            if h >= 0 and (t := pair(symbols[h] << 20 | new)):
+                push(agenda, (t[0], h, i, symbols[h], new, t[1]))
         out: list[int] = []
-        for x in symbols:
-            if x is not None:
-                if (whole := self.id.get(x)) is not None:
-                    out.append(whole)
-                else:
-                    out += [self.byte[b] for b in x.encode()]
+        at = 0
+        while at < n:
+            s = symbols[at]
+            if s >= 0 and (whole := self.piece_of[s]) is not None:
+                out.append(whole)
+            else:
+                out += [self.byte[b] for b in chunk[at].encode()]
+            at = after[at]
         return out
 
     def decode_bytes(self, ids: list[int]) -> bytes:
@@ -98,14 +118,18 @@ class Vocabulary:
 class Encoder:
     """Texts to (number of ids, ids joined by commas, decoded text)."""
 
-    def __init__(self, path: str, check: bool = True, cache_chunks: int = 300_000) -> None:
+    def __init__(self, path: str, check: bool = True, cache_chunks: int = 600_000) -> None:
         self.words = Vocabulary(path)
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.names = [str(i) for i in range(self.words.library.get_piece_size())]
+        self.ids: dict[str, str] = {}
+        self.texts: dict[str, bytes] = {}
         self.check, self.most = check, cache_chunks
 
     def _learn(self, new: list[str]) -> None:
-        words = self.words
+        words, names = self.words, self.names
+        gc.disable()  # millions of short tuples and no cycles
         ids = [words.merge(c) for c in new]
+        gc.enable()
         if self.check:
             # a chunk without the leading space follows a character that merges with nothing
             lead = words.alone[:1]
@@ -116,26 +140,27 @@ class Encoder:
             for c, p, k, mine, want in zip(new, plain, skip, ids, theirs, strict=True):
                 if p and mine != want[k:]:
                     raise RuntimeError(f"chunk {c!r}: {mine} but the library gives {want[k:]}")
-            back = words.library.decode(theirs)
-            for p, k, mine, text in zip(plain, skip, ids, back, strict=True):
-                if p and words.decode_bytes(mine)[k == 0 :].decode("utf-8", "replace") != text[k // 2 :]:
-                    raise RuntimeError(f"ids {mine} decode to another text than the library's {text!r}")
+            flat = [i for mine in ids for i in mine]
+            ours = words.decode_bytes(flat)
+            if (ours[1:] if ours[:1] == b" " else ours).decode("utf-8", "replace") != words.library.decode(flat):
+                raise RuntimeError("the library decodes the ids of a batch's new chunks to another text")
         for c, mine in zip(new, ids, strict=True):
-            self.cache[c] = len(mine), ",".join(map(str, mine)), words.decode_bytes(mine)
+            self.ids[c] = ",".join([names[i] for i in mine])
+            self.texts[c] = words.decode_bytes(mine)
 
     def batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         cut = [self.words.chunks.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.cache) > self.most:
-            self.cache = {}
-        if new := [c for c in set().union(*cut) if c not in self.cache]:
+        if len(self.ids) > self.most:
+            self.ids, self.texts = {}, {}
+        if new := [c for c in set().union(*cut) if c not in self.ids]:
             self._learn(new)
-        get = self.cache.__getitem__
+        ids, back = self.ids.__getitem__, self.texts.__getitem__
         out = []
         for chunks in cut:
-            found = list(map(get, chunks))
+            joined = ",".join(map(ids, chunks))
             # the first space is the one that encoding put there
-            text = b"".join([x[2] for x in found])[1:].decode("utf-8", "replace")
-            out.append((sum([x[0] for x in found]), ",".join([x[1] for x in found]), text))
+            text = b"".join(map(back, chunks))[1:].decode("utf-8", "replace")
+            out.append((joined.count(",") + 1 if joined else 0, joined, text))
         return out
 
 
