@@ -66,22 +66,24 @@ class SubsequenceKernel:
         chars = sorted({c for w in landmarks for c in w if c.isalnum()})[:254]
         self.base = len(chars) + 1
         self.code = {ord(c): i + 1 for i, c in enumerate(chars)}
-        rows: dict[int, int] = {}
-        cells = []
+        cells: dict[tuple[int, int], float] = {}
         for k, w in enumerate(landmarks):
             codes, weights, _ = self._subsequences([w])
-            for c, x in zip(codes, weights, strict=True):
+            for c, x in zip(codes.tolist(), weights.tolist(), strict=True):
                 if c >= 0:
-                    cells.append((rows.setdefault(int(c), len(rows)), k, x))
-        self.table = np.zeros((len(rows) + 1, len(landmarks)))
-        for r, k, x in cells:
-            self.table[r, k] += x
-        norm = np.sqrt((self.table**2).sum(0))
-        self.table /= np.where(norm > 0, norm, 1)
-        self.table = self.table.astype(np.float32)
-        self.row = np.full(self.base**3, len(rows), np.int32)
-        for c, r in rows.items():
-            self.row[c] = r
+                    cells[c, k] = cells.get((c, k), 0.0) + x
+        norm = np.zeros(len(landmarks))
+        for (_, k), x in cells.items():
+            norm[k] += x * x
+        norm = np.sqrt(np.where(norm > 0, norm, 1))
+        # by subsequence: the landmarks that have it, each with its share; a subsequence is in few of them
+        order = sorted(cells)
+        self.holder = np.array([k for _, k in order], np.int64)
+        self.share = np.array([cells[c, k] / norm[k] for c, k in order])
+        kinds, first, many = np.unique(np.array([c for c, _ in order], np.int64), return_index=True, return_counts=True)
+        self.row = np.full(self.base**3, -1, np.int32)
+        self.row[kinds] = np.arange(len(kinds))
+        self.first, self.many = first, many
 
     def _subsequences(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes (-1: a character of no landmark), weights and word numbers of all subsequences."""
@@ -103,20 +105,21 @@ class SubsequenceKernel:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         """Kernel values, one row a word: 0 to about 1, raised to POWER."""
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        out = np.zeros((len(words), len(self.landmarks)))
         if not words:
             return out
         codes, weights, owner = self._subsequences(words)
         norm = np.sqrt(np.bincount(owner, weights**2, len(words)))
         hit = np.flatnonzero(codes >= 0)
-        hit = hit[self.row[codes[hit]] < len(self.table) - 1]
-        order = hit[np.argsort(owner[hit], kind="stable")]
-        if len(order):
-            at = owner[order]
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            rows = self.table[self.row[codes[order]]] * weights[order, None].astype(np.float32)
-            out[at[first]] = np.add.reduceat(rows, first, axis=0)
-        out /= np.where(norm > 0, norm, 1)[:, None].astype(np.float32)
+        row = self.row[codes[hit]]
+        hit, row = hit[row >= 0], row[row >= 0]
+        many = self.many[row]
+        each = np.repeat(np.arange(len(hit)), many)
+        at = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + self.first[row][each]
+        cell = owner[hit][each] * out.shape[1] + self.holder[at]
+        if len(cell):
+            out = np.bincount(cell, weights[hit][each] * self.share[at], out.size).reshape(out.shape)
+        out = out / np.where(norm > 0, norm, 1)[:, None]
         return np.minimum(out, 1) ** POWER
 
 
