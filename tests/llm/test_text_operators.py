@@ -45,6 +45,19 @@ def test_quality_verdict_separates_junk(spark, no_docs):
     assert quality_rules.judge_quality(no_docs).count() == 0
 
 
+def test_quality_rejects_text_without_common_words():
+    r = np.random.default_rng(4)
+    names = [f"{a}{b}{c}" for a in ("ther", "lin", "mor", "sta") for b in ("eda", "oni", "ure") for c in ("tion", "ble", "ning", "ral")]
+    salad = " ".join(r.choice(names) + (". " if i % 12 == 11 else "") for i in range(300))
+    words = [w for w, k in quality_rules.WORD_REFERENCE["en"].items() for _ in range(k)]
+    prose = " ".join(r.choice(words if i % 3 == 0 else names) for i in range(300))
+    judge = quality_rules.Judge(quality_rules.MIN_CHARS, quality_rules.MIN_WORDS, quality_rules.MAX_CLASS_DISTANCE, quality_rules.MAX_WORD_DISTANCE)
+    bad, good, stuffed = judge.one(salad), judge.one(prose), judge.one(invented(5, 300))
+    assert not bad[5] and bad[7] <= quality_rules.MAX_CLASS_DISTANCE and bad[8] <= quality_rules.MAX_WORD_DISTANCE
+    assert not bad[6] and good[6] and stuffed[6]
+    assert judge.one(" ".join(salad.split()[:40]))[6]  # too short for the word test
+
+
 def test_quality_against_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = quality_rules.judge_quality(docs).join(labels, "doc_id").select("kept", "quality").collect()
