@@ -161,6 +161,27 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean(hit) > 0.7 and np.mean(false) < 0.02, (np.mean(hit), np.mean(false))
 
 
+def test_toxicity_kernel_outlives_gaps():
+    k = toxicity.SubsequenceKernel(["idiot", "scum"])
+    assert (k(["i.d.i.o.t", "i**d**i**o**t", "i-----diot"])[:, 0] > 0.8).all() and k(["s.c.u.m"])[0, 1] > 0.8
+    assert k(["idxiot"])[0, 0] > 0.4
+    long = "id" * 50_000
+    assert np.isfinite(k([long, "x." * 30_000, "idiot"])).all() and k([long, "idiot"])[1, 0] > 0.99
+    # a long word in runs has the same subsequences as in one
+    got = np.hstack([at + part for at, part in toxicity._triples(20_000)])
+    assert len({tuple(x) for x in got.T[::97]}) == len(got.T[::97]) and got.shape == toxicity._whole(20_000).shape
+
+
+def test_toxicity_finds_a_single_disguised_insult(spark):
+    d = "/root/testdata/sf0.1"
+    model = toxicity.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    text = invented(5, 60)
+    insults = ["idiot", "i.d.i.o.t", "s.t.u.p.i.d", "m.o.r.o.n", "i**d**i**o**t", "sc*um", "mor-on", "idxiot", "stuxpid", "worthxless"]
+    got = dict(zip(insults, model.scores([f"{text} {w} {text}" for w in insults]) >= toxicity.THRESHOLD, strict=True))
+    assert all(got.values()), got
+    assert model.scores([text])[0] < toxicity.THRESHOLD
+
+
 def test_toxicity_edges(spark, edge_docs, no_docs):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.train(docs, labels)

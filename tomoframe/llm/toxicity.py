@@ -1,19 +1,21 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-Words are compared by their subsequences of three characters within a short
-span, each weighted by a decay for its span, so gaps and inserted characters
-cost little.  The kernel of a word and a landmark is raised to a power, which
-keeps near matches and drops chance ones; a sentence counts by its strongest
-words.  Landmarks are the words that tell toxic training documents best, and
+Words are compared by their subsequences of three letters or digits, each
+weighted by a decay for its span, so gaps and inserted characters cost little:
+a run of other characters, however long, is one place of the span.  The kernel
+of a word and a landmark is raised to a power, which keeps near matches and
+drops chance ones; a sentence counts by its strongest words.  Landmarks are the words that tell toxic training documents best, and
 the commonest words.  A linear support vector machine is trained on the
 Nyström features of labelled sentences: those of a toxic document that hold
 evidence are its examples, the strongest of clean documents the counter
-examples.  A document's score is that of the strongest words of its
-sentences, through a fitted sigmoid.
+examples.  Landmarks with one inserted letter are further examples, as much as
+their evidence counts.  A document's score is that of the strongest word of
+its sentences, through a fitted sigmoid.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import re
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from tomoframe.functions.cluster import ship
 from tomoframe.llm import arrow_text, shared
 
-#: Longest span of a subsequence of three characters, decay for each character of the span, power of the kernel.
-SPAN, DECAY, POWER = 5, 0.6, 3
+#: Letters among which a subsequence of three lies (all subsequences of words that are no longer; beyond it a weight would
+#: be under a ninth of the greatest), decay for each place of the span, power of the kernel.
+SPAN, DECAY, POWER = 12, 0.8, 2
 #: Bounds of the training sample: labelled documents of each class, and examples kept of each.
 MAX_DOCS, MAX_SENTENCES = 3000, 4
 LANDMARKS, COMMON_LANDMARKS = 160, 32
@@ -38,10 +41,16 @@ MIN_RATIO, MIN_ODDS = 5.0, 1.0
 #: Kernel value to a telling landmark that a toxic document's sentence must reach to be an example.
 MIN_EVIDENCE = 0.3
 THRESHOLD = 0.7
-#: A document's strongest words that its score looks at.
-TOP = 3
-
-_STEPS = [(i, j) for i, j in itertools.combinations(range(1, SPAN), 2)]
+#: A document's strongest words that its score looks at: one insult makes a text toxic.
+TOP = 1
+#: Letter of no landmark, put between a telling landmark's letters to make virtual examples.
+STRANGE = "\U00010400"
+
+#: Subsequences that are looked at in one pass.
+PART = 1 << 19
+_STEPS = np.array(list(itertools.combinations(range(1, SPAN), 2))).T
+#: Weights by span: SPAN letters and a gap of other characters after each.
+_DECAYS = DECAY ** np.arange(2 * SPAN + 1)
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _LETTERS = re.compile(r"(?:(?<=\s)|^)\S(?:\s\S(?=\s|$)){2,}")
 
@@ -58,6 +67,26 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
+@functools.lru_cache(64)
+def _whole(n: int) -> np.ndarray:
+    """Index triples of the subsequences of n letters, within SPAN letters each."""
+    start = np.arange(n - 2)[:, None]
+    x, y, z = np.broadcast_arrays(start, start + _STEPS[0], start + _STEPS[1])
+    ok = z < n
+    return np.array([x[ok], y[ok], z[ok]])
+
+
+def _triples(n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(offset, index triples) that together are all of a word of n letters; a long word comes in runs of first letters."""
+    run = PART // _STEPS.shape[1]
+    if n <= run:
+        yield 0, _whole(n)
+        return
+    for at in range(0, n - 2, run):
+        part = _whole(min(n - at, run + SPAN - 1))
+        yield at, part[:, part[0] < run]
+
+
 class SubsequenceKernel:
     """Kernels of words to landmarks, from a table of the landmarks' weighted subsequences."""
 
@@ -68,10 +97,10 @@ class SubsequenceKernel:
         self.code = {ord(c): i + 1 for i, c in enumerate(chars)}
         cells: dict[tuple[int, int], float] = {}
         for k, w in enumerate(landmarks):
-            codes, weights, _ = self._subsequences([w])
-            for c, x in zip(codes.tolist(), weights.tolist(), strict=True):
-                if c >= 0:
-                    cells[c, k] = cells.get((c, k), 0.0) + x
+            for codes, weights, _ in self._subsequences([w]):
+                for c, x in zip(codes.tolist(), weights.tolist(), strict=True):
+                    if c >= 0:
+                        cells[c, k] = cells.get((c, k), 0.0) + x
         norm = np.zeros(len(landmarks))
         for (_, k), x in cells.items():
             norm[k] += x * x
@@ -85,41 +114,47 @@ class SubsequenceKernel:
         self.row[kinds] = np.arange(len(kinds))
         self.first, self.many = first, many
 
-    def _subsequences(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes (-1: a character of no landmark), weights and word numbers of all subsequences."""
-        text = "".join(w + "\0" * SPAN for w in words)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def _subsequences(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Codes (-1: a character of no landmark), weights and word numbers of all subsequences, in parts of bounded size."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds, inverse = np.unique(points, return_inverse=True)
-        code = np.array([-1 if p == 0 else self.code.get(int(p), 0) for p in kinds])[inverse]
-        word = np.repeat(np.arange(len(words)), [len(w) + SPAN for w in words])
-        first = np.flatnonzero(code[: len(code) - SPAN] >= 0) if len(code) > SPAN else np.empty(0, np.int64)
-        codes, weights, owner = [], [], []
-        for i, j in _STEPS:
-            a, b, c = code[first], code[first + i], code[first + j]
-            ok = (b >= 0) & (c >= 0)
-            known = ok & (a > 0) & (b > 0) & (c > 0)
-            codes.append(np.where(known, (a * self.base + b) * self.base + c, -1)[ok])
-            weights.append(np.full(int(ok.sum()), DECAY ** (j + 1)))
-            owner.append(word[first[ok]])
-        return np.concatenate(codes), np.concatenate(weights), np.concatenate(owner)
+        letter = np.array([chr(p).isalnum() for p in kinds], bool)[inverse]
+        code = np.array([self.code.get(int(p), 0) for p in kinds], np.int64)[inverse]
+        word = np.repeat(np.arange(len(words)), lengths)
+        # a run of other characters is one place: it makes a gap, however long, and no subsequences
+        place = np.cumsum(letter | np.diff(letter, prepend=True))
+        code, word, place = code[letter], word[letter], place[letter]
+        many = np.bincount(word, minlength=len(words))
+        first = np.cumsum(many) - many
+        for n in np.unique(many[many > 2]).tolist():
+            own = np.flatnonzero(many == n)
+            for at, triples in _triples(n):
+                step = max(1, PART // triples.shape[1])
+                for k in range(0, len(own), step):
+                    start = first[own[k : k + step], None] + at
+                    x, y, z = (start + t for t in triples)
+                    a, b, c = code[x], code[y], code[z]
+                    codes = np.where((a > 0) & (b > 0) & (c > 0), (a * self.base + b) * self.base + c, -1)
+                    weights = _DECAYS[place[z] - place[x] + 1]
+                    yield codes.ravel(), weights.ravel(), np.repeat(own[k : k + step], triples.shape[1])
 
     def __call__(self, words: list[str]) -> np.ndarray:
         """Kernel values, one row a word: 0 to about 1, raised to POWER."""
         out = np.zeros((len(words), len(self.landmarks)))
-        if not words:
-            return out
-        codes, weights, owner = self._subsequences(words)
-        norm = np.sqrt(np.bincount(owner, weights**2, len(words)))
-        hit = np.flatnonzero(codes >= 0)
-        row = self.row[codes[hit]]
-        hit, row = hit[row >= 0], row[row >= 0]
-        many = self.many[row]
-        each = np.repeat(np.arange(len(hit)), many)
-        at = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + self.first[row][each]
-        cell = owner[hit][each] * out.shape[1] + self.holder[at]
-        if len(cell):
-            out = np.bincount(cell, weights[hit][each] * self.share[at], out.size).reshape(out.shape)
-        out = out / np.where(norm > 0, norm, 1)[:, None]
+        square = np.zeros(len(words))
+        for codes, weights, owner in self._subsequences(words):
+            square += np.bincount(owner, weights**2, len(words))
+            hit = np.flatnonzero(codes >= 0)
+            row = self.row[codes[hit]]
+            hit, row = hit[row >= 0], row[row >= 0]
+            many = self.many[row]
+            each = np.repeat(np.arange(len(hit)), many)
+            at = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + self.first[row][each]
+            cell = owner[hit][each] * out.shape[1] + self.holder[at]
+            if len(cell):
+                out += np.bincount(cell, weights[hit][each] * self.share[at], out.size).reshape(out.shape)
+        out = out / np.sqrt(np.where(square > 0, square, 1))[:, None]
         return np.minimum(out, 1) ** POWER
 
 
@@ -193,8 +228,8 @@ def _clean_word(w: str) -> str:
     return w.strip(".,;:!?'\"()[]{}<>-_*#$%&|")
 
 
-def _landmarks(sample: DataFrame, n: int, common: int) -> tuple[list[str], list[str]]:
-    """Words by the signed likelihood ratio of their document counts in the two classes, and the commonest words."""
+def _landmarks(sample: DataFrame, n: int, common: int) -> tuple[dict[str, float], list[str]]:
+    """Words with the signed likelihood ratio of their document counts in the two classes, and the commonest words."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +244,7 @@ def _landmarks(sample: DataFrame, n: int, common: int) -> tuple[list[str], list[
     g2 = F.col("a") * F.log((F.col("a") + 0.5) / (rate * n1 + 0.5)) + F.col("b") * F.log((F.col("b") + 0.5) / (rate * n0 + 0.5))
     counts = counts.withColumn("g2", F.when(F.col("a") * n0 > F.col("b") * n1, g2).otherwise(-g2))
     counts = shared.stage_table(counts, "words")
-    best = [r["word"] for r in counts.where((F.col("a") > 1) & (F.col("g2") >= MIN_RATIO) & (F.col("a") >= MIN_ODDS * F.col("b"))).orderBy(F.desc("g2"), "word").limit(n).collect()]
+    best = {r["word"]: r["g2"] for r in counts.where((F.col("a") > 1) & (F.col("g2") >= MIN_RATIO) & (F.col("a") >= MIN_ODDS * F.col("b"))).orderBy(F.desc("g2"), "word").limit(n).collect()}
     often = [r["word"] for r in counts.orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(common).collect()]
     return best, [w for w in often if w not in best]
 
@@ -252,7 +287,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, landmark
     all_of = {r["toxic"]: r["n"] for r in usable_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if set(have) != {0, 1}:
         return ToxicityModel([], np.zeros(0), -40.0)
-    best, often = _landmarks(sample, landmarks, common)
+    ratio, often = _landmarks(sample, landmarks, common)
+    best = list(ratio)
     if not best:
         return ToxicityModel([], np.zeros(0), -40.0)
     marks = best + often
@@ -276,7 +312,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, landmark
     doc, y = got.column("doc").to_numpy(), got.column("toxic").to_numpy()
     raw = np.array(got.column("x").to_pylist(), np.float64).reshape(len(y), m)
     # Nyström: features whose inner products are the kernel projected on the landmarks
-    k = SubsequenceKernel(marks)(marks).astype(np.float64)
+    kernel = SubsequenceKernel(marks)
+    k = kernel(marks)
     values, vectors = np.linalg.eigh((k + k.T) / 2 + 1e-3 * np.eye(m))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     x = raw @ root
@@ -287,7 +324,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, landmark
     stands = np.array([all_of[k] / have[k] for k in (0, 1)])
     cost = 10.0 * (stands / stands[1])[y[use]]
     cost[y[use] == 1] /= np.bincount(bag[use])[bag[use]][y[use] == 1]
-    w, b = _svm(x[use], np.where(y[use] == 1, 1.0, -1.0), cost)
+    # virtual examples: each telling landmark with one inserted letter, far less for landmarks by chance
+    virtual = kernel([w[:p] + STRANGE + w[p:] for w in best for p in range(1, len(w))]) @ root
+    share = 10.0 * np.concatenate([np.full(len(w) - 1, (ratio[w] / max(ratio.values())) ** 2) for w in best])
+    w, b = _svm(np.vstack([x[use], virtual]), np.concatenate([np.where(y[use] == 1, 1.0, -1.0), np.ones(len(virtual))]), np.concatenate([cost, share]))
     score = x @ w + b
     strongest = np.full((bag.max() + 1, TOP), b)
     truth = np.zeros(bag.max() + 1)
