@@ -216,6 +216,13 @@ def test_html_blocks():
     assert html_blocks.blocks("") == [] and html_blocks.blocks("<<<>") != [] and html_blocks.blocks("<p") == []
 
 
+def test_block_vectors_read_whole_blocks():
+    head = " ".join(f"word{i}" for i in range(60))
+    a, b = html_extract.vectors(html_blocks.blocks(f"<p>{head} {'tail ' * 40}</p><p>{head} {'rest ' * 40}</p>"))
+    words = slice(html_extract.PATH_SIZE, html_extract.PATH_SIZE + html_extract.WORD_SIZE)
+    assert not np.allclose(a[words], b[words]) and a[words].sum() == pytest.approx(100 / 101)
+
+
 @pytest.fixture(scope="module")
 def net():
     return html_extract.train()

@@ -35,7 +35,7 @@ def _bucket(token: str, size: int) -> int:
 
 
 def vectors(page: list[Block]) -> np.ndarray:
-    """One row a block; paths count their nearest tags most."""
+    """One row a block, over all its words; paths count their nearest tags most."""
     out = np.zeros((len(page), INPUT), np.float32)
     for i, b in enumerate(page):
         row = out[i]
@@ -43,8 +43,9 @@ def vectors(page: list[Block]) -> np.ndarray:
         for d, token in enumerate(b.path):
             row[_bucket(token, PATH_SIZE)] += 1.0 if d >= n - 3 else 0.7
         words = b.text.lower().split()
-        for w in words[:48] if len(words) > 48 else words:
-            row[PATH_SIZE + _bucket(w, WORD_SIZE)] += 1.0 / (1 + min(len(words), 48))
+        if words:
+            at = np.fromiter((_bucket(w, WORD_SIZE) for w in words), np.int64, len(words))
+            row[PATH_SIZE : PATH_SIZE + WORD_SIZE] = np.bincount(at, minlength=WORD_SIZE) / (1 + len(words))
         stops = b.text.count(".") + b.text.count(",")
         row[-MORE:] = (np.log1p(len(b.text)) / 5, np.log1p(len(words)) / 4, b.linked, min(1.0, stops / (1 + len(words))), b.text.endswith((".", "!", "?")), min(i, 20) / 20, 1.0)
     return out
