@@ -83,6 +83,30 @@ def test_propagation_cuts_fewer_links_than_hashing(spark):
     assert mine.links == other.links and mine.cut < 0.35 * other.cut
 
 
+def test_propagation_improves_on_the_start_order(spark):
+    import random
+
+    r = random.Random(8)
+    topic = lambda f: "\n".join(f"topic {f} has the line number {k} in common" for k in r.sample(range(12), 4))
+    texts = [topic(f) + f"\n{j}" for f in range(12) for j in range(20)] + [f"text {j} that shares no line with any other" for j in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    cuts = []
+    for rounds in (0, sharding.ROUNDS):
+        placed = sharding.balanced_shards(docs, shards=8, rounds=rounds)
+        counts = [x["count"] for x in placed.groupBy("shard").count().collect()]
+        assert sum(counts) == len(texts) and len(counts) == 8 and max(counts) - min(counts) <= 1
+        cuts.append(sharding.cut_weight(docs, placed).first().cut)
+    assert cuts[1] < 0.85 * cuts[0], cuts
+
+
+def test_unlinked_nodes_trade_places_with_one_way_wishes(spark):
+    linked = [(f"a{k}", 1, True, 0) for k in range(30)] + [(f"b{k}", 1, True, 1) for k in range(20)]
+    label = spark.createDataFrame(linked + [(f"c{k}", 1, False, 0) for k in range(20)], "node string, w long, linked boolean, label int")
+    edges = label.where("linked").selectExpr("node", "w", "1L AS line")
+    got = Counter((r.node[0], r.label) for r in sharding._propagate(edges, label, 2, 1).collect())
+    assert got == {("a", 0): 30, ("b", 0): 20, ("c", 1): 20}
+
+
 def test_license_variants_share_a_digest(spark):
     from tomoframe.llm.license_texts import TEXTS
 
