@@ -121,3 +121,34 @@ def test_license_notice_lines(edge_docs, spark):
     got = licenses.scan_licenses(edge_docs, licenses.known_licenses(spark))
     assert got.where("unit = 'text'").count() == len(edge_rows())
     assert {(r.doc_id, r.license_id) for r in got.where("license_id is not null").collect()} == {(18, "CC-BY-NC-4.0")}
+
+
+def test_stage_tables_are_released(spark):
+    from tomoframe.llm import shared
+
+    shared.release(spark)
+    kept = shared.stage_table(spark.range(3), "a")
+    assert kept.count() == 3 and shared.release(spark) == 1 and shared.release(spark) == 0
+
+
+def test_cluster_needs_a_shared_folder():
+    import pytest
+
+    from tomoframe.llm import shared
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Fake:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Fake())

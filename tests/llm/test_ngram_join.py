@@ -95,17 +95,49 @@ def test_families_passages_and_hot_group(spark, seed, monkeypatch):
 def test_matrix_alone_finds_all_links(spark, monkeypatch):
     """Without pivots the matrix must find every component by itself."""
     rows = mutated(3)
-    monkeypatch.setattr(ngram_join, "_pivot_links", lambda sets, percent: sets.select(sets["rep"].alias("src"), sets["rep"].alias("dst")).where("false"))
+    monkeypatch.setattr(ngram_join, "_pivot_links", lambda sets, percent: sets.selectExpr("rep AS src", "rep AS dst", "true AS linked").where("false"))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert result(df) == brute(rows)
 
 
-def test_blocks_round_trip():
-    r = np.random.default_rng(1)
-    t = np.sort(r.integers(0, 1 << 48, 1000).astype(np.uint64))
-    o = r.integers(0, 60_000, 1000)
-    a, b = ngram_join._decode(ngram_join._encode(t, o))
-    assert (a == t).all() and (b == o).all()
+@pytest.mark.parametrize("share", [0.0, 0.3, 1.0])
+def test_any_share_of_first_tokens_gives_the_same_links(spark, share):
+    rows = mutated(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(df, first_share=share) == brute(rows)
+
+
+def test_first_tokens_hold_the_bound():
+    """A linked set has at least `need` of its first tokens among the other's first tokens."""
+    r = np.random.default_rng(5)
+    for n in (1, 2, 4, 5, 9, 40, 300):
+        for _ in range(40):
+            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            b = a.copy()
+            change = int(r.integers(0, n // 5 + 1))
+            b[r.choice(len(b), change, replace=False)] += np.uint64(1)
+            b = np.unique(b)
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                (x, y), need = ngram_join._first_tokens([a, b], 80, 0.4)
+                assert len(np.intersect1d(x, y)) >= max(need)
+
+
+def test_hot_tokens_are_told_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAST_HOT", 3)
+    monkeypatch.setattr(ngram_join, "HOT_TOKENS", 1_000_000)
+    rows = mutated(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(df) == brute(rows)
+
+
+def test_rows_without_id_link(spark):
+    base = invented(31, 90)
+    near = base.replace(base.split()[20], "changed", 1)
+    bare = invented(32, 90)
+    rows = [(7, base), (None, near), (None, bare), (None, bare.replace(bare.split()[20], "changed", 1)), (9, invented(33, 50))]
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, -1), (-1, -1), (-1, 7), (7, 7), (9, 9)]
 
 
 def test_word_hash_depends_on_words_only():

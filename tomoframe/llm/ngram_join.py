@@ -7,17 +7,18 @@ overlap with that union bounds its similarity to every member, and only
 groups whose bound reaches the threshold are opened.  The matrix is applied
 three times, ever finer, and every step is exact:
 
-1. Each document against the union of all documents with another set.  The
-   union is never built: sorted token blocks meet by token range, and each
-   range tells its blocks how many tokens of each document it has seen
-   elsewhere.  Few documents reach the bound; copies of a set stand behind
-   one representative.
+1. Each document against the union of all documents with another set, by the
+   first tokens of each set in hash order.  The union is never built: tokens
+   are grouped, and those that several sets have are told to the documents.
+   Rows and bytes grow with the tokens alone.  Few documents reach the bound;
+   copies of a set stand behind one representative.
 2. Representatives that share a minimum hash are compared with one pivot.
    The components of these links are the groups; each representative is then
-   bounded by the union of all other groups, again by token range.
-3. What is left is joined to the (token, group) matrix by its rarest tokens,
-   bounded by the union of each group found, and compared with the members of
-   the groups that qualify, until one links.
+   bounded by the union of all other groups in the same way, by all tokens.
+3. What is left is joined to the (token, group) matrix by its rarest tokens;
+   a group is a part of a large component, or of documents that are akin.
+   Each query is bounded by the union of each group it finds, and compared
+   with the members of the groups that qualify.
 
 Results are one row per document with its component, so a large group of
 copies or near copies costs rows, not pairs.
@@ -25,7 +26,7 @@ copies or near copies costs rows, not pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,14 @@ from tomoframe.llm import arrow_text, shared
 WIDTH, PERCENT = 5, 80
 #: Minimum hashes of a representative, by which it finds pivots.
 PIVOT_KEYS = 3
-#: Members of a group of the matrix at most; larger groups are stored in parts.
-GROUP_MEMBERS = 128
-#: A block holds at most so many documents (their number must fit 16 bits) and about so many tokens.
-BLOCK_DOCS, BLOCK_TOKENS = 60_000, 1 << 20
-
-_LOW = np.uint64(16)
-
+#: Similarity to a pivot from which documents are akin, and so members of one group of the matrix.
+KIN_PERCENT = 40
+#: About so many members and tokens has a part of a group of the matrix, and so many queries meet it at once.
+GROUP_MEMBERS, GROUP_TOKENS, QUERIES = 512, 1 << 18, 1024
+#: Share of the hash space whose tokens step 1 compares; any share from 0 to 1 gives the same links.
+FIRST_SHARE = 0.4
+#: A token is hot with more rows than LEAST_HOT and than this part of all rows.
+HOT_TOKENS, LEAST_HOT = 100_000, 4096
 
 class Shingler:
     """Sets of 64-bit shingle hashes of texts, sorted."""
@@ -82,131 +84,64 @@ def fingerprints(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
-def _encode(tokens: np.ndarray, owner: np.ndarray) -> bytes:
-    """Sorted 48-bit tokens as differences in byte planes (high planes are nearly empty and compress), then owners."""
-    step = np.diff(tokens, prepend=np.uint64(0))
-    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes() + owner.astype(np.uint16).tobytes()
-
-
-def _decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 8
-    step = np.zeros((n, 8), np.uint8)
-    step[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(6, n).T
-    return np.cumsum(step.reshape(-1).view(np.uint64)), np.frombuffer(data, np.uint16, n, 6 * n)
-
-
-_EXCHANGE = "route int, block long, doc_ids array<long>, sizes array<long>, labels array<long>, extra array<long>, data binary"
-_FIELDS = pa.schema([("route", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("extra", pa.list_(pa.int64())), ("data", pa.binary())])
-
-
-def _block_rows(block: int, ranges: int, ids: list, sets: list[np.ndarray], labels: list[int], extra: list[int]) -> pa.RecordBatch:
-    """One header row of a block and one row for each token range."""
-    sizes = [len(s) for s in sets]
-    tokens = np.concatenate([*sets, np.empty(0, np.uint64)]) >> _LOW
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    route, data = [ranges + block % ranges], [None]
-    bounds = np.array([(r << 48) // ranges for r in range(1, ranges)], np.uint64)
-    cuts = [0, *np.searchsorted(tokens, bounds), len(tokens)]
-    for r in range(ranges):
-        if cuts[r] < cuts[r + 1]:
-            route.append(r)
-            data.append(_encode(tokens[cuts[r] : cuts[r + 1]], owner[cuts[r] : cuts[r + 1]]))
-    rest = [None] * (len(route) - 1)
-    cols = [route, [block] * len(route), [ids, *rest], [sizes, *rest], [labels] * len(route), [extra, *rest], data]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FIELDS, strict=True)], schema=_FIELDS)
-
-
-def _count_elsewhere(table: pa.Table) -> pa.Table:
-    """Rows of one route: headers pass; tokens of a range become, for each block, counts of tokens that another label has."""
-    headers = table.filter(table.column("data").is_null())
-    work = table.filter(table.column("data").is_valid())
-    if not work.num_rows:
-        return headers
-    parts = [_decode(x) for x in work.column("data").to_pylist()]
-    tokens = np.concatenate([p[0] for p in parts])
-    labels = np.concatenate([np.asarray(x, np.int64)[p[1]] for x, p in zip(work.column("labels").to_pylist(), parts, strict=True)])
-    order = np.argsort(tokens, kind="stable")
-    tokens, by_token = tokens[order], labels[order]
-    first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-    several = np.minimum.reduceat(by_token, first) != np.maximum.reduceat(by_token, first)
-    shared_token = np.empty(len(tokens), bool)
-    shared_token[order] = np.repeat(several, np.diff(np.append(first, len(tokens))))
-    at, data = 0, []
-    for x, p in zip(work.column("labels"), parts, strict=True):
-        n = len(p[1])
-        data.append(np.bincount(p[1][shared_token[at : at + n]], minlength=len(x)).astype(np.uint32).tobytes())
-        at += n
-    none = pa.nulls(work.num_rows, pa.list_(pa.int64()))
-    counted = pa.table([work.column("route"), work.column("block"), none, none, none, none, pa.array(data, pa.binary())], schema=_FIELDS)
-    return pa.concat_tables([headers, counted])
-
-
-def _sum_block(table: pa.Table) -> pa.Table:
-    head = table.filter(table.column("data").is_null()).to_pylist()[0]
-    seen = np.zeros(len(head["sizes"]), np.int64)
-    for x in table.column("data").to_pylist():
-        if x is not None:
-            seen += np.frombuffer(x, np.uint32)
-    k = len(head["extra"]) // max(1, len(seen))
-    extra = pa.array(head["extra"], pa.int64()) if k else pa.nulls(len(seen), pa.int64())
-    return pa.table({"doc_id": pa.array(head["doc_ids"], pa.int64()), "n": pa.array(head["sizes"], pa.int64()), "label": pa.array(head["labels"], pa.int64()), "extra": extra, "elsewhere": pa.array(seen)})
-
-
-def _ranges(docs: DataFrame) -> int:
-    """Token ranges: one for about 16 MB of input, as far as the number of its partitions tells."""
-    limit = docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
-    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    text = limit.lower().rstrip("b") or "0"
-    size = int(text[:-1]) * unit[text[-1]] if text[-1] in unit else int(text)
-    return max(8, docs.rdd.getNumPartitions() * max(1, size >> 24))
-
-
-def _elsewhere(rows: DataFrame, blocks, ranges: int) -> DataFrame:  # noqa: ANN001
-    """(doc_id, n, label, extra, elsewhere) from blocks(batches), which yields exchange rows."""
-    met = rows.mapInArrow(blocks, _EXCHANGE).groupBy("route").applyInArrow(_count_elsewhere, _EXCHANGE)
-    return met.groupBy("block").applyInArrow(_sum_block, "doc_id long, n long, label long, extra long, elsewhere long")
-
-
-def _text_blocks(ranges: int, width: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _first_tokens(sets: list[np.ndarray], percent: int, share: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each set, its first tokens in hash order and how many of them a link needs in other sets.
+
+    The first tokens are those below `share` of the hash space, and at least
+    so many that two sets that link have one in common.  A linked set lacks at
+    most n - least tokens, so of the tokens below the share it has all but these.
+    """
+    limit = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
+    first, need = [], []
+    for s in sets:
+        n = len(s)
+        spare = n - (percent * n + 99) // 100
+        below = int(np.searchsorted(s, limit, "right"))
+        first.append(s[: max(below, min(n, spare + 1))])
+        need.append(max(1, below - spare))
+    return first, np.array(need, np.int64)
+
 
-        shingle, block = Shingler(width), TaskContext.get().partitionId() << 32
+def _shingled(texts: DataFrame, width: int, percent: int, share: float) -> DataFrame:
+    """(doc_id, n, label, extra, need, first): label and extra are fingerprints of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(width)
         for batch in batches:
             for part in arrow_text.slices(batch, 1):
-                for at in range(0, part.num_rows, BLOCK_DOCS):
-                    piece = part.slice(at, BLOCK_DOCS)
-                    sets = shingle(piece.column(1).to_pylist())
-                    prints = [fingerprints(s) for s in sets]
-                    yield _block_rows(block, ranges, piece.column(0).to_pylist(), sets, [p[0] for p in prints], [p[1] for p in prints])
-                    block += 1
+                sets = shingle(part.column(1).to_pylist())
+                prints = [fingerprints(s) for s in sets]
+                first, need = _first_tokens(sets, percent, share)
+                cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(need), _lists(first)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "label", "extra", "need", "first"])
 
-    return run
+    return texts.mapInArrow(run, "doc_id long, n long, label long, extra long, need long, first array<long>")
 
 
-def _set_blocks(ranges: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
 
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            sizes = np.cumsum([len(x) for x in batch.column("tokens")])
-            at = 0
-            while at < batch.num_rows:
-                base = sizes[at - 1] if at else 0
-                to = min(at + BLOCK_DOCS, max(at + 1, int(np.searchsorted(sizes, base + BLOCK_TOKENS, "right"))))
-                piece = batch.slice(at, to - at)
-                sets = [np.asarray(x.values.to_numpy(zero_copy_only=False)).view(np.uint64) for x in piece.column("tokens")]
-                yield _block_rows(block, ranges, piece.column("rep").to_pylist(), sets, piece.column("label").to_pylist(), [])
-                block, at = block + 1, to
 
-    return run
+def _elsewhere(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """(*keys, elsewhere): how many tokens of each of rows (*keys, label, tokens) another label has too.
+
+    A token's labels meet as their minimum and maximum, combined before the
+    shuffle.  Rows of a token with more than 1 / HOT_TOKENS of all rows would
+    meet in one task when they are told, so they are told by broadcast: there
+    are fewer than HOT_TOKENS such tokens, at any size of input.
+    """
+    total = rows.agg(F.sum(F.size("tokens")).cast("long")).first()[0] or 0
+    most = max(LEAST_HOT, total // HOT_TOKENS)
+    each = rows.select(*[c for c in rows.columns if c != "tokens"], F.explode("tokens").alias("token"))
+    met = each.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    met = shared.stage_table(met.select("token", "c"), name)
+    told = _split_hot(each.select(*keys, "token"), met, "token", most)
+    return told.groupBy(*keys).agg(F.count("*").alias("elsewhere"))
 
 
 def _token_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(rep, n, tokens, keys): keys are minimum hashes under PIVOT_KEYS orders."""
+    """(rep, n, tokens, keys, label, extra): keys are minimum hashes under PIVOT_KEYS orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
@@ -214,88 +149,187 @@ def _token_sets(docs: DataFrame, width: int) -> DataFrame:
             for part in arrow_text.slices(batch, 1):
                 sets = shingle(part.column(1).to_pylist())
                 keys = [[int(arrow_text.mix(s + np.uint64(k)).min().view(np.int64)) for k in range(PIVOT_KEYS)] if len(s) else [] for s in sets]
-                cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["rep", "n", "tokens", "keys"])
+                prints = [fingerprints(s) for s in sets]
+                cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), pa.array(keys, pa.list_(pa.int64())), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["rep", "n", "tokens", "keys", "label", "extra"])
 
-    return docs.mapInArrow(run, "rep long, n long, tokens array<long>, keys array<long>")
+    return docs.mapInArrow(run, "rep long, n long, tokens array<long>, keys array<long>, label long, extra long")
 
 
-def _linked(percent: int, ta: Column, na: Column, tb: Column, nb: Column) -> Column:
-    """Condition that token sets ta and tb of sizes na and nb link."""
-    both = F.size(F.array_intersect(ta, tb))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * both >= percent * (na + nb - both))
+def _linked(percent: int, both: Column, na: Column, nb: Column) -> Column:
+    """Condition that token sets of sizes na and nb with `both` tokens in common link."""
+    return 100 * both >= percent * (na + nb - both)
 
 
 def _pivot_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (src, dst) of representatives to the pivots of their minimum hashes."""
+    """Pairs (src, dst, linked) of representatives and the pivots of their minimum hashes that are at least akin."""
     keyed = sets.select("rep", F.posexplode("keys").alias("k", "key"))
     pivots = keyed.groupBy("k", "key").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1")
     pairs = keyed.join(pivots, ["k", "key"]).where("rep <> pivot").select("rep", "pivot").distinct()
     a = sets.select("rep", F.col("n").alias("na"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("rep").alias("pivot"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(a, "rep").join(b, "pivot").where(_linked(percent, F.col("ta"), F.col("na"), F.col("tb"), F.col("nb"))).select(F.col("rep").alias("src"), F.col("pivot").alias("dst"))
+    kin = min(KIN_PERCENT, percent)
+    sized = pairs.join(a, "rep").join(b, "pivot").where(100 * F.least("na", "nb") >= kin * F.greatest("na", "nb"))
+    both = sized.select("rep", "pivot", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both"))
+    akin = both.where(_linked(kin, F.col("both"), F.col("na"), F.col("nb")))
+    return akin.select(F.col("rep").alias("src"), F.col("pivot").alias("dst"), _linked(percent, F.col("both"), F.col("na"), F.col("nb")).alias("linked"))
+
+
+def _split_hot(rows: DataFrame, told: DataFrame, key: str, most: int) -> DataFrame:
+    """rows joined with told (key, c, ...; one row a key, c the number of its rows); rows of keys with c over `most` by broadcast."""
+    often = F.broadcast(told.where(F.col("c") > most))
+    rest = told.where(F.col("c") <= most)
+    cold = rows.join(often.select(key), key, "left_anti").join(rest, key)
+    return rows.join(often, key).select(cold.columns).unionByName(cold)
+
+
+def _parted(rows: DataFrame, keys: Sequence[str], most: int, tokens: int, name: str) -> DataFrame:
+    """rows (*keys, rep, n, ...) with `parts`, so many that each holds about `most` rows and `tokens` tokens, and a row's part `name`."""
+    size = rows.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / tokens), F.lit(1)).alias("parts"))
+    return rows.join(size, list(keys)).withColumn(name, F.pmod(F.xxhash64("rep"), F.col("parts")))
+
+
+def _open_groups(percent: int):  # noqa: ANN202
+    """Compares queries with the members of one group whose tokens they may share enough; gives links between labels."""
+
+    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
+        sets = _arrays(members.column("tokens"))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        labels = members.column("label").to_numpy()
+        held = np.concatenate([*sets, np.empty(0, np.uint64)])
+        order = np.argsort(held, kind="stable")
+        owner = np.repeat(np.arange(len(sets)), sizes)[order]
+        union, first = np.unique(held[order], return_index=True)
+        ends = np.append(first[1:], len(held))
+        pairs: set[tuple[int, int]] = set()
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for tokens, own in zip(_arrays(queries.column("tokens")), queries.column("label").to_pylist(), strict=True):
+            at = np.minimum(np.searchsorted(union, tokens), max(0, len(union) - 1))
+            at = at[union[at] == tokens] if len(union) else at[:0]
+            if 100 * len(at) < percent * len(tokens):  # the bound by the group's union
+                continue
+            low, n = first[at], ends[at] - first[at]
+            where = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.bincount(owner[where], minlength=len(sets))
+            hit = (100 * both >= percent * (len(tokens) + sizes - both)) & (labels != own)
+            for other in np.unique(labels[hit]).tolist():
+                x, y = top(own), top(other)
+                if x != y:  # links that join what is joined already add nothing
+                    parent[max(x, y)] = min(x, y)
+                    pairs.add((max(own, other), min(own, other)))
+        src, dst = zip(*sorted(pairs), strict=True) if pairs else ((), ())
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
+    return run
 
-def _matrix_links(left: DataFrame, percent: int) -> DataFrame:
-    """Links (src, dst) between groups among rows (rep, n, tokens, label), by the token-group matrix.
 
-    A query finds groups with members no larger than itself: their first
-    tokens in the order (groups that hold the token, token) are indexed up to
-    n - ceil(2t / (1 + t) n) + 1, the query's are looked up to
-    n - ceil(t n) + 1, which loses no link of similarity t.
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.asarray(x.values.to_numpy(zero_copy_only=False)).view(np.uint64) for x in column]
+
+
+def _matrix_links(left: DataFrame, percent: int) -> DataFrame:
+    """Links (src, dst) between labels among rows (rep, n, elsewhere, tokens, label, key), by the token-group matrix.
+
+    Groups are large labels, and elsewhere documents of one `key`, which are
+    akin; both in parts of bounded size.  A query finds groups with members no
+    larger than itself: their first tokens in the order (rows that hold the
+    token, token) are indexed up to n - ceil(2t / (1 + t) n) + 1, the query's
+    are looked up to n - ceil(t n) + 1, which loses no link of similarity t.
+    Tokens that the same groups have in the index are joined as one.
     """
-    counted = left.groupBy("label").agg(F.count("*").alias("c"))
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / GROUP_MEMBERS))
-    members = left.join(counted, "label").withColumn("part", part).drop("c")
-    rows = members.select("rep", "n", "label", "part", F.explode("tokens").alias("token"))
-    matrix = rows.select("token", "label", "part").distinct()
-    spread = matrix.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = rows.join(spread, "token").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("df", "token")))
-    ranked = shared.stage_table(ranked, "ranked")
+    big = left.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") >= GROUP_MEMBERS).select("label", F.col("label").alias("whole"))
+    members = left.join(big, "label", "left").withColumn("g", F.xxhash64(F.col("whole").isNull(), F.coalesce("whole", "key")))
+    members = shared.stage_table(_parted(members, ["g"], GROUP_MEMBERS, GROUP_TOKENS, "part").drop("parts"), "members")
+    rows = members.select("rep", "n", "elsewhere", "label", "whole", "g", "part", F.explode("tokens").alias("token"))
+    spread = rows.groupBy("token").agg(F.count("*").alias("c"), (F.min("label") != F.max("label")).alias("common"))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    ranked = _split_hot(rows, spread, "token", max(LEAST_HOT, total // HOT_TOKENS))
+    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("common", "c", "token"))).where("common")
     least = F.floor((percent * F.col("n") + 99) / 100)
     least_even = F.ceil(2 * percent * F.col("n") / (100 + percent))
-    probe = ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - least + 1)).select("rep", "token", F.col("n").alias("nq"), F.col("label").alias("lq"))
-    index = ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - least_even + 1))
-    index = index.groupBy("token", "label", "part").agg(F.min("n").alias("small"), F.max("n").alias("large"))
-    fits = (F.col("lq") != F.col("label")) & (F.col("small") <= F.col("nq")) & (100 * F.col("large") >= percent * F.col("nq"))
-    found = probe.join(index, "token").where(fits).select("rep", "label", "part").distinct()
-    union = members.groupBy("label", "part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tb"), F.collect_list(F.struct("n", "tokens")).alias("held"))
-    query = left.select("rep", F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    bound = found.join(query, "rep").join(union, ["label", "part"]).where(100 * F.size(F.array_intersect("ta", "tb")) >= percent * F.col("na"))
-    # members of a group are linked among themselves already, so one link to any of them joins the query to all
-    opened = bound.where(F.exists("held", lambda m: _linked(percent, F.col("ta"), F.col("na"), m["tokens"], m["n"])))
-    return opened.select(F.col("rep").alias("src"), F.col("label").alias("dst"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    ranked = ranked.where(F.col("i") <= F.col("n") - least + 1).withColumn("indexed", F.col("i") <= F.col("n") - least_even + 1)
+    ranked = shared.stage_table(ranked.select("rep", "n", "elsewhere", "label", "whole", "g", "part", "token", "indexed"), "ranked")
+    # a member can be the smaller one of a link only if enough of its tokens are elsewhere for one of its own size
+    smaller = F.col("indexed") & ((100 + percent) * F.col("elsewhere") >= 2 * percent * F.col("n"))
+    index = ranked.where(smaller).groupBy("token", "g", "part").agg(F.first("whole").alias("whole"), F.min("n").alias("small"), F.max("n").alias("large"))
+    mark = F.xxhash64("g", "part")
+    # the groups of a token as one number: their count and the sums of two hashes
+    sign = index.groupBy("token").agg(F.xxhash64(F.count("*"), F.sum(mark.cast("decimal(38,0)")), F.sum(F.xxhash64(mark, F.lit(1)).cast("decimal(38,0)"))).alias("sign"))
+    index = index.join(sign, "token").groupBy("sign", "g", "part").agg(F.first("whole").alias("whole"), F.min("small").alias("small"), F.max("large").alias("large"))
+    probe = ranked.join(sign, "token").select("rep", F.col("n").alias("nq"), F.col("elsewhere").alias("eq"), F.col("label").alias("lq"), "sign").distinct()
+    fits = (~F.col("whole").eqNullSafe(F.col("lq"))) & (F.col("small") <= F.col("nq")) & (100 * F.col("large") >= percent * F.col("nq")) & ((100 + percent) * F.col("eq") >= percent * (F.col("nq") + F.col("small")))
+    found = shared.stage_table(probe.join(index, "sign").where(fits).select("rep", "g", "part").distinct(), "found")
+    query = found.join(left.select("rep", "n", "tokens", "label"), "rep")
+    query = _parted(query, ["g", "part"], QUERIES, GROUP_TOKENS, "turn")
+    turns = query.select("g", "part", F.col("turn").alias("for")).distinct()
+    held = members.join(turns, ["g", "part"]).select("g", "part", "for", "label", "tokens")
+    opened = query.select("g", "part", "turn", "label", "tokens").groupBy("g", "part", "turn").cogroup(held.groupBy("g", "part", "for"))
+    return opened.applyInArrow(_open_groups(percent), "src long, dst long").distinct()
+
+
+def _unnamed(label: str = "label", extra: str = "extra") -> Column:
+    """The vertex of a class whose rows have no doc_id: above 2^62, so any real id names the component."""
+    return F.xxhash64(label, extra).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+
+
+def _stars(links: DataFrame, name: str) -> DataFrame:
+    """(rep, component) of links (src, dst) with src > dst, where the dst are few.
+
+    Each src stands with its least dst; components are sought among the dst
+    alone, so a large group costs one row a member, once.
+    """
+    own = shared.stage_table(links.groupBy("src").agg(F.min("dst").alias("m")), f"{name}-own")
+    hubs = links.select(F.col("dst").alias("node")).distinct()
+    more = links.join(own, "src").where("dst <> m").select("m", "dst").distinct()
+    chain = own.join(hubs, own["src"] == hubs["node"], "left_semi").select("src", "m")
+    edges = more.select(F.col("m").alias("src"), "dst").unionByName(chain.select("src", F.col("m").alias("dst")))
+    whole = shared.connected_components(edges, name)
+    placed = own.unionByName(hubs.join(own, hubs["node"] == own["src"], "left_anti").select(F.col("node").alias("src"), F.col("node").alias("m")))
+    return placed.join(whole, placed["m"] == whole["node"], "left").select(F.col("src").alias("rep"), F.coalesce("component", "m").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, first_share: float = FIRST_SHARE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Null and empty texts have no shingles and are linked with nothing.  Rows
-    that share a doc_id are one vertex; a null doc_id is a vertex that gets a
-    component only through equal sets.  An empty table gives an empty result;
-    other columns are ignored.
+    that share a doc_id are one vertex.  Rows of a null doc_id link by their
+    texts as all others do; component_id is null only where no linked row has
+    a doc_id.  Very long texts are read whole.  Ties and repeated rows change
+    nothing.  An empty table gives an empty result; other columns are ignored.
     """
     texts = arrow_text.id_and_text(docs, id_col, text_col)
-    ranges = _ranges(texts)
-    seen = shared.stage_table(_elsewhere(texts, _text_blocks(ranges, width), ranges), "shingled")
-    classes = seen.where("n > 0").groupBy("label", "extra").agg(F.min("doc_id").alias("rep"), F.max(100 * F.col("elsewhere") >= percent * F.col("n")).alias("near"))
-    classes = shared.stage_table(classes, "classes")
-    reps = classes.where("near").select(F.col("rep").alias("doc_id"))
-    near = texts.where("doc_id IS NOT NULL").join(reps, "doc_id", "left_semi")
-    sets = shared.stage_table(_token_sets(near, width), "sets")
-    links = shared.stage_table(_pivot_links(sets, percent), "pivots")
-    label = shared.connected_components(links, "stars").select(F.col("node").alias("rep"), "component")
-    grouped = sets.join(label, "rep", "left").select("rep", "n", "tokens", F.coalesce("component", "rep").alias("label"))
+    seen = shared.stage_table(_shingled(texts, width, percent, first_share), "shingled")
+    some = seen.where("n > 0")
+    told = _elsewhere(some.select("doc_id", "extra", "need", "label", F.col("first").alias("tokens")), ["doc_id", "label", "extra", "need"], "met")
+    near = told.where("elsewhere >= need").select("label", "extra").distinct().withColumn("near", F.lit(True))
+    classes = some.groupBy("label", "extra").agg(F.min("doc_id").alias("rep")).join(near, ["label", "extra"], "left")
+    classes = shared.stage_table(classes.select("label", "extra", F.coalesce("rep", _unnamed()).alias("rep"), F.coalesce("near", F.lit(False)).alias("near")), "classes")
+    reps = classes.where("near")
+    sets = _token_sets(texts.where("doc_id IS NOT NULL").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), width)
+    # rows without an id are found by their sets; where all rows have one, this scans statistics only
+    bare = _token_sets(texts.where("doc_id IS NULL"), width).withColumn("rep", _unnamed()).dropDuplicates(["rep"]).join(reps.select("rep"), "rep", "left_semi")
+    sets = shared.stage_table(sets.unionByName(bare.select(sets.columns)).drop("label", "extra"), "sets")
+    pairs = shared.stage_table(_pivot_links(sets, percent), "pivots")
+    label = shared.stage_table(_stars(pairs.where("linked").select("src", "dst"), "links"), "stars")
+    kin = _stars(pairs.select("src", "dst"), "akin").withColumnRenamed("component", "key")
+    grouped = sets.join(label, "rep", "left").join(kin, "rep", "left").select("rep", "n", "tokens", F.coalesce("key", "rep").alias("key"), F.coalesce("component", "rep").alias("label"))
     grouped = shared.stage_table(grouped, "grouped")
-    cross = _elsewhere(grouped, _set_blocks(ranges), ranges)
-    left = cross.where(100 * F.col("elsewhere") >= percent * F.col("n")).select(F.col("doc_id").alias("rep"))
-    left = shared.stage_table(grouped.join(left, "rep", "left_semi"), "left")
+    cross = _elsewhere(grouped, ["rep", "n"], "crossed")
+    left = cross.where(100 * F.col("elsewhere") >= percent * F.col("n")).select("rep", "elsewhere")
+    left = shared.stage_table(grouped.join(left, "rep"), "left")
     more = shared.stage_table(_matrix_links(left, percent), "matrix")
-    stars = label.where("rep <> component").select(F.col("rep").alias("src"), F.col("component").alias("dst"))
-    whole = shared.connected_components(stars.unionByName(more), "whole")
-    named = classes.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").select("label", "extra", F.coalesce("component", "rep").alias("component"))
-    out = seen.join(named, ["label", "extra"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    whole = shared.connected_components(more, "whole").select(F.col("node").alias("whole"), F.col("component").alias("least"))
+    named = classes.join(label, "rep", "left").select("label", "extra", F.coalesce("component", "rep").alias("own"))
+    named = named.join(whole, named["own"] == whole["whole"], "left").select("label", "extra", F.coalesce("least", "own").alias("component"))
+    out = seen.select("doc_id", "n", "label", "extra").join(named, ["label", "extra"], "left")
+    component = F.when(F.col("component") < F.lit(1 << 62), F.col("component"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce(component, "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_token_group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

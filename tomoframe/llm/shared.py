@@ -8,14 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only in local mode, where the session names no shared folder, as in tests.
 LOCAL_DIR = "/tmp/checkpoints"
 
+#: Folders that stage_table wrote in this process and nobody released yet.
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, read from the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
+
+    Unset, a local session gets a folder of its own; on a cluster, where each
+    machine would write to its own disk, that is an error.
+    """
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = LOCAL_DIR
         spark.conf.set("spark.checkpoint.dir", own)
     return own.rstrip("/")
@@ -24,15 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    Each call writes a folder of its own; the files stay until the folder is
-    cleaned, as the returned frame reads them lazily.
+    Each call writes a folder of its own; the files stay until `release` or
+    until the folder is cleaned, as the returned frame reads them lazily.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the stage tables written so far; call it once the results that read them are stored.  Returns their number."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        at = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(at.getFileSystem(conf).delete(at, True))
+    return n
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
