@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tomoframe.llm import shared
 
 GAIN_BUCKETS = 20
+#: A line whose users are all in one shard counts so much for it.
+VOTE = 1 << 20
 #: Most rounds, and the share of all rows that a round must move for another one to follow.
 ROUNDS, LEAST_MOVED = 8, 0.001
 
@@ -42,7 +44,8 @@ def _propagate(edges: DataFrame, label: DataFrame, shards: int, k: int) -> DataF
     held = [F.sum(F.when(F.col("label") == s, F.col("w")).otherwise(0)).alias(f"h{s}") for s in range(shards)]
     lines = at.groupBy("line").agg(F.sum("w").alias("users"), *held)
     seen = edges.join(lines, "line")
-    votes = seen.groupBy("node").agg(*[F.sum(F.col(f"h{s}") / F.col("users")).alias(f"h{s}") for s in range(shards)])
+    # whole numbers, so that sums do not depend on their order
+    votes = seen.groupBy("node").agg(*[F.sum(F.floor(F.col(f"h{s}") * VOTE / F.col("users"))).alias(f"h{s}") for s in range(shards)])
     score = F.array(*[F.col(f"h{s}") for s in range(shards)])
     wish = (
         votes.join(label.select("node", "w", "label"), "node")
@@ -51,7 +54,7 @@ def _propagate(edges: DataFrame, label: DataFrame, shards: int, k: int) -> DataF
         .withColumn("to", (F.array_position("score", F.col("best")) - 1).cast("int"))
         .withColumn("gain", F.col("best") - F.element_at("score", F.col("label") + 1))
         .where((F.col("gain") > 0) & (F.col("to") != F.col("label")))
-        .select("node", "w", F.col("label").alias("src"), "to", F.least(F.floor(F.log2(1 + F.col("gain")) * 4), F.lit(GAIN_BUCKETS - 1)).alias("bucket"))
+        .select("node", "w", F.col("label").alias("src"), "to", F.least(F.floor(F.log2(1 + F.col("gain") / VOTE) * 4), F.lit(GAIN_BUCKETS - 1)).alias("bucket"))
     )
     wish = shared.stage_table(wish, f"wish{k}")
     # quotas: at most shards * shards * GAIN_BUCKETS rows, whatever the input
