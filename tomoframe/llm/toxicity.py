@@ -46,8 +46,8 @@ TOP = 1
 #: Letter of no landmark, put between a telling landmark's letters to make virtual examples.
 STRANGE = "\U00010400"
 
-#: Subsequences that are looked at in one pass.
-PART = 1 << 19
+#: Subsequences that are looked at in one pass, and most cells of a table by code.
+PART, TABLE = 1 << 19, 1 << 24
 _STEPS = np.array(list(itertools.combinations(range(1, SPAN), 2))).T
 #: Weights by span: SPAN letters and a gap of other characters after each.
 _DECAYS = DECAY ** np.arange(2 * SPAN + 1)
@@ -92,7 +92,7 @@ class SubsequenceKernel:
 
     def __init__(self, landmarks: list[str]) -> None:
         self.landmarks = landmarks
-        chars = sorted({c for w in landmarks for c in w if c.isalnum()})[:254]
+        chars = sorted({c for w in landmarks for c in w if c.isalnum()})
         self.base = len(chars) + 1
         self.code = {ord(c): i + 1 for i, c in enumerate(chars)}
         cells: dict[tuple[int, int], float] = {}
@@ -110,10 +110,20 @@ class SubsequenceKernel:
         self.holder = np.array([k for _, k in order], np.int64)
         self.share = np.array([cells[c, k] / norm[k] for c, k in order])
         kinds, first, many = np.unique(np.array([c for c, _ in order], np.int64), return_index=True, return_counts=True)
-        self.row = np.full(self.base**3, -1, np.int32)
-        self.row[kinds] = np.arange(len(kinds))
+        self.kinds = kinds
+        self.row = None
+        if self.base**3 <= TABLE:  # a table by code; an alphabet too large for one is searched
+            self.row = np.full(self.base**3, -1, np.int32)
+            self.row[kinds] = np.arange(len(kinds))
         self.first, self.many = first, many
 
+    def _rows(self, codes: np.ndarray) -> np.ndarray:
+        """Row of each subsequence that a landmark has, -1 for the others."""
+        if self.row is not None:
+            return self.row[codes]
+        at = np.minimum(np.searchsorted(self.kinds, codes), max(0, len(self.kinds) - 1))
+        return np.where(self.kinds[at] == codes, at, -1) if len(self.kinds) else np.full(len(codes), -1)
+
     def _subsequences(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Codes (-1: a character of no landmark), weights and word numbers of all subsequences, in parts of bounded size."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -146,7 +156,7 @@ class SubsequenceKernel:
         for codes, weights, owner in self._subsequences(words):
             square += np.bincount(owner, weights**2, len(words))
             hit = np.flatnonzero(codes >= 0)
-            row = self.row[codes[hit]]
+            row = self._rows(codes[hit])
             hit, row = hit[row >= 0], row[row >= 0]
             many = self.many[row]
             each = np.repeat(np.arange(len(hit)), many)
@@ -234,7 +244,7 @@ def _landmarks(sample: DataFrame, n: int, common: int) -> tuple[dict[str, float]
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = sorted({x for s in sentences(text) for w in s if 3 <= len(x := _clean_word(w)) <= 24})
+                found = sorted({x for s in sentences(text) for w in s if len(x := _clean_word(w)) >= 3})  # shorter ones have no subsequence of three
                 yield pa.RecordBatch.from_pydict({"word": pa.array(found, pa.string()), "toxic": pa.array([int(toxic)] * len(found), pa.int32())})
 
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
