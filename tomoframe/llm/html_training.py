@@ -82,8 +82,12 @@ def _main(w: Writer, keep: list[str]) -> str:
             parts.append(add("blockquote", w.prose(1, 3)))
         elif x < 0.93:
             parts.append("<figure><img src=x>" + add("figcaption", w.phrase(3, 9)) + "</figure>")
-        elif x < 0.95:
+        elif x < 0.945:
             parts.append("<table><tr>" + "".join(add("td", w.phrase(1, 3)) for _ in range(3)) + "</tr></table>")
+        elif x < 0.955:
+            parts.append("<dl>" + "".join(add("dt", w.phrase(1, 3)) + add("dd", w.phrase(2, 12)) for _ in range(w.r.randint(1, 4))) + "</dl>")
+        elif x < 0.965:
+            parts.append(add("pre", w.prose(1, 2)))
         else:
             parts.append(w.r.choice(FURNITURE_INSIDE)(w))
     return "".join(parts)
@@ -145,15 +149,17 @@ def _footer(w: Writer) -> str:
 FURNITURE_INSIDE: list[Callable[[Writer], str]] = [_advert, _notice, _form, _share, _sidebar]
 
 
-def page(seed: int) -> tuple[str, list[str]]:
-    """One random page and its main text blocks in page order."""
+def page(seed: int, layout: str | None = None) -> tuple[str, list[str]]:
+    """One random page and its main text blocks in page order; layout 'table' or 'section' asks for that family."""
     w = Writer(seed)
     keep: list[str] = []
     body = _main(w, keep)
     late = _comments(w) if w.r.random() < 0.3 else ""
     inside = w.r.random() < 0.3
     holder = w.pick("article", "article", "article", "main", "div", "section")
-    named = "" if holder in ("article", "main") and w.r.random() < 0.7 else w.name("content", "post", "entry-content", "article-body", "story", "post-body", "main-content", "text", "article", "body-copy")
+    if layout == "section":
+        holder = layout
+    named = "" if w.r.random() < (0.7 if holder in ("article", "main") else 0.4) else w.name("content", "post", "entry-content", "article-body", "story", "post-body", "main-content", "text", "article", "body-copy")
     core = f"<{holder}{named}>{body}{late if inside else ''}</{holder}>"
     if w.r.random() < 0.3:
         core = f"<main{w.pick('', w.name('main', 'content'))}>{core}</main>"
@@ -165,5 +171,19 @@ def page(seed: int) -> tuple[str, list[str]]:
     wrap = w.pick("", "", f"<div{w.name('wrapper', 'container', 'page', 'site', 'row')}>")
     title = w.phrase(2, 9) if not keep or w.r.random() < 0.5 else keep[0]
     head = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{title}</title><style>p{{}}</style><script>var a='<p>no</p>';</script></head>"
-    doc = f"{head}<body>{wrap}{''.join(before)}{core}{''.join(after)}{end}{'</div>' if wrap else ''}</body></html>"
+    if layout == "table" or (layout is None and w.r.random() < 0.08):
+        inside = _table_layout(w, core, before, after)
+    else:
+        inside = f"{''.join(before)}{core}{''.join(after)}"
+    doc = f"{head}<body>{wrap}{inside}{end}{'</div>' if wrap else ''}</body></html>"
     return doc, keep
+
+
+def _table_layout(w: Writer, core: str, before: list[str], after: list[str]) -> str:
+    """The page as one table: a row of furniture above, or a column of it beside the article; menus as cells."""
+    cells = "".join(f'<td><a href="/{k}">{w.r.choice(MENU + w.word().split())}</a></td>' for k in range(w.r.randint(2, 7)))
+    column = "".join(f'<a href="/{k}">{w.r.choice(MENU + w.word().split())}</a><br>' for k in range(w.r.randint(2, 7)))
+    menu = w.pick(f"<tr>{cells}</tr>", f"<tr><td>{column}</td></tr>", "")
+    side = w.pick(f"<td width=150>{column}</td>", f"<td>{''.join(before)}</td>", "")
+    body = f"<tr>{side}<td>{core}</td>" + w.pick("", f"<td>{''.join(after)}</td>") + "</tr>"
+    return f"<table width=100%>{menu}{body}</table>"
