@@ -1,4 +1,4 @@
-"""Public licence texts and the short notices that stand for one."""
+"""Public licence texts, digests of longer ones, and the short notices that stand for one."""
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -124,6 +124,23 @@ TEXTS = {
     "Zlib": ZLIB,
 }
 
+#: Canonical digests (licenses.digest) of whole texts that are too long to keep here.
+DIGESTS = {
+    "Apache-2.0": "da187ac63b0466f81f7874c08f63ec7f0895617b03cd3de1c02ee97e3a8ddb5c",
+    "Artistic-1.0-Perl": "ab9e0a4960f3366c6e09c86510fe9dd469d242185a905b440792fcc4a45b46ef",
+    "CC0-1.0": "bd0e52fb1af40ab9797ba72f1d627b83d449e9926f66d21c51209413ac988137",
+    "GFDL-1.2": "a460da9cc647a93f7b1cba45506724d062ee56034ab707b1cfdb0ab6f655aaa0",
+    "GFDL-1.3": "3fbb720efa15e915c57734dc48836e262698a2ad2bfc6a00dbec4bea56edd6ef",
+    "GPL-1.0": "fbb45e8595b7f475aa60f2b14dd1cd5067b2d984202e6ebe54d02218d9c1a9c4",
+    "GPL-2.0": "9aae015a6322bbdec1a61c624a33b2c7d3b56283db1642e6e18d7820d4957b61",
+    "GPL-3.0": "6ff3a9a8b11f055a64cb21003d19dbe88dd6a41f7487672c402dfe38b6fe2582",
+    "LGPL-2.0": "2f0a8618627c179dd830ddb8fa74635ae037468a5880f3b46a73915ae1990c24",
+    "LGPL-2.1": "56d21d93f6012cbd7f1195b72528da245ccf843598ff833a87101eb36863f95b",
+    "LGPL-3.0": "f0cae4b317f4f263dca8e79625f8d9c7618c87e0ca6665c79b0f1c12ac856938",
+    "MPL-1.1": "3ab970a717aafe7354b1f5fa3cff331a385afe695f48cf7e3c23423f5d1b7b28",
+    "MPL-2.0": "ecd73d0b06133127f062aa0bf409528a05378c67b442f2d240aef1f3a2391628",
+}
+
 #: Notices that are a text's or a line's whole content.
 NOTICES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
@@ -137,3 +154,9 @@ NOTICES = {
     "GPL-3.0": ("Licensed under the GNU General Public License v3.0.", "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0"),
     "MIT": ("Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Released under the MIT License."),
 }
+
+#: The identifier line of every licence known here, in its plain, "only" and "or later" forms.
+for _id in sorted({*TEXTS, *DIGESTS, *NOTICES}):
+    _forms = [_id, f"{_id}-only", f"{_id}-or-later"] if _id.split("-")[0] in ("GPL", "LGPL", "GFDL") else [_id]
+    _lines = tuple(f"SPDX-License-Identifier: {x}" for x in _forms)
+    NOTICES[_id] = (*NOTICES.get(_id, ()), *(x for x in _lines if x not in NOTICES.get(_id, ())))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomoframe.llm import shared
-from tomoframe.llm.license_texts import NOTICES, TEXTS
+from tomoframe.llm.license_texts import DIGESTS, NOTICES, TEXTS
 
 #: Lines that name a right holder or reserve rights, in lower case.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©)?[ \t]*(?:[0-9]{4}|<year>|\[year\]|by )[^\n]*|all rights reserved[. ]*)$"
@@ -55,9 +55,10 @@ def digest(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """(license_id, digest) of the built-in texts and notices: some dozens of rows."""
+    """(license_id, digest) of the built-in texts, digests and notices: some dozens of rows."""
     rows = [(k, v) for k, v in TEXTS.items()] + [(k, x) for k, v in NOTICES.items() for x in v]
-    return spark.createDataFrame(rows, "license_id string, text string").select("license_id", digest(F.col("text")).alias("digest")).distinct()
+    made = spark.createDataFrame(rows, "license_id string, text string").select("license_id", digest(F.col("text")).alias("digest"))
+    return made.unionByName(spark.createDataFrame(list(DIGESTS.items()), "license_id string, digest string")).distinct()
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,10 +67,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     Every input row gives one row of unit 'text' (line_no -1), its license_id
     null where the whole text is no known licence, and one row of unit 'line'
     for each matched line.  known has (license_id, digest); where two ids
-    share a digest both are returned.  Null texts count as empty.  Repeated
-    rows are scanned one by one, an empty table gives an empty result, other
-    columns are ignored.
+    share a digest, the first in order is returned.  Null texts count as
+    empty, very long ones are hashed whole.  Repeated rows are scanned one by
+    one, an empty table gives an empty result, other columns are ignored.
     """
+    known = known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
     text = shared.text_or_empty(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("__t"))
     whole = base.select("doc_id", F.lit("text").alias("unit"), F.lit(-1).alias("line_no"), digest(F.col("__t")).alias("digest"))
@@ -101,10 +103,14 @@ def _sql_canonical(x: str) -> str:
 
 
 _ROWS = ", ".join(f"({_quoted(k)}, {_quoted(x)})" for k, x in [*TEXTS.items(), *((k, x) for k, v in NOTICES.items() for x in v)])
+_KNOWN = ", ".join(f"({_quoted(k)}, {_quoted(x)})" for k, x in DIGESTS.items())
 _SOME = " OR ".join(f"contains(lower(%s), '{m}')" for m in MENTIONS)
 SQL = f"""
 WITH known AS (
-  SELECT DISTINCT license_id, sha256({_sql_canonical("text")}) AS digest FROM (VALUES {_ROWS}) AS k(license_id, text)
+  SELECT min(license_id) AS license_id, digest FROM (
+    SELECT license_id, sha256({_sql_canonical("text")}) AS digest FROM (VALUES {_ROWS}) AS k(license_id, text)
+    UNION ALL SELECT * FROM (VALUES {_KNOWN}) AS d(license_id, digest)
+  ) GROUP BY digest
 ), base AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 cut AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM base),
 lines AS (SELECT doc_id, unnest(range(len(ls)))::INTEGER AS line_no, unnest(ls) AS line FROM cut)
