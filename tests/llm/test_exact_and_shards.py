@@ -117,6 +117,26 @@ def test_license_variants_share_a_digest(spark):
     assert {r.doc_id: r.license_id for r in got} == {0: "MIT", 1: "MIT", 2: "MIT", 3: "MIT", 9: None, 10: None}
 
 
+def test_two_ids_on_one_digest_give_one_row(spark):
+    from pyspark.sql import functions as F
+
+    known = licenses.known_licenses(spark)
+    twice = known.unionByName(known.where("license_id = 'MIT'").withColumn("license_id", F.lit("AAA")))
+    from tomoframe.llm.license_texts import TEXTS
+
+    got = licenses.scan_licenses(spark.createDataFrame([(1, TEXTS["MIT"])], "doc_id long, text string"), twice).collect()
+    assert [(r.doc_id, r.unit, r.license_id) for r in got] == [(1, "text", "AAA")]
+
+
+def test_identifier_lines_of_every_known_license(spark):
+    from tomoframe.llm.license_texts import DIGESTS, NOTICES, TEXTS
+
+    ids = sorted({*TEXTS, *DIGESTS, *NOTICES})
+    text = "\n".join(f"// SPDX-License-Identifier: {x}" for x in ids)
+    got = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), licenses.known_licenses(spark)).where("unit = 'line'")
+    assert [r.license_id for r in got.orderBy("line_no").collect()] == ids
+
+
 def test_license_notice_lines(edge_docs, spark):
     got = licenses.scan_licenses(edge_docs, licenses.known_licenses(spark))
     assert got.where("unit = 'text'").count() == len(edge_rows())

@@ -1,9 +1,11 @@
 """Quality grades by ordinal cumulative-link regression on hashed text.
 
 P(grade > k) = sigmoid(w . x - threshold_k): one weight vector shared by all
-grades and ordered thresholds.  x holds the shares of hashed words and of
-hashed pairs of neighbouring character classes.  The fit uses a bounded
-sample of labelled documents; scoring gathers one weight per word.
+grades and ordered thresholds.  x holds the shares of hashed words, the
+presence of hashed words (a few telling words count as much in a long text as
+in a short one), and the shares of pairs of neighbouring character classes.
+The fit uses a bounded sample of labelled documents; scoring gathers one
+weight per word and one per different word.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from tomoframe.functions.cluster import ship
 from tomoframe.llm import arrow_text, shared
 
-WORD_BITS = 14
+WORD_BITS, PRESENCE_BITS = 14, 16
+#: Value of the presence of a word, against shares that sum to 1.
+PRESENCE = 0.3
 #: Bound of the training sample: labelled documents of each grade.
 MAX_DOCS = 2000
 GRADES = 3
@@ -40,29 +44,34 @@ def _kinds() -> np.ndarray:
 
 
 class Features:
-    """Word buckets and class-pair counts of texts."""
+    """Word buckets, buckets of different words and class-pair counts of texts."""
 
-    size = (1 << WORD_BITS) + _KINDS * _KINDS
+    pairs = 1 << WORD_BITS
+    present = pairs + _KINDS * _KINDS
+    size = present + (1 << PRESENCE_BITS)
 
     def __init__(self) -> None:
         self.words = arrow_text.WordHasher(seed=3)
         self.kind = _kinds()
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bucket of every word, words of each text, pair shares with one row a text)."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket of every word, words of each text, pair shares with one row a text, (text, presence bucket) pairs)."""
         hashes, counts = self.words(texts)
         pairs = np.zeros((len(texts), _KINDS * _KINDS))
         for i, t in enumerate(texts):
             k = self.kind[np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)]
             if len(k) > 1:
                 pairs[i] = np.bincount(k[:-1] * _KINDS + k[1:], minlength=_KINDS * _KINDS) / (len(k) - 1)
-        return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), counts, pairs
+        owner = np.repeat(np.arange(len(texts)), counts) << PRESENCE_BITS
+        different = np.unique(owner + (hashes >> np.uint64(64 - PRESENCE_BITS)).astype(np.int64))
+        return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), counts, pairs, different >> PRESENCE_BITS, different & ((1 << PRESENCE_BITS) - 1)
 
     def linear(self, texts: list[str], weight: np.ndarray) -> np.ndarray:
-        buckets, counts, pairs = self(texts)
+        buckets, counts, pairs, owner, different = self(texts)
+        present = np.bincount(owner, weight[self.present + different], len(texts)) * PRESENCE
         sums = np.concatenate(([0.0], np.cumsum(weight[buckets])))
         ends = np.cumsum(counts)
-        return (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1) + np.sqrt(pairs) @ weight[1 << WORD_BITS :]
+        return (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1) + np.sqrt(pairs) @ weight[self.pairs : self.present] + present
 
 
 @dataclass
@@ -82,8 +91,12 @@ def rated(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", grade.alias("grade"))
 
 
-def train(docs: DataFrame, ratings: DataFrame, grades: int = GRADES, max_docs: int = MAX_DOCS, rounds: int = 300) -> OrdinalModel:
-    """Fits on at most max_docs rated documents of each grade, none held out; the driver gets their hashed features."""
+def train(docs: DataFrame, ratings: DataFrame, grades: int = GRADES, max_docs: int = MAX_DOCS, rounds: int = 300, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+    """Fits on at most max_docs rated documents of each grade, none held out; the driver gets their hashed features.
+
+    ratings has (doc_id, grade).  Without any usable rating the weights are 0
+    and the thresholds 0, 1, ..
+    """
     from tomoframe.llm.toxicity import held_out
 
     ship(docs.sparkSession)
@@ -92,17 +105,17 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = GRADES, max_docs: i
     for g in range(grades):
         part = usable.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = docs.select(F.col(id_col).alias("doc_id"), shared.text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
         for batch in batches:
             for doc, grade, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                buckets, counts, pairs = make([text])
+                buckets, counts, pairs, _, different = make([text])
                 at, n = np.unique(buckets, return_counts=True)
                 some = np.flatnonzero(pairs[0])
-                i = np.concatenate([at, some + (1 << WORD_BITS)])
-                v = np.concatenate([n / max(1, int(counts[0])), np.sqrt(pairs[0][some])])
+                i = np.concatenate([at, some + Features.pairs, different + Features.present])
+                v = np.concatenate([n / max(1, int(counts[0])), np.sqrt(pairs[0][some]), np.full(len(different), PRESENCE)])
                 yield pa.RecordBatch.from_pydict({"doc": pa.array([doc], pa.int64()), "grade": pa.array([grade], pa.int32()), "i": pa.array([i.astype(np.int32)], pa.list_(pa.int32())), "v": pa.array([v.astype(np.float32)], pa.list_(pa.float32()))})
 
     got = sample.select(F.col("doc_id").cast("long").alias("doc"), "grade", "text").mapInArrow(rows, "doc long, grade int, i array<int>, v array<float>").orderBy("doc", "grade").toArrow()
@@ -114,7 +127,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = GRADES, max_docs: i
     return fit(row, col, val, y, grades, Features.size, rounds)
 
 
-def fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, grades: int, size: int, rounds: int = 300, ridge: float = 1e-4) -> OrdinalModel:
+def fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, grades: int, size: int, rounds: int = 300, ridge: float = 1e-3) -> OrdinalModel:
     """Adam on the cumulative-link loss; gaps between thresholds stay positive as exponentials."""
     n = len(y)
     w, first, gaps = np.zeros(size), 0.0, np.zeros(grades - 2)
@@ -142,8 +155,9 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, select_grade: int = SE
     """One row per input row: doc_id, held_out, expected_grade, tail_1 .. tail_k, selected.
 
     Null and empty texts have no features and get the grade of the thresholds
-    alone.  Repeated rows are graded one by one, an empty table gives an empty
-    result, other columns are ignored.
+    alone; very long texts are read whole.  Repeated rows are graded one by
+    one, equal texts alike, an empty table gives an empty result, other
+    columns are ignored.
     """
     from tomoframe.llm.toxicity import held_out
 
