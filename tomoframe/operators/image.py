@@ -32,6 +32,12 @@ def em_update(image: DataFrame, update: DataFrame, sens: DataFrame, threshold: f
     return e.select("t", "vox", x.alias("value"))
 
 
+def em_update_4d(image: DataFrame, update: DataFrame, sens: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """x *= u / s where s > threshold, by frame and voxel; sens is (t, vox, sens)."""
+    e = image.join(update.select("t", "vox", F.col("value").alias("u")), ["t", "vox"]).join(sens.select("t", "vox", "sens"), ["t", "vox"])
+    return e.select("t", "vox", F.when(F.col("sens") > threshold, F.col("value") * F.col("u") / F.col("sens")).otherwise(F.col("value")).alias("value"))
+
+
 def convolve_axis(image: DataFrame, kernel: list[float], axis: int, g: Grid = GRID, adjoint: bool = False) -> DataFrame:
     """Circular convolution along one axis: each voxel sends its weighted value to its neighbours, one partial aggregate."""
     n, step = (g.nx, g.ny, g.nz)[axis], (1, g.nx, g.nx * g.ny)[axis]

@@ -167,6 +167,12 @@ def back(matrix: DataFrame, data: DataFrame, key: str = "bin") -> DataFrame:
     return matrix.join(y, key).groupBy("vox").agg(F.sum(F.col("w") * F.col("__y")).alias("value"))
 
 
+def back_lors(lors: DataFrame, g: Grid = GRID, tof: tuple[float, float] | None = None) -> DataFrame:
+    """(vox, value): sum of w * y over lines with their value: it travels with the line, so nothing is joined."""
+    m = siddon(lors.where("value <> 0"), g, tof, keep=("value",))
+    return m.groupBy("vox").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
 def attenuation(value: Column) -> Column:
     """Survival factor of a line integral of an attenuation image (1/cm, lengths in mm)."""
     return F.exp(F.lit(-0.1) * value)

@@ -18,7 +18,11 @@ START, FLOOR = 0.125, 1e-35
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df in the shared folder that the session names and reads it back, to cut an iteration's lineage."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"
     path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -41,8 +45,16 @@ def correction_factors(rows: DataFrame, sens: DataFrame, acf: DataFrame, scatter
 
 def sensitivity(matrix: DataFrame, factors: DataFrame, threshold: float = 0.0, scale: float = 1.0, key: str = "bin") -> DataFrame:
     """(vox, sens): back projection of the factors, zero below the threshold."""
-    s = project.back(matrix, factors, key)
-    return s.select("vox", F.when(F.col("value") > threshold, F.col("value") * scale).otherwise(0.0).alias("sens"))
+    return _above(project.back(matrix, factors, key), threshold, scale)
+
+
+def sensitivity_lors(lors: DataFrame, threshold: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """(vox, sens) of lines that carry their factor as value: no join with a written matrix."""
+    return _above(project.back_lors(lors), threshold, scale)
+
+
+def _above(image: DataFrame, threshold: float, scale: float) -> DataFrame:
+    return image.select("vox", F.when(F.col("value") > threshold, F.col("value") * scale).otherwise(0.0).alias("sens"))
 
 
 def start_image(sens: DataFrame, value: float = START) -> DataFrame:
@@ -96,6 +108,22 @@ def low_rank_back_h(matrix: DataFrame, data: DataFrame, w: DataFrame, frames: Da
     return e.groupBy("rank", "frame").agg(F.sum(F.col("w") * F.col("__y") * F.col("__w")).alias("value"))
 
 
+def low_rank_dual(matrix: DataFrame, data: DataFrame, w: DataFrame, h: DataFrame, frames: DataFrame) -> DataFrame:
+    """(rank, vox, frame, value): the updates of W (frame null) and of H (vox null) from one pass over the matrix."""
+    y = data.where("value <> 0").select("bin", F.col("value").alias("__y")).join(frames, "bin").join(h, "frame")
+    e = matrix.join(y, "bin").join(w.select("rank", "vox", F.col("value").alias("__w")), ["rank", "vox"])
+    part = F.col("w") * F.col("__y")
+    both = e.select("rank", "vox", "frame", (part * F.col("h")).alias("__dw"), (part * F.col("__w")).alias("__dh"))
+    keys = [F.col(c) for c in ("rank", "vox", "frame")]
+    got = both.groupingSets([[keys[0], keys[1]], [keys[0], keys[2]]], *keys).agg(F.sum("__dw").alias("__dw"), F.sum("__dh").alias("__dh"))
+    return got.select(*keys, F.when(F.col("frame").isNull(), F.col("__dw")).otherwise(F.col("__dh")).alias("value"))
+
+
+def low_rank_sensitivity_h(w: DataFrame, sens: DataFrame) -> DataFrame:
+    """(rank, c): sum over voxels of W * sensitivity, which scales the update of H."""
+    return w.join(sens.select("vox", "sens"), "vox").groupBy("rank").agg(F.sum(F.col("value") * F.col("sens")).alias("c"))
+
+
 def low_rank_scaling(h: DataFrame) -> DataFrame:
     return h.groupBy("rank").agg(F.sum("h").alias("c"))
 

@@ -48,6 +48,9 @@ def interpolate(lors: DataFrame, values: DataFrame, s: Space = SPACE, key: str =
         plane = (F.greatest(F.lit(lowest), F.least(F.lit(-lowest), F.col(f"z{k}"))) + F.lit(s.axial / 2)) / step - F.lit(0.5)
         angle = wrap(F.atan2(f"y{k}", f"x{k}")) / turn - F.lit(0.5)
         e = e.withColumns({f"__p{k}": plane, f"__a{k}": angle})
+    # the generator keeps the optimizer from writing these four out again in each of the 16 corners
+    base = F.struct(*[f"__{c}{k}" for k in "12" for c in "pa"])
+    e = e.select(key, F.explode(F.array(base)).alias("__b")).select(key, "__b.*")
     corner = lambda k: [
         F.struct(
             F.least(F.floor(f"__p{k}") + dp, F.lit(s.planes - 1)).alias("p"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomoframe.functions.geometry import FAKE, Scanner, block, in_plane_angle_diff, periodic_diff, ring, ring_pos
@@ -61,3 +61,30 @@ def mark_disabled(rows: DataFrame, mask: DataFrame) -> DataFrame:
     on = F.coalesce(F.col("__on1"), F.lit(False)) & F.coalesce(F.col("__on2"), F.lit(False))
     out = rows.join(a, "d1", "left").join(b, "d2", "left").withColumn("__on", on)
     return out.withColumns({"d1": F.when(F.col("__on"), F.col("d1")).otherwise(0), "d2": F.when(F.col("__on"), F.col("d2")).otherwise(0)}).drop("__on", "__on1", "__on2")
+
+
+def range_2d(spark: SparkSession, slices: int, size: int, stride: int, first: int = 0) -> DataFrame:
+    """(bin): first + slice * stride + i for all i below size."""
+    i = F.col("id")
+    return spark.range(slices * size).select((F.lit(first) + F.floor(i / size) * stride + i % size).alias("bin"))
+
+
+def scanner_constraint(rows: DataFrame, mask: DataFrame | None) -> DataFrame:
+    """The constraint that a scanner implies: both detectors enabled, if it has a mask."""
+    return rows if mask is None else both_enabled(rows, mask)
+
+
+def zeroed(rows: DataFrame, valid: Column, columns: list[str]) -> DataFrame:
+    """Keeps all rows; the columns are 0 where valid is not true."""
+    ok = F.coalesce(valid, F.lit(False))
+    return rows.withColumns({c: F.when(ok, F.col(c)).otherwise(F.lit(0).cast(t)) for c, t in rows.dtypes if c in columns})
+
+
+def parse_ranges(text: Column) -> Column:
+    """Array of (lo, hi) from text like '0-5, 8, 10-12'."""
+    parts = F.filter(F.split(F.regexp_replace(text, r"\s", ""), ","), lambda x: F.length(x) > 0)
+    return F.transform(parts, lambda x: F.struct(F.split_part(x, F.lit("-"), F.lit(1)).cast("long").alias("lo"), F.element_at(F.split(x, "-"), -1).cast("long").alias("hi")))
+
+
+def in_ranges(value: Column, ranges: Column) -> Column:
+    return F.exists(ranges, lambda x: value.between(x["lo"], x["hi"]))

@@ -9,17 +9,29 @@ from pyspark.sql import functions as F
 def assign_frames(rows: DataFrame, frames: DataFrame, most: int = 10_000) -> DataFrame:
     """Adds frame: t_start <= ts_ms < t_stop, -1 outside.
 
-    Frames are a short literal list; more than `most` of them are refused, as
-    the bounds become one expression that is searched per row without a join.
+    Up to `most` frames become one expression that is searched per row without
+    a join; more of them are met by a join on time buckets.
     """
     bounds = [tuple(r) for r in frames.select("frame", "t_start", "t_stop").orderBy("t_start").limit(most + 1).collect()]
     if len(bounds) > most:
-        raise ValueError(f"more than {most} frames")
+        return _frames_by_bucket(rows, frames)
     table = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(f).cast("int").alias("f")) for f, a, b in bounds])
     hit = F.filter(table, lambda x: (F.col("ts_ms") >= x["a"]) & (F.col("ts_ms") < x["b"]))
     return rows.withColumn("frame", F.coalesce(F.get(hit, F.lit(0))["f"], F.lit(-1)))
 
 
+def _frames_by_bucket(rows: DataFrame, frames: DataFrame) -> DataFrame:
+    """Each frame stands in the buckets that it touches, as wide as a frame lasts on average; an equi join on the bucket."""
+    low, high, n = frames.agg(F.min("t_start"), F.max("t_stop"), F.count("*")).first()
+    width = max(1, (high - low) // n)
+    bucket = lambda t: F.floor((t - low) / width)
+    f = frames.select(F.col("frame").cast("int").alias("__f"), "t_start", "t_stop").withColumn("__b", F.explode(F.sequence(bucket(F.col("t_start")), bucket(F.col("t_stop") - 1))))
+    e = rows.withColumn("__b", bucket(F.col("ts_ms"))).alias("e")
+    on = (F.col("e.__b") == F.col("f.__b")) & (F.col("ts_ms") >= F.col("t_start")) & (F.col("ts_ms") < F.col("t_stop"))
+    out = e.join(f.alias("f"), on, "left").withColumn("frame", F.coalesce("__f", F.lit(-1)))
+    return out.drop(F.col("e.__b"), F.col("f.__b")).drop("__f", "t_start", "t_stop")
+
+
 def frame_durations(frames: DataFrame) -> DataFrame:
     return frames.select("frame", "t_start", (F.col("t_stop") - F.col("t_start")).alias("duration"))
 

@@ -613,7 +613,7 @@ def forward_project(spark, sf):
 
 @query("SELECT vox, round(sum(w * randoms), 3) + 0e0 AS value FROM sm JOIN lm USING (event_id) WHERE randoms <> 0 GROUP BY vox", LM, DET, LOR, SIDDON)
 def back_project(spark, sf):
-    return project.back(matrix(spark, sf), views.lm(spark, sf).select("event_id", F.col("randoms").alias("value")), "event_id").select("vox", r("value", 3).alias("value"))
+    return project.back_lors(lors(spark, sf).withColumnRenamed("randoms", "value")).select("vox", r("value", 3).alias("value"))
 
 
 @query("SELECT true AS adjoint FROM (SELECT 1)")
@@ -635,8 +635,8 @@ def sparse_forward(spark, sf):
 
 @query("SELECT vox, round(CASE WHEN s > 5e0 THEN s * 0.5e0 ELSE 0e0 END, 3) + 0e0 AS sens FROM (SELECT vox, sum(w * sens * atten) AS s FROM sm JOIN fac USING (event_id) WHERE sens * atten <> 0 GROUP BY vox)", LM, DET, LOR, SIDDON, HIST, SH, FACTORS)
 def sensitivity_image(spark, sf):
-    f = factors(spark, sf).select("event_id", (F.col("sens") * F.col("atten")).alias("value"))
-    return recon.sensitivity(matrix(spark, sf), f, 5.0, 0.5, "event_id").select("vox", r("sens", 3).alias("sens"))
+    f = factors(spark, sf).select("event_id", "d1", "d2", (F.col("sens") * F.col("atten")).alias("value"))
+    return recon.sensitivity_lors(geo.with_lor(f, geo.det_lut(spark)), 5.0, 0.5).select("vox", r("sens", 3).alias("sens"))
 
 
 EM = (

@@ -96,10 +96,10 @@ def rawd_bytes(a: np.ndarray) -> bytes:
     return struct.pack("<ii", RAWD_MAGIC, a.ndim) + struct.pack(f"<{a.ndim}q", *a.shape) + np.ascontiguousarray(a, "<f4").tobytes()
 
 
-def array_table(spark: SparkSession, a: np.ndarray) -> DataFrame:
-    """(i0, .., value) with non-zero cells only."""
-    at = np.nonzero(a)
-    cols = {f"i{k}": pa.array(x.astype(np.int64)) for k, x in enumerate(at)} | {"value": pa.array(a[at].astype(np.float64))}
+def array_table(spark: SparkSession, a: np.ndarray, dense: bool = False) -> DataFrame:
+    """(i0, .., value) of the non-zero cells, or with dense of all: a whole image or histogram."""
+    at = np.indices(a.shape).reshape(a.ndim, -1) if dense else np.nonzero(a)
+    cols = {f"i{k}": pa.array(x.astype(np.int64)) for k, x in enumerate(at)} | {"value": pa.array(a[tuple(at)].astype(np.float64))}
     return spark.createDataFrame(pa.table(cols))
 
 
