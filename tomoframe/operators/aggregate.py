@@ -58,6 +58,35 @@ def exclusive_prefix(rows: DataFrame, group: str, order: str, value: str) -> Dat
     return rows.withColumn("start", F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
+def exclusive_prefix_all(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+    """Adds start: the sum of value before the row, in the total order of all rows.
+
+    A range shuffle on the order, one total a range, and a running sum within
+    each range: no task sees more than one range.  The sorted rows are written
+    once, so that both passes see the same ranges.
+    """
+    from tomoframe.operators.recon import cut
+
+    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    placed = cut(ranged.withColumn("__m", F.monotonically_increasing_id()), "prefix").withColumn("__p", F.shiftright("__m", 33))
+    per = placed.groupBy("__p").agg(F.sum(value).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = per.select("__p", before.alias("__off"))  # one row a range
+    inner = Window.partitionBy("__p").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(offsets), "__p").withColumn("start", F.col("__off") + F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return out.drop("__m", "__p", "__off")
+
+
+def compare_whole(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row: rows of either side, rows of one side only, and how many of the common rows differ in each column."""
+    a = left.select(F.col(key).alias("__k"), F.lit(True).alias("__in_a"), *[F.col(c).alias(f"__a_{c}") for c in columns])
+    b = right.select(F.col(key).alias("__k"), F.lit(True).alias("__in_b"), *[F.col(c).alias(f"__b_{c}") for c in columns])
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    ina, inb = F.col("__in_a").isNotNull(), F.col("__in_b").isNotNull()
+    diff = [count(ina & inb & ~F.col(f"__a_{c}").eqNullSafe(F.col(f"__b_{c}"))).alias(f"diff_{c}") for c in columns]
+    return a.join(b, "__k", "full").agg(count(ina).alias("left_rows"), count(inb).alias("right_rows"), count(ina & ~inb).alias("left_only"), count(inb & ~ina).alias("right_only"), *diff)
+
+
 def merge_ranges(ranges: DataFrame) -> DataFrame:
     """(lo, hi) integer ranges merged where they overlap or touch (gaps and islands), within each group column `g`."""
     w = Window.partitionBy("g").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)

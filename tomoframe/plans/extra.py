@@ -209,6 +209,27 @@ def lr_dual_update(spark, sf):
     return e.select("rank", "vox", "frame", F.when(F.col("frame").isNull(), r("value", 2)).otherwise(r("value", 1)).alias("value"))
 
 
+# --- orders and comparisons
+
+
+@query("SELECT bin, round(coalesce(sum(value) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0), 3) + 0e0 AS start FROM dh", HIST, RM, BINNED_HIST, DH)
+def prefix_all_bins(spark, sf):
+    """Running sum over all bins, as a histogram is laid out as events."""
+    return aggregate.exclusive_prefix_all(_dense(spark, sf), ["bin"], "value").select("bin", r("start", 3).alias("start"))
+
+
+@query(
+    "SELECT count(a.event_id) AS left_rows, count(b.event_id) AS right_rows, count(*) FILTER (WHERE b.event_id IS NULL) AS left_only, count(*) FILTER (WHERE a.event_id IS NULL) AS right_only, count(*) FILTER (WHERE a.event_id IS NOT NULL AND b.event_id IS NOT NULL AND a.d1 IS DISTINCT FROM b.d1) AS diff_d1 FROM "
+    "(SELECT event_id, d1 FROM lm WHERE event_id % 9 <> 0) a FULL JOIN (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE d1 END AS d1 FROM lm WHERE event_id % 5 <> 0) b USING (event_id)",
+    LM,
+)
+def listmode_compare_whole(spark, sf):
+    """Rows that one side alone has are counted, not lost."""
+    e = views.lm(spark, sf)
+    other = e.where("event_id % 5 <> 0").withColumn("d1", F.when(F.col("event_id") % 4 != 0, F.col("d1")))
+    return aggregate.compare_whole(e.where("event_id % 9 <> 0"), other, "event_id", ["d1"])
+
+
 # --- enumeration and selection
 
 

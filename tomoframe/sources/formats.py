@@ -232,8 +232,78 @@ def hierarchical_id(rows: DataFrame, per_axial: int, per_radial: int, layer: str
     return rows.withColumn("det", F.col(layer) * (per_axial * per_radial) + F.col(axial) * per_radial + F.col(radial))
 
 
+def bind_listmode(spark: SparkSession, arrays: dict[str, np.ndarray], detectors: int | None = None) -> DataFrame:
+    """List-mode rows from columns in memory (ts_ms, d1, d2, and any of doi1, doi2, tof_ps, randoms), with record_id."""
+    sizes = {len(v) for v in arrays.values()}
+    if len(sizes) != 1 or not {"ts_ms", "d1", "d2"} <= set(arrays):
+        raise ValueError("ts_ms, d1 and d2 are needed, all of one length")
+    if detectors is not None and sizes != {0} and max(arrays["d1"].max(), arrays["d2"].max()) >= detectors:
+        raise ValueError(f"detector id of {detectors} or more")
+    cols = {"record_id": pa.array(np.arange(sizes.pop()))}
+    cols |= {k: pa.array(np.asarray(v).astype(np.float64 if k in ("tof_ps", "randoms") else np.int64)) for k, v in arrays.items()}
+    return spark.createDataFrame(pa.table(cols))
+
+
+def read_histogram(spark: SparkSession, path: str, dims: tuple[int, int, int] | None = None) -> DataFrame:
+    """(bin, value) of all bins of a dense histogram file: an array (z_bin, phi, r), decoded where the file is read."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                flat = read_rawd(data.as_py(), dims or (0, 0, 0)).reshape(-1)
+                for at in range(0, len(flat), 1 << 20):
+                    part = flat[at : at + (1 << 20)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part.astype(np.float64))], ["bin", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "bin long, value double")
+
+
+def histogram_bytes(hist: DataFrame, dims: tuple[int, int, int]) -> bytes:
+    """Dense histogram file of (bin, value); a scanner's bins fit the driver, absent ones are 0."""
+    got = hist.select("bin", F.col("value").cast("double").alias("value")).toArrow()
+    a = np.zeros(int(np.prod(dims)), "<f4")
+    a[got.column("bin").to_numpy()] = got.column("value").to_numpy()
+    return rawd_bytes(a.reshape(dims))
+
+
+def detector_array(det: DataFrame) -> np.ndarray:
+    """Detectors as an array with the columns x, y, z, nx, ny, nz."""
+    return np.frombuffer(detector_bytes(det), "<f4").reshape(-1, 6)
+
+
+def mask_bytes(mask: DataFrame) -> bytes:
+    """One byte a detector in order of det_id, 1 where it is enabled."""
+    return bytes(int(r["enabled"]) for r in mask.orderBy("det_id").select("enabled").collect())  # a scanner's detectors
+
+
+def frames_text(frames: DataFrame) -> str:
+    """Boundaries of frames that follow each other, one a line."""
+    rows = [tuple(r) for r in frames.orderBy("t_start").select("t_start", "t_stop").collect()]  # a short table
+    if any(a[1] != b[0] for a, b in zip(rows, rows[1:], strict=False)):
+        raise ValueError("frames do not follow each other")
+    return "".join(f"{x}\n" for x in [r[0] for r in rows] + [rows[-1][1]] * bool(rows))
+
+
+def psf_text(kernels: tuple[list[float], list[float], list[float]]) -> str:
+    return "".join(",".join(map(repr, k)) + "\n" for k in kernels) + ",".join(str(len(k)) for k in kernels) + "\n"
+
+
+def image_params_json(params: dict[str, float]) -> str:
+    return json.dumps(params, indent=1)
+
+
+def basis_bytes(basis: DataFrame) -> bytes:
+    """Array file (rank, frame) of (rank, frame, h)."""
+    rows = basis.select("rank", "frame", "h").collect()  # ranks times frames
+    a = np.zeros((1 + max(r["rank"] for r in rows), 1 + max(r["frame"] for r in rows)))
+    for r in rows:
+        a[r["rank"], r["frame"]] = r["h"]
+    return rawd_bytes(a)
+
+
 #: Readers by format name, whatever its case; add to it to plug in a format.
-REGISTRY: dict[str, Callable[..., DataFrame]] = {"LM": read_listmode, "LM-DOI": lambda spark, path, **k: read_listmode(spark, path, doi=True, **k), "SH": read_sparse_histogram}
+REGISTRY: dict[str, Callable[..., DataFrame]] = {"LM": read_listmode, "LM-DOI": lambda spark, path, **k: read_listmode(spark, path, doi=True, **k), "SH": read_sparse_histogram, "H": read_histogram}
 
 
 def open_table(spark: SparkSession, path: str, kind: str, **options: object) -> DataFrame:
