@@ -736,11 +736,16 @@ def lr_scaling(spark, sf):
 
 # --- kernels
 
-KIMG = "kimg AS (SELECT vec_id AS vox, round(CAST(embedding[1] AS DOUBLE), 4) AS value FROM embeddings WHERE vec_id < 500)"
+KIMG = "kimg AS (SELECT vec_id AS vox, round(CAST(embedding[1] AS DOUBLE), 4) AS value FROM embeddings), kz AS (SELECT max(vec_id) // 100 + 1 AS nz FROM embeddings)"
 
 
 def _kernel_image(spark, sf):
-    return views.table(spark, sf, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("vox"), F.round(F.element_at("embedding", 1).cast("double"), 4).alias("value"))
+    return views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("vox"), F.round(F.element_at("embedding", 1).cast("double"), 4).alias("value"))
+
+
+def _kernel_slices(image) -> int:
+    """Slices of 10 x 10 voxels of the whole table."""
+    return image.agg(F.max("vox")).first()[0] // 100 + 1
 
 
 OFFS = "offs AS (SELECT (z + 1) * 9 + (y + 1) * 3 + x + 1 AS n, x, y, z FROM (VALUES (-1), (0), (1)) a(z), (VALUES (-1), (0), (1)) b(y), (VALUES (-1), (0), (1)) c(x))"
@@ -748,25 +753,27 @@ OFFS = "offs AS (SELECT (z + 1) * 9 + (y + 1) * 3 + x + 1 AS n, x, y, z FROM (VA
 
 @query(
     "SELECT CAST(n AS INTEGER) AS n, i.vox AS i, j.vox AS j, round(exp(-0.5e0 / 0.09e0 * (i.value - j.value) * (i.value - j.value)), 6) + 0e0 AS k FROM kimg i, offs o JOIN kimg j ON j.vox = "
-    "greatest(0, least(4, i.vox // 100 + o.z)) * 100 + greatest(0, least(9, i.vox // 10 % 10 + o.y)) * 10 + greatest(0, least(9, i.vox % 10 + o.x))",
+    "greatest(0, least((SELECT nz FROM kz) - 1, i.vox // 100 + o.z)) * 100 + greatest(0, least(9, i.vox // 10 % 10 + o.y)) * 10 + greatest(0, least(9, i.vox % 10 + o.x))",
     KIMG, OFFS,
 )
 def kernel_neighbors(spark, sf):
-    return kernels.neighbours(_kernel_image(spark, sf), 10, 10, 5, 1, 0.09).select("n", "i", "j", r("k", 6).alias("k"))
+    e = _kernel_image(spark, sf)
+    return kernels.neighbours(e, 10, 10, _kernel_slices(e), 1, 0.09).select("n", "i", "j", r("k", 6).alias("k"))
 
 
 @query(
     "SELECT i, j, round(k / sum(k) OVER (PARTITION BY i), 6) + 0e0 AS k FROM (SELECT i, j, exp(-1e0 / 0.5e0 * d) AS k FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rn FROM dist) WHERE rn <= 6)",
     KIMG, OFFS,
-    "mir AS (SELECT v.vox, o.n, s.value FROM (SELECT vox, vox % 10 AS x, vox // 10 % 10 AS y, vox // 100 AS z FROM kimg) v, offs o JOIN kimg s ON s.vox = "
-    "(CASE WHEN v.z + o.z < 0 THEN -(v.z + o.z) - 1 WHEN v.z + o.z >= 5 THEN 9 - (v.z + o.z) ELSE v.z + o.z END) * 100 + (CASE WHEN v.y + o.y < 0 THEN -(v.y + o.y) - 1 WHEN v.y + o.y >= 10 THEN 19 - (v.y + o.y) ELSE v.y + o.y END) * 10 "
+    "mir AS (SELECT v.vox, o.n, s.value FROM (SELECT vox, vox % 10 AS x, vox // 10 % 10 AS y, vox // 100 AS z, (SELECT nz FROM kz) AS nz FROM kimg) v, offs o JOIN kimg s ON s.vox = "
+    "(CASE WHEN v.z + o.z < 0 THEN -(v.z + o.z) - 1 WHEN v.z + o.z >= nz THEN 2 * nz - 1 - (v.z + o.z) ELSE v.z + o.z END) * 100 + (CASE WHEN v.y + o.y < 0 THEN -(v.y + o.y) - 1 WHEN v.y + o.y >= 10 THEN 19 - (v.y + o.y) ELSE v.y + o.y END) * 10 "
     "+ (CASE WHEN v.x + o.x < 0 THEN -(v.x + o.x) - 1 WHEN v.x + o.x >= 10 THEN 19 - (v.x + o.x) ELSE v.x + o.x END))",
     "pat AS (SELECT vox, list(value ORDER BY n) AS p FROM mir GROUP BY vox)",
     "dist AS (SELECT a.vox AS i, b.vox AS j, list_sum(list_transform(range(1, 28), lambda q: (a.p[q] - b.p[q]) * (a.p[q] - b.p[q]))) AS d FROM pat a, offs o JOIN pat b ON b.vox = a.vox + o.x + o.y * 10 + o.z * 100 "
-    "WHERE a.vox % 10 + o.x BETWEEN 0 AND 9 AND a.vox // 10 % 10 + o.y BETWEEN 0 AND 9 AND a.vox // 100 + o.z BETWEEN 0 AND 4)",
+    "WHERE a.vox % 10 + o.x BETWEEN 0 AND 9 AND a.vox // 10 % 10 + o.y BETWEEN 0 AND 9 AND a.vox // 100 + o.z BETWEEN 0 AND (SELECT nz FROM kz) - 1)",
 )
 def kernel_knn(spark, sf):
-    return kernels.nearest_in_window(_kernel_image(spark, sf), 10, 10, 5, 1, 1, 6, 0.5).select("i", "j", r("k", 6).alias("k"))
+    e = _kernel_image(spark, sf)
+    return kernels.nearest_in_window(e, 10, 10, _kernel_slices(e), 1, 1, 6, 0.5).select("i", "j", r("k", 6).alias("k"))
 
 
 @query("SELECT i, j, round(exp(-0.5e0 / 0.09e0 * d * d), 6) + 0e0 AS k FROM (SELECT a.vox AS i, b.vox AS j, abs(a.value - b.value) AS d, row_number() OVER (PARTITION BY a.vox ORDER BY abs(a.value - b.value), b.vox) AS rn FROM kimg a, kimg b) WHERE rn <= 5", KIMG)
