@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tomoframe.operators import kernels, project, recon
 from tomoframe.plans import slate
@@ -60,6 +61,43 @@ def test_osem_equals_numpy(spark):
     assert got and all(abs(v - x[k]) <= 1e-4 + 1e-4 * abs(x[k]) for k, v in got.items())
 
 
+@pytest.mark.parametrize(("update", "subsets"), [("w", 2), ("h", 1), ("dual", 2)])
+def test_low_rank_em_equals_numpy(spark, update, subsets):
+    g = np.random.default_rng(3)
+    bins, voxels, frames, rank, times = 24, 7, 3, 2, 3
+    a = np.where(g.random((bins, voxels)) < 0.5, np.round(g.random((bins, voxels)), 2), 0)
+    y, f, rnd = np.round(g.random(bins) * 9, 1), np.round(0.5 + g.random(bins), 2), np.round(g.random(bins), 2)
+    frame = g.integers(0, frames, bins)
+    frame[:2] = -1  # rows of no frame take no part
+    w, h = 0.5 + g.random((rank, voxels)), 0.5 + g.random((rank, frames))
+    s = a.T @ f
+    s[0] = 0  # no sensitivity: the voxel stays
+    m = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(bins) for j in range(voxels) if a[i, j]], "bin long, vox long, w double")
+    d = spark.createDataFrame([(i, float(y[i]), float(f[i]), 1.0, float(rnd[i]), 0.0, 1.0) for i in range(bins)], "bin long, value double, sens double, atten double, randoms double, scatter double, invivo double")
+    dw = spark.createDataFrame([(l, j, float(w[l, j])) for l in range(rank) for j in range(voxels)], "rank int, vox long, value double")
+    dh = spark.createDataFrame([(l, t, float(h[l, t])) for l in range(rank) for t in range(frames)], "rank int, frame int, h double")
+    df = spark.createDataFrame([(i, int(t)) for i, t in enumerate(frame) if t >= 0], "bin long, frame int")
+    ds = spark.createDataFrame([(j, float(s[j])) for j in range(1, voxels)], "vox long, sens double")
+    got_w, got_h = recon.low_rank_em(m, d, dw, dh, df, ds, times, subsets, update)
+    for it in range(times):
+        for k in range(subsets):
+            uw, uh = np.zeros_like(w), np.zeros_like(h)
+            for i in range(bins):
+                if i % subsets == k and frame[i] >= 0:
+                    q = a[i] @ (w.T @ h[:, frame[i]]) * f[i] + rnd[i]
+                    ratio = y[i] / q * f[i]
+                    uw += ratio * np.outer(h[:, frame[i]], a[i])
+                    uh[:, frame[i]] += ratio * (w @ a[i])
+            sub = s / subsets
+            new_w = np.where(sub > 0, w * uw / h.sum(1)[:, None] / np.where(sub > 0, sub, 1), w)
+            if update == "h" or (update == "dual" and it):
+                h = h * uh / (w @ sub)[:, None]
+            if update != "h":
+                w = new_w
+    assert all(abs(r.value - w[r["rank"], r.vox]) < 1e-9 * max(1, w.max()) for r in got_w.collect()) and got_w.count() == w.size
+    assert all(abs(r.h - h[r["rank"], r.frame]) < 1e-9 * max(1, h.max()) for r in got_h.collect()) and got_h.count() == h.size
+
+
 def test_full_kernel_equals_brute_force(spark):
     r = np.random.default_rng(1)
     v = np.round(r.normal(size=60), 1)

@@ -128,6 +128,56 @@ def low_rank_scaling(h: DataFrame) -> DataFrame:
     return h.groupBy("rank").agg(F.sum("h").alias("c"))
 
 
+def low_rank_em(
+    matrix: DataFrame, data: DataFrame, w: DataFrame, h: DataFrame, frames: DataFrame, sens: DataFrame,
+    iterations: int, subsets: int = 1, update: str = "dual", floor: float = FLOOR, threshold: float = 1e-8,
+) -> tuple[DataFrame, DataFrame]:
+    """(W, H) after iterations x subsets updates of W ("w"), of H ("h") or of both ("dual").
+
+    matrix is (bin, vox, w); data has bin, value and the correction columns;
+    w is (rank, vox, value), h a short table (rank, frame, h), frames
+    (bin, frame) with one row a bin; subset k has the bins with bin % subsets
+    = k.  In dual mode H stays through the first iteration, and both updates
+    come from one pass over the matrix with the W and H before them.  Cells
+    without an update become 0, voxels without a sensitivity stay.  W and H
+    are written to the shared folder after each update.
+    """
+    if update not in ("w", "h", "dual"):
+        raise ValueError("update must be w, h or dual")
+    w = cut(w.select("rank", "vox", "value"), "w0")
+    h = cut(h.select("rank", "frame", "h"), "h0")
+    whole = w.select("vox").distinct().join(sens.select("vox", "sens"), "vox", "left")
+    scaled = cut(whole.select("vox", (F.coalesce("sens", F.lit(0.0)) / subsets).alias("sens")), "sens")
+    rows = data.join(frames.select("bin"), "bin", "left_semi")
+    for it in range(iterations):
+        for k in range(subsets):
+            m, d = (t.where(F.pmod("bin", F.lit(subsets)) == k) if subsets > 1 else t for t in (matrix, rows))
+            proj = low_rank_forward(m, w, h, frames).withColumnRenamed("value", "proj")
+            ratio = lookup.em_ratio(d.join(proj, "bin", "left").withColumn("proj", F.coalesce("proj", F.lit(0.0))), floor)
+            ratio = ratio.select("bin", F.col("ratio").alias("value"))
+            new_h = update == "h" or (update == "dual" and it > 0)
+            if update != "h" and new_h:
+                both = cut(low_rank_dual(m, ratio, w, h, frames), f"dual{it}-{k}")
+                uw, uh = both.where("frame IS NULL"), both.where("vox IS NULL")
+            elif new_h:
+                uh = low_rank_back_h(m, ratio, w, frames)
+            else:
+                uw = low_rank_back_w(m, ratio, h, frames)
+            old_w, old_h = w, h
+            if update != "h":
+                filled = uw.select("rank", "vox", "value").unionByName(old_w.select("rank", "vox", F.lit(0.0).alias("value")))
+                filled = filled.groupBy(F.col("rank").alias("t"), "vox").agg(F.sum("value").alias("value"))
+                scaling = low_rank_scaling(old_h).withColumnRenamed("rank", "t")
+                w = img.em_update(old_w.withColumnRenamed("rank", "t"), filled, scaled, threshold, scaling)
+                w = cut(w.withColumnRenamed("t", "rank"), f"w{it}-{k}")
+            if new_h:
+                scaling = low_rank_sensitivity_h(old_w, scaled)
+                e = old_h.join(uh.select("rank", "frame", F.col("value").alias("__u")), ["rank", "frame"], "left").join(scaling, "rank", "left")
+                c = F.greatest(F.coalesce("c", F.lit(0.0)), F.lit(threshold))
+                h = cut(e.select("rank", "frame", (F.col("h") * F.coalesce("__u", F.lit(0.0)) / c).alias("h")), f"h{it}-{k}")
+    return w, h
+
+
 def bootstrap_split(rows: DataFrame, parts: int, seed: int, key: str = "event_id") -> DataFrame:
     """Adds part: a table split into disjoint tables by a hash of the row's ordinal, so that every run agrees."""
     return rows.withColumn("part", F.pmod(F.col(key) * 2654435761 + seed * 40503, F.lit(1_000_003)) % parts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tomoframe.functions import geometry as geo
 from tomoframe.functions import scalars
 from tomoframe.operators import aggregate, algebra, convert, image, project, recon, select
-from tomoframe.plans.slate import BINNED_HIST, DET, DH, HB, HIST, INTERVALS, LM, LOR, LR, RM, SENS, SIDDON, VOX, VOX2, _rank_parts, _sql_axis, lors, mask_table, matrix, query, r
+from tomoframe.plans.slate import BINNED_HIST, DET, DH, EM, FACTORS, HB, HIST, INTERVALS, LM, LOR, LR, RM, SENS, SH, SIDDON, VOX, VOX2, _rank_parts, _sql_axis, em_data, lors, mask_table, matrix, query, r
 from tomoframe.sources import views
 
 # --- scalars
@@ -209,6 +209,53 @@ def lr_dual_update(spark, sf):
     return e.select("rank", "vox", "frame", F.when(F.col("frame").isNull(), r("value", 2)).otherwise(r("value", 1)).alias("value"))
 
 
+def _lrem_step(n: int, x: str, h: str) -> str:
+    """The ratio of the frames' events and the update of W of pass n, from W in table x and H in table h."""
+    return (
+        f"lp{n} AS (SELECT event_id, sum(w * wi.value * {h}.h) AS p FROM sm JOIN ef ON ef.bin = event_id JOIN {h} USING (frame) JOIN {x} wi ON wi.vox = sm.vox AND wi.rank = {h}.rank GROUP BY event_id), "
+        f"lq{n} AS (SELECT event_id, frame, sens * atten AS f, coalesce(p, 0e0) * sens * atten + randoms + scatter AS q FROM fac JOIN ef ON ef.bin = event_id LEFT JOIN lp{n} USING (event_id)), "
+        f"lr{n} AS (SELECT event_id, frame, f / q AS ratio FROM lq{n} WHERE abs(q) > 1e-35 AND f <> 0), "
+        f"uw{n} AS (SELECT {h}.rank, sm.vox, sum(w * ratio * {h}.h) AS u FROM sm JOIN lr{n} USING (event_id) JOIN {h} USING (frame) GROUP BY ALL), "
+        f"cw{n} AS (SELECT rank, sum(h) AS c FROM {h} GROUP BY rank), "
+        f"x{n} AS (SELECT rank, vox, CASE WHEN coalesce(s, 0e0) > 1e-8 / c THEN value * (coalesce(u, 0e0) / c) / s ELSE value END AS value FROM {x} JOIN cw{n} USING (rank) LEFT JOIN se USING (vox) LEFT JOIN uw{n} USING (rank, vox))"
+    )
+
+
+def _lrem(spark, sf, **how):
+    m, f, w, h, _ = _rank_parts(spark, sf)
+    m, d = recon.cut(m, "matrix"), recon.cut(em_data(spark, sf).withColumnRenamed("event_id", "bin"), "data")
+    s = recon.sensitivity(m, d.select("bin", (F.col("sens") * F.col("atten")).alias("value")))
+    w, h = recon.low_rank_em(m, d, w, h, recon.cut(f, "frames"), s, **how)
+    w = w.select("rank", "vox", F.lit(None).cast("int").alias("frame"), r("value", 4).alias("value"))
+    return w.unionByName(h.select("rank", F.lit(None).cast("long").alias("vox"), "frame", r("h", 5).alias("value")))
+
+
+LREM = (*LR, HIST, SH, FACTORS, EM)
+
+
+@query(
+    "SELECT rank, vox, CAST(NULL AS INTEGER) AS frame, round(value, 4) + 0e0 AS value FROM x2 UNION ALL SELECT rank, NULL, frame, round(h, 5) + 0e0 FROM h2",
+    *LREM, _lrem_step(1, "wimg", "hbasis"), _lrem_step(2, "x1", "hbasis"),
+    "uh2 AS (SELECT wi.rank, frame, sum(w * ratio * wi.value) AS u FROM sm JOIN lr2 USING (event_id) JOIN x1 wi ON wi.vox = sm.vox GROUP BY ALL)",
+    "ch2 AS (SELECT rank, sum(value * coalesce(s, 0e0)) AS c FROM x1 LEFT JOIN se USING (vox) GROUP BY rank)",
+    "h2 AS (SELECT rank, frame, h * coalesce(u, 0e0) / greatest(c, 1e-8) AS h FROM hbasis JOIN ch2 USING (rank) LEFT JOIN uh2 USING (rank, frame))",
+)
+def lrem_dual(spark, sf):
+    """Two iterations of both factors; H follows from the second on."""
+    return _lrem(spark, sf, iterations=2)
+
+
+@query(
+    "SELECT rank, CAST(NULL AS BIGINT) AS vox, frame, round(h * coalesce(u, 0e0) / greatest(c, 1e-8), 5) + 0e0 AS value FROM hbasis JOIN ch USING (rank) LEFT JOIN uh USING (rank, frame) UNION ALL SELECT rank, vox, NULL, round(value, 4) + 0e0 FROM wimg",
+    *LREM, _lrem_step(1, "wimg", "hbasis"),
+    "uh AS (SELECT wi.rank, frame, sum(w * ratio * wi.value) AS u FROM sm JOIN lr1 USING (event_id) JOIN wimg wi ON wi.vox = sm.vox GROUP BY ALL)",
+    "ch AS (SELECT rank, sum(value * coalesce(s, 0e0)) AS c FROM wimg LEFT JOIN se USING (vox) GROUP BY rank)",
+)
+def lrem_basis(spark, sf):
+    """One iteration of H with W held."""
+    return _lrem(spark, sf, iterations=1, update="h")
+
+
 # --- orders and comparisons
 
 
