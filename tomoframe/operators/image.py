@@ -94,8 +94,44 @@ def transform(image: DataFrame, spark_range: DataFrame, moves: DataFrame, g: Gri
     spark_range has one row a target voxel (vox).  moves is a short table.
     """
     x, y, z = centres(F.col("vox"), g)
-    e = spark_range.crossJoin(F.broadcast(moves))  # target voxels times a few moves
+    e = spark_range.crossJoin(moves)  # target voxels times a few moves
     e = e.withColumns({"__x": x - F.col("tx"), "__y": y - F.col("ty"), "__z": z - F.col("tz")})
     back = corners(e, F.col("c") * F.col("__x") + F.col("s") * F.col("__y"), F.col("c") * F.col("__y") - F.col("s") * F.col("__x"), F.col("__z"), g)
     src = image.where("t = 0").select(F.col("vox").alias("src"), F.col("value").alias("__v"))
     return back.join(src, "src").groupBy("vox").agg(F.sum(F.col("weight") * F.col("w") * F.col("__v")).alias("value"))
+
+
+def transform_rigid(image: DataFrame, targets: DataFrame, moves: DataFrame, g: Grid = GRID) -> DataFrame:
+    """(vox, value): sum over moves (t, r00 .. tz, weight) of weight * frame t of the image, moved by its 3 x 4 transform.
+
+    targets has one row a voxel (vox).  The value at a voxel is read, by
+    trilinear interpolation, where the inverse transform takes its centre.
+    """
+    p = centres(F.col("vox"), g)
+    e = targets.crossJoin(moves)  # target voxels times one row a frame
+    e = e.withColumns({f"__{a}": c - F.col(f"t{a}") for a, c in zip("xyz", p, strict=True)})
+    at = [F.col(f"r0{j}") * F.col("__x") + F.col(f"r1{j}") * F.col("__y") + F.col(f"r2{j}") * F.col("__z") for j in range(3)]
+    back = corners(e, *at, g)
+    src = image.select("t", F.col("vox").alias("src"), F.col("value").alias("__v"))
+    return back.join(src, ["t", "src"]).groupBy("vox").agg(F.sum(F.col("weight") * F.col("w") * F.col("__v")).alias("value"))
+
+
+def motion_correct(image: DataFrame, targets: DataFrame, motion: DataFrame, g: Grid = GRID) -> DataFrame:
+    """(vox, value): frame images, one a motion row, moved by its transform and averaged by its share of the time.
+
+    motion has frame, duration and the 3 x 4 transform.
+    """
+    total = motion.agg(F.sum("duration").alias("__d"))
+    moves = motion.crossJoin(total).withColumn("weight", F.col("duration") / F.col("__d"))  # one row
+    return transform_rigid(image, targets, moves.withColumnRenamed("frame", "t"), g)
+
+
+def resample(image: DataFrame, targets: DataFrame, to: Grid, g: Grid = GRID) -> DataFrame:
+    """(vox, value): frame 0 of an image on grid g, read by trilinear interpolation at the voxel centres of another grid.
+
+    targets has one row a voxel of that grid (vox); voxels that no voxel of g reaches are 0.
+    """
+    back = corners(targets, *centres(F.col("vox"), to), g)
+    src = image.where("t = 0").select(F.col("vox").alias("src"), F.col("value").alias("__v"))
+    got = back.join(src, "src").groupBy("vox").agg(F.sum(F.col("w") * F.col("__v")).alias("__s"))
+    return targets.join(got, "vox", "left").select("vox", F.coalesce("__s", F.lit(0.0)).alias("value"))

@@ -95,7 +95,7 @@ def single_scatter(lors: DataFrame, points: DataFrame, mu: float = 0.0096, key:
     points (x, y, z, density, emission) is a short sampled table; attenuation
     of the two paths is that of uniform matter.
     """
-    e = lors.crossJoin(F.broadcast(points))  # a stated short set of points against all rows
+    e = lors.crossJoin(points)  # a stated short set of points against all rows
     v = {}
     for k in "12":
         for a in "xyz":

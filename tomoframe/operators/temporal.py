@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Columns of a motion row: a rotation about z with a translation, and a whole 3 x 4 transform.
+TURN = ("c", "s", "tx", "ty", "tz")
+RIGID = ("r00", "r01", "r02", "tx", "r10", "r11", "r12", "ty", "r20", "r21", "r22", "tz")
+
 
 def assign_frames(rows: DataFrame, frames: DataFrame, most: int = 10_000) -> DataFrame:
     """Adds frame: t_start <= ts_ms < t_stop, -1 outside.
@@ -46,7 +50,7 @@ def motion_intervals(motion: DataFrame) -> DataFrame:
     return motion.withColumns({"t_next": nxt, "duration": F.coalesce(nxt - F.col("t_start"), F.col("t_start") - prev, F.lit(1))})
 
 
-def motion_asof(rows: DataFrame, motion: DataFrame) -> DataFrame:
+def motion_asof(rows: DataFrame, motion: DataFrame, carry: tuple[str, ...] = TURN) -> DataFrame:
     """Adds motion_frame (-1 before the first) and the transform of the latest row that began: a backward as-of join.
 
     Each motion row stands in the time buckets that its interval touches, and
@@ -56,14 +60,14 @@ def motion_asof(rows: DataFrame, motion: DataFrame) -> DataFrame:
     """
     low, high, n = motion.agg(F.min("t_start"), F.max("t_start"), F.count("*")).first()
     if not n:
-        none = {k: F.lit(None).cast("double") for k in ("c", "s", "tx", "ty", "tz")}
+        none = {k: F.lit(None).cast("double") for k in carry}
         return rows.withColumns({"motion_frame": F.lit(-1)} | none)
     width = max(1, (high - low) // n)
     bucket = lambda t: F.floor((t - low) / width)
     last = F.lit((high - low) // width)
     m = motion_intervals(motion)
     m = m.withColumn("__b", F.explode(F.sequence(bucket(F.col("t_start")), F.coalesce(bucket(F.col("t_next") - 1), last))))
-    m = m.select("__b", F.col("frame").alias("__f"), "t_start", "t_next", "c", "s", "tx", "ty", "tz")
+    m = m.select("__b", F.col("frame").alias("__f"), "t_start", "t_next", *carry)
     e = rows.withColumn("__b", F.least(bucket(F.col("ts_ms")), last)).alias("e")
     on = (F.col("e.__b") == F.col("m.__b")) & (F.col("ts_ms") >= F.col("t_start")) & (F.col("t_next").isNull() | (F.col("ts_ms") < F.col("t_next")))
     out = e.join(m.alias("m"), on, "left").withColumn("motion_frame", F.coalesce("__f", F.lit(-1)))
@@ -78,3 +82,13 @@ def move(rows: DataFrame) -> DataFrame:
     for e in "12":
         out |= {f"x{e}": c * F.col(f"x{e}") - s * F.col(f"y{e}") + t["tx"], f"y{e}": s * F.col(f"x{e}") + c * F.col(f"y{e}") + t["ty"], f"z{e}": F.col(f"z{e}") + t["tz"]}
     return rows.withColumns(out)
+
+
+def move_rigid(rows: DataFrame) -> DataFrame:
+    """Applies each row's 3 x 4 transform (RIGID) to both endpoints; identity where there is none."""
+    v = {k: F.coalesce(k, F.lit(float(k in ("r00", "r11", "r22")))) for k in RIGID}
+    out = {}
+    for e in "12":
+        for i, a in enumerate("xyz"):
+            out[f"{a}{e}"] = v[f"r{i}0"] * F.col(f"x{e}") + v[f"r{i}1"] * F.col(f"y{e}") + v[f"r{i}2"] * F.col(f"z{e}") + v[f"t{a}"]
+    return rows.withColumns(out)
