@@ -1,7 +1,11 @@
 import hashlib
+import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from tests.llm.conftest import edge_rows
 from tomoframe.llm import exact_dedup, licenses, sharding
 
@@ -107,6 +111,62 @@ def test_unlinked_nodes_trade_places_with_one_way_wishes(spark):
     assert got == {("a", 0): 30, ("b", 0): 20, ("c", 1): 20}
 
 
+def plain_round(edges, label, unit, shards):
+    """One round of propagation in plain Python: (node, label) after it, from rows of edges and labels and each node's unit number."""
+    at = {r.node: r for r in label}
+    held, lines = defaultdict(lambda: [0] * shards), defaultdict(list)
+    for e in edges:
+        held[e.line][at[e.node].label] += e.w
+        lines[e.node].append(e.line)
+    wish = {}
+    for node, own in lines.items():
+        votes = [sum(held[x][s] * sharding.VOTE // sum(held[x]) for x in own) for s in range(shards)]
+        to, here = votes.index(max(votes)), at[node].label
+        gain = votes[to] - votes[here]
+        if gain > 0 and to != here:
+            wish[node] = (here, to, min(math.floor(math.log2(1 + gain / sharding.VOTE) * 4), sharding.GAIN_BUCKETS - 1))
+    flow, total, free = Counter(), Counter(), Counter()
+    for node, (here, to, bucket) in wish.items():
+        flow[here, to, bucket] += at[node].w
+        total[here, to] += at[node].w
+    for r in label:
+        if not r.linked:
+            free[r.label] += r.w
+    over = {k: max(0, n - total[k[::-1]]) for k, n in total.items()}
+    part = {to: min(1.0, free[to] / sum(n for k, n in over.items() if k[1] == to)) if sum(n for k, n in over.items() if k[1] == to) else 0.0 for to in range(shards)}
+    trade = {k: n * part[k[1]] for k, n in over.items()}
+    moved = {}
+    for node, (here, to, bucket) in wish.items():
+        before = sum(n for (a, b, c), n in flow.items() if (a, b) == (here, to) and c > bucket)
+        share = (total[to, here] + trade[here, to] - before) / flow[here, to, bucket]
+        if unit[node] < max(0.0, min(1.0, share)):
+            moved[node] = to
+    for r in label:
+        if not r.linked:
+            until = 0.0
+            for here in range(shards):
+                if trade.get((here, r.label), 0) > 0:
+                    width = trade[here, r.label] / free[r.label]
+                    until += width
+                    if until - width <= unit[r.node] < until:
+                        moved[r.node] = here
+                        break
+    return {r.node: moved.get(r.node, r.label) for r in label}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_round_against_plain_python(spark, seed):
+    r = random.Random(seed)
+    label = spark.createDataFrame([(f"n{k}", r.randint(1, 3), k < 120, r.randrange(4)) for k in range(200)], "node string, w long, linked boolean, label int")
+    weight = {x.node: x.w for x in label.collect()}
+    pairs = {(f"n{k}", r.randrange(30)) for k in range(120) for _ in range(3)}
+    edges = spark.createDataFrame([(n, weight[n], x) for n, x in sorted(pairs)], "node string, w long, line long")
+    unit = {x.node: x.u for x in label.selectExpr("node", "pmod(xxhash64(node, 1), 1000003) / 1000003D AS u").collect()}
+    want = plain_round(edges.collect(), label.collect(), unit, 4)
+    got = {x.node: x.label for x in sharding._propagate(edges, label, 4, 1).collect()}
+    assert got == want and any(got[x.node] != x.label for x in label.collect())
+
+
 def test_license_variants_share_a_digest(spark):
     from tomoframe.llm.license_texts import TEXTS
 
