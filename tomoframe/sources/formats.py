@@ -1,8 +1,8 @@
 """Readers and writers of the reference's file formats, behind one registry.
 
-Fixed-length records are read with Spark's binaryFile source and decoded in
-Arrow batches; whole-file headers are parsed once on the driver.  Writers go
-through a single file only where the format is one stream.
+Fixed-length records are read and written by the data source in `records`;
+whole-file headers are parsed once on the driver.  Writers go through a single
+file only where the format is one stream.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from tomoframe.functions.cluster import ship
 from tomoframe.operators.aggregate import sparse_histogram
+from tomoframe.sources import records
 
-#: Fixed value: first number of an array file.
+#: First number of an array file; record of a sparse histogram.
 RAWD_MAGIC = 732174000
+PAIR_VALUE = np.dtype([("d1", "<u4"), ("d2", "<u4"), ("value", "<f4")])
 
 
 def record_dtype(doi: bool = False, tof: bool = False, randoms: bool = False) -> np.dtype:
@@ -30,46 +32,43 @@ def record_dtype(doi: bool = False, tof: bool = False, randoms: bool = False) ->
     return np.dtype(fields + [("tof_ps", "<f4")] * tof + [("randoms", "<f4")] * randoms)
 
 
-def _records(spark: SparkSession, path: str, dtype: np.dtype, detectors: int | None, start: int | None = None, stop: int | None = None) -> DataFrame:
-    """Rows of all files of path with record_id (place in its file); bad sizes and detector ids raise errors."""
-    ship(spark)
-    kinds = {"u": ("long", pa.int64()), "f": ("double", pa.float64())}
-    cols = [(n, *kinds[dtype[n].kind]) for n in dtype.names]
-    schema = "file string, record_id long, " + ", ".join(f"{n} {k}" for n, k, _ in cols)
+def read_listmode(
+    spark: SparkSession, path: str, doi: bool = False, tof: bool = False, randoms: bool = False, detectors: int | None = None, start: int | None = None, stop: int | None = None, ordered: bool = False, split: int = records.SPLIT
+) -> DataFrame:
+    """List-mode records; with start and stop only start <= ts_ms < stop, whose ids alone are checked.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = data.as_buffer()
-                if raw.size % dtype.itemsize:
-                    raise ValueError(f"{name}: {raw.size} bytes are no multiple of {dtype.itemsize}")
-                rec = np.frombuffer(raw, dtype)
-                for at in range(0, max(1, len(rec)), 1 << 20):
-                    part = rec[at : at + (1 << 20)]
-                    ids = np.arange(at, at + len(part))
-                    if start is not None:
-                        ok = (part["ts_ms"] >= start) & (part["ts_ms"] < stop)
-                        part, ids = part[ok], ids[ok]
-                    if detectors is not None and len(part) and max(part["d1"].max(), part["d2"].max()) >= detectors:
-                        raise ValueError(f"{name}: detector id of {detectors} or more")
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(ids, pa.int64()), *[pa.array(part[n].astype(np.int64 if k == "long" else np.float64), t) for n, k, t in cols]], ["file", "record_id", *[c[0] for c in cols]])
+    Files that are each in order of time (ordered) are read from the first to
+    the last record of that time only.
+    """
+    return records.read(spark, path, record_dtype(doi, tof, randoms), detectors=detectors, start=start, stop=stop, ordered=ordered, split=split)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
-
-def read_listmode(spark: SparkSession, path: str, doi: bool = False, tof: bool = False, randoms: bool = False, detectors: int | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
-    """List-mode records; with start and stop only start <= ts_ms < stop, whose ids alone are checked."""
-    return _records(spark, path, record_dtype(doi, tof, randoms), detectors, start, stop)
+def write_listmode(rows: DataFrame, path: str, doi: bool = False, tof: bool = False, randoms: bool = False, overwrite: bool = False) -> None:
+    """List-mode files of a folder, written by many tasks; by name they are in order of time."""
+    records.write(rows, path, record_dtype(doi, tof, randoms), "ts_ms", overwrite)
 
 
 def read_sparse_histogram(spark: SparkSession, path: str, detectors: int | None = None) -> DataFrame:
     """(d1, d2, value) by canonical pair; repeated records add up."""
-    raw = _records(spark, path, np.dtype([("d1", "<u4"), ("d2", "<u4"), ("value", "<f4")]), detectors)
+    raw = records.read(spark, path, PAIR_VALUE, detectors=detectors)
     return sparse_histogram(raw, F.col("value"), keep_zeros=True)
 
 
+def write_sparse_histogram(hist: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Sparse histogram files of a folder, of (d1, d2, value), written by many tasks."""
+    records.write(hist, path, PAIR_VALUE, overwrite=overwrite)
+
+
+def read_histogram_records(spark: SparkSession, path: str) -> DataFrame:
+    """Listed pairs of a sparse histogram file, record by record, not added up: (record_id, d1, d2, value)."""
+    return records.read(spark, path, PAIR_VALUE).drop("file")
+
+
 def write_records(rows: DataFrame, path: str, dtype: np.dtype, order: str) -> int:
-    """Writes rows in order as one stream of records, partition by partition through the driver; returns their number."""
+    """Writes rows in order as one local file, partition by partition through the driver; returns their number.
+
+    write_listmode and write_sparse_histogram write a folder by many tasks.
+    """
     n = 0
     with open(path, "wb") as f:
         for r in rows.orderBy(order).select(*dtype.names).toLocalIterator(prefetchPartitions=True):
