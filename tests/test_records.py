@@ -57,3 +57,24 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         records.write(rows, str(tmp_path / "w"), formats.record_dtype())
     assert not [f for f in (tmp_path / "w").rglob("*") if f.is_file()]
+
+
+def test_joint_fit_finds_the_parameters_of_its_own_curves(spark):
+    from tomoframe.operators import kinetic
+
+    rng = np.random.default_rng(4)
+    bases = []
+    for k in range(4):
+        a = rng.uniform(0.1, 1.0, (2, 2, 12))
+        w, kappa = np.ones((2, 12)), (0.11 * (k + 1), 0.2 * (k + 1))
+        bases.append((k, *kappa, *a.reshape(4, 12).tolist(), kinetic.joint_inverse(a, w, kappa).ravel().tolist()))
+    t = (0.3, 0.8, 0.5, 1.1)
+    _, kappa0, kappa1, a0, b0, a1, b1, _ = bases[2]
+    tac = [[t[0] * x + t[1] * y for x, y in zip(a0, b0)], [t[2] * x + t[3] * y for x, y in zip(a1, b1)]]
+    df = spark.createDataFrame([(7, *tac)], "pix long, tac0 array<double>, tac1 array<double>")
+    table = spark.createDataFrame(bases, "k int, kappa0 double, kappa1 double, a0 array<double>, b0 array<double>, a1 array<double>, b1 array<double>, inverse array<double>")
+    one = F.array(*[F.lit(1.0)] * 12)
+    got = kinetic.srtm_joint(df, table, (one, one)).first()
+    assert got.k == 2 and got.cost < 1e-18
+    bp = (t[0] / kappa0 - 1, t[2] / kappa1 - 1)
+    assert (got.bp_b, got.k2_b, got.r1_b, got.ro, got.k2_d, got.r1_d) == pytest.approx((bp[0], t[0], t[1], 1 - bp[1] / bp[0], t[2], t[3]))

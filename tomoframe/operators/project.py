@@ -156,6 +156,32 @@ def multi_ray(lors: DataFrame, rays: int, size: float = 1.0, key: str = "bin") -
     return e.withColumns({c: F.col(c) + shift(c) for c in ("x1", "y1", "z1", "x2", "y2", "z2")})
 
 
+#: Irrational steps of the additive recurrences that place rays within the crystals, one for each of six coordinates.
+RAY_STEPS = (0.8566748838545029, 0.7338918566271260, 0.6287067210378087, 0.5385972572236101, 0.4614027427763899, 0.3952761212186013)
+
+
+def crystal_rays(lors: DataFrame, rays: int, axial: float, trans: float, depth: float = 0.0, parallel: bool = False, key: str = "bin") -> DataFrame:
+    """Each line several times, with ray: the first as it is, the others from a place within one crystal to one within the other.
+
+    lors has x1 .. z2 and the detectors' normals nx1 .. nz2; a place lies up to
+    half of axial along z, of trans across the normal and of depth along it;
+    parallel rays are moved alike at both ends along the first two.  Places follow from
+    (key, ray) alone, so a task that is run again draws the same ones.
+    """
+    e = lors.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))))
+    number = F.pmod(F.col(key) * rays + F.col("ray"), F.lit(1_000_003))
+    e = e.withColumns({f"__u{i}": F.when(F.col("ray") == 0, F.lit(0.0)).otherwise(number * F.lit(s) - F.floor(number * F.lit(s)) - F.lit(0.5)) for i, s in enumerate(RAY_STEPS)})
+    out = {}
+    for k, side, (i, j, m) in (("1", 1, (0, 1, 4)), ("2", -1, (0, 1, 5) if parallel else (2, 3, 5))):
+        nx, ny, nz = (F.col(f"n{a}{k}") for a in "xyz")
+        across = F.col(f"__u{j}") * F.lit(side * trans) / F.hypot(nx, ny)
+        deep = F.col(f"__u{m}") * F.lit(depth)
+        out |= {f"x{k}": F.col(f"x{k}") + ny * across + nx * deep, f"y{k}": F.col(f"y{k}") - nx * across + ny * deep, f"z{k}": F.col(f"z{k}") + F.col(f"__u{i}") * F.lit(axial) + nz * deep}
+    # the generator keeps the optimizer from writing the ends out again wherever a projector uses them
+    e = e.withColumn("__e", F.explode(F.array(F.struct(*[v.alias(c) for c, v in out.items()]))))
+    return e.withColumns({c: F.col(f"__e.{c}") for c in out}).drop("__e", *[f"__u{i}" for i in range(6)])
+
+
 def forward(matrix: DataFrame, image: DataFrame, key: str = "bin") -> DataFrame:
     """(key, value): sum of w * x."""
     return matrix.join(image.select("vox", F.col("value").alias("__x")), "vox").groupBy(key).agg(F.sum(F.col("w") * F.col("__x")).alias("value"))

@@ -15,17 +15,21 @@ from tomoframe.operators import lookup, project
 START, FLOOR = 0.125, 1e-35
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df in the shared folder that the session names and reads it back, to cut an iteration's lineage."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the session names."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df in the shared folder and reads it back, to cut an iteration's lineage; by: one folder for each of its values."""
+    path = shared_path(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def resolve_attenuation(total: DataFrame | None, hardware: DataFrame | None, in_vivo: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
@@ -43,6 +47,25 @@ def correction_factors(rows: DataFrame, sens: DataFrame, acf: DataFrame, scatter
     return lookup.lookup_pair(lookup.lookup_pair(e, acf, "atten", 1.0), scatter, "scatter", 0.0)
 
 
+def precompute(
+    rows: DataFrame, sens: DataFrame | None = None, total: DataFrame | None = None, hardware: DataFrame | None = None, in_vivo: DataFrame | None = None, randoms: DataFrame | None = None, scatter: DataFrame | None = None
+) -> DataFrame:
+    """Adds sens, atten, invivo, randoms, scatter of every row, from histograms (d1, d2, value) by canonical pair.
+
+    What is not given is 1, or 0 for randoms and scatter; randoms without a
+    histogram are the rows' own.  Without a total, attenuation is the product of
+    the hardware's and the in-vivo factors that are given.  A pair that a given
+    histogram lacks counts as 1 (randoms, scatter: 0).
+    """
+    e = rows if "randoms" in rows.columns else rows.withColumn("randoms", F.lit(0.0))
+    for name, table, default in (("sens", sens, 1.0), ("__total", total, 1.0), ("__hardware", hardware, 1.0), ("invivo", in_vivo, 1.0), ("scatter", scatter, 0.0)):
+        e = e.withColumn(name, F.lit(default)) if table is None else lookup.lookup_pair(e, table, name, default)
+    if randoms is not None:
+        e = lookup.lookup_pair(e, randoms, "randoms", 0.0)
+    atten = F.col("__total") if total is not None else F.col("__hardware") * F.col("invivo")
+    return e.withColumn("atten", atten).drop("__total", "__hardware")
+
+
 def sensitivity(matrix: DataFrame, factors: DataFrame, threshold: float = 0.0, scale: float = 1.0, key: str = "bin") -> DataFrame:
     """(vox, sens): back projection of the factors, zero below the threshold."""
     return _above(project.back(matrix, factors, key), threshold, scale)
@@ -57,8 +80,13 @@ def _above(image: DataFrame, threshold: float, scale: float) -> DataFrame:
     return image.select("vox", F.when(F.col("value") > threshold, F.col("value") * scale).otherwise(0.0).alias("sens"))
 
 
-def start_image(sens: DataFrame, value: float = START) -> DataFrame:
-    return sens.select(F.lit(0).alias("t"), "vox", F.when(F.col("sens") > 0, F.lit(value)).otherwise(F.lit(0.0)).alias("value"))
+def start_image(sens: DataFrame, value: float = START, given: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """The given image (t, vox, value), or one value everywhere; 0 where the mask (vox, value), or without one sens, is not positive."""
+    e = sens.select("vox", F.col("sens").alias("__m"))
+    if mask is not None:
+        e = e.drop("__m").join(mask.select("vox", F.col("value").alias("__m")), "vox")
+    e = e.select(F.lit(0).alias("t"), "vox", "__m", F.lit(value).alias("value")) if given is None else e.join(given.select("t", "vox", "value"), "vox")
+    return e.select("t", "vox", F.when(F.col("__m") > 0, F.col("value")).otherwise(F.lit(0.0)).alias("value"))
 
 
 def ratio_step(matrix: DataFrame, image: DataFrame, data: DataFrame, key: str = "bin", floor: float = FLOOR) -> DataFrame:
@@ -69,18 +97,22 @@ def ratio_step(matrix: DataFrame, image: DataFrame, data: DataFrame, key: str =
     return project.back(matrix, ratio, key).select(F.lit(0).alias("t"), "vox", "value")
 
 
-def osem(matrix: DataFrame, data: DataFrame, sens: DataFrame, iterations: int, subsets: int, key: str = "bin", threshold: float = 0.0) -> DataFrame:
+def osem(matrix: DataFrame, data: DataFrame, sens: DataFrame, iterations: int, subsets: int, key: str = "bin", threshold: float = 0.0, given: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
     """(t, vox, value) after iterations x subsets updates; subset k has rows with key % subsets = k.
 
     Each update is one join and two aggregates; the image is written to the
     shared folder after each, so lineage stays short and a lost executor costs
-    one step.
+    one step.  With subsets, matrix and data are written once with a folder for
+    each, so that an update reads its own part alone.
     """
-    image = cut(start_image(sens), "image0")
+    image = cut(start_image(sens, given=given, mask=mask), "image0")
+    if subsets > 1:
+        own = (F.col(key) % subsets).cast("int")
+        matrix, data = (cut(d.withColumn("__subset", own), n, "__subset") for d, n in ((matrix, "matrix"), (data, "data")))
     scaled = sens.withColumn("sens", F.col("sens") / subsets)
     for it in range(iterations):
         for k in range(subsets):
-            part = lambda d, k=k: d.where(F.col(key) % subsets == k) if subsets > 1 else d
+            part = lambda d, k=k: d.where(F.col("__subset") == k).drop("__subset") if subsets > 1 else d
             update = ratio_step(part(matrix), image, part(data), key)
             zeros = image.select("t", "vox", F.lit(0.0).alias("value"))
             update = update.unionByName(zeros).groupBy("t", "vox").agg(F.sum("value").alias("value"))
@@ -90,14 +122,14 @@ def osem(matrix: DataFrame, data: DataFrame, sens: DataFrame, iterations: int, s
 
 def low_rank_forward(matrix: DataFrame, w: DataFrame, h: DataFrame, frames: DataFrame) -> DataFrame:
     """(bin, value): sum of weight * W[rank, vox] * H[rank, frame of the bin]; H is a short table."""
-    x = frames.join(F.broadcast(h), "frame").select("bin", "rank", "h")
+    x = frames.join(h, "frame").select("bin", "rank", "h")
     e = matrix.join(x, "bin").join(w.select("rank", "vox", F.col("value").alias("__w")), ["rank", "vox"])
     return e.groupBy("bin").agg(F.sum(F.col("w") * F.col("__w") * F.col("h")).alias("value"))
 
 
 def low_rank_back_w(matrix: DataFrame, data: DataFrame, h: DataFrame, frames: DataFrame) -> DataFrame:
     """(rank, vox, value): sum of weight * y * H[rank, frame]."""
-    y = data.where("value <> 0").select("bin", F.col("value").alias("__y")).join(frames, "bin").join(F.broadcast(h), "frame")
+    y = data.where("value <> 0").select("bin", F.col("value").alias("__y")).join(frames, "bin").join(h, "frame")
     return matrix.join(y, "bin").groupBy("rank", "vox").agg(F.sum(F.col("w") * F.col("__y") * F.col("h")).alias("value"))
 
 

@@ -25,7 +25,7 @@ def wrap(angle: Column) -> Column:
 
 
 def cells(lors: DataFrame, s: Space = SPACE) -> DataFrame:
-    """Adds p1, a1, p2, a2: the nearest cell of each end (planes clamped, angles wrapped)."""
+    """Adds p1, a1, p2, a2: the nearest cell of each end (planes clamped, angles wrapped); with bins of time of flight also tof."""
     step, turn = s.axial / s.planes, 2 * F.pi() / s.angles
     out = {}
     for e in "12":
@@ -33,13 +33,22 @@ def cells(lors: DataFrame, s: Space = SPACE) -> DataFrame:
         plane = F.greatest(F.lit(lowest), F.least(F.lit(-lowest), F.col(f"z{e}")))
         out[f"p{e}"] = F.round((plane + F.lit(s.axial / 2)) / step - F.lit(0.5)).cast("long")
         out[f"a{e}"] = F.pmod(F.round(wrap(F.atan2(f"y{e}", f"x{e}")) / turn - F.lit(0.5)).cast("long"), F.lit(s.angles))
+    if s.tofs > 1:
+        out["tof"] = F.round(tof_place(s)).cast("long")
     return lors.withColumns(out)
 
 
+def tof_place(s: Space) -> Column:
+    """Place of tof_ps among the bins of time of flight, clamped to their middles."""
+    step = s.max_tof / s.tofs
+    return F.greatest(F.lit(step / 2), F.least(F.lit(s.max_tof - step / 2), F.col("tof_ps"))) / step - F.lit(0.5)
+
+
 def interpolate(lors: DataFrame, values: DataFrame, s: Space = SPACE, key: str = "event_id") -> DataFrame:
     """(key, value): linear in both planes (clamped) and both angles (wrapped): 16 corners, one join, one sum.
 
-    values is (p1, a1, p2, a2, value); absent cells count 0.
+    values is (p1, a1, p2, a2, value); absent cells count 0.  A space with bins
+    of time of flight has tof in values and tof_ps in lors: 32 corners.
     """
     step, turn = s.axial / s.planes, 2 * F.pi() / s.angles
     e = lors
@@ -49,8 +58,13 @@ def interpolate(lors: DataFrame, values: DataFrame, s: Space = SPACE, key: str =
         angle = wrap(F.atan2(f"y{k}", f"x{k}")) / turn - F.lit(0.5)
         e = e.withColumns({f"__p{k}": plane, f"__a{k}": angle})
     # the generator keeps the optimizer from writing these four out again in each of the 16 corners
+    timed = ["tof", "__wt"] if s.tofs > 1 else []
+    if timed:
+        at = tof_place(s)
+        e = e.withColumn("__t", F.explode(F.array(*[F.struct(F.least(F.floor(at) + d, F.lit(s.tofs - 1)).alias("tof"), (at - F.floor(at) if d else 1 - (at - F.floor(at))).alias("__wt")) for d in (0, 1)])))
+        e = e.withColumns({c: F.col(f"__t.{c}") for c in timed})
     base = F.struct(*[f"__{c}{k}" for k in "12" for c in "pa"])
-    e = e.select(key, F.explode(F.array(base)).alias("__b")).select(key, "__b.*")
+    e = e.select(key, *timed, F.explode(F.array(base)).alias("__b")).select(key, *timed, "__b.*")
     corner = lambda k: [
         F.struct(
             F.least(F.floor(f"__p{k}") + dp, F.lit(s.planes - 1)).alias("p"),
@@ -60,9 +74,10 @@ def interpolate(lors: DataFrame, values: DataFrame, s: Space = SPACE, key: str =
         for dp in (0, 1)
         for da in (0, 1)
     ]
-    e = e.select(key, F.explode(F.array(*corner("1"))).alias("u"), F.array(*corner("2")).alias("vs")).select(key, "u", F.explode("vs").alias("v"))
-    e = e.select(key, F.col("u.p").alias("p1"), F.col("u.a").alias("a1"), F.col("v.p").alias("p2"), F.col("v.a").alias("a2"), (F.col("u.w") * F.col("v.w")).alias("w"))
-    return e.join(values, ["p1", "a1", "p2", "a2"], "left").groupBy(key).agg(F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("value"))
+    e = e.select(key, *timed, F.explode(F.array(*corner("1"))).alias("u"), F.array(*corner("2")).alias("vs")).select(key, *timed, "u", F.explode("vs").alias("v"))
+    w = F.col("u.w") * F.col("v.w")
+    e = e.select(key, *timed[:1], F.col("u.p").alias("p1"), F.col("u.a").alias("a1"), F.col("v.p").alias("p2"), F.col("v.a").alias("a2"), (w * F.col("__wt") if timed else w).alias("w"))
+    return e.join(values, [*timed[:1], "p1", "a1", "p2", "a2"], "left").groupBy(key).agg(F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
 def tails(inside: DataFrame, width: int, s: Space = SPACE) -> DataFrame:

@@ -52,7 +52,7 @@ def lors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT * FROM lm WHERE ts_ms >= 432000000 AND ts_ms < 864000000", LM)
 def time_bounded_scan(spark, sf):
-    return select.time_range(views.lm(spark, sf), 432000000, 864000000)
+    return select.time_range(views.lm(spark, sf, between=(432000000, 864000000)), 432000000, 864000000)
 
 
 @query("SELECT event_id, d1, d2 FROM lm WHERE event_id % 4 = 1", LM)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+EPOCH = datetime(2024, 1, 1)
 FRAMES = (0, 86400000, 259200000, 604800000, 1209600000, 1814400000, 2505600000)
 LATE_FRAMES = (3600000, *FRAMES[1:])
 #: Literal motion rows: start, rotation about z as (cos, sin), translation.
@@ -46,9 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lm(spark: SparkSession, sf_dir: str, wrap: int = 1152) -> DataFrame:
-    """(event_id, ts_ms, d1, d2, tof_ps, randoms)."""
+def lm(spark: SparkSession, sf_dir: str, wrap: int = 1152, between: tuple[int, int] | None = None) -> DataFrame:
+    """(event_id, ts_ms, d1, d2, tof_ps, randoms); between: bounds of ts_ms, a millisecond wide of the mark, that the file scan uses."""
     e = table(spark, sf_dir, "events")
+    if between:
+        low, high = (EPOCH + timedelta(milliseconds=t) for t in (between[0] - 1, between[1] + 1))
+        e = e.where(f"ts >= TIMESTAMP_NTZ'{low}' AND ts < TIMESTAMP_NTZ'{high}'")
     ts = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) DIV 1000")
     return e.select(
         "event_id",
