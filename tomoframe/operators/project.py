@@ -88,8 +88,14 @@ def distance_driven(lors: DataFrame, g: Grid = GRID, trans: float = 1.0, axial:
     return lors.select(key, *[F.col(c).cast("double") for c in cols]).mapInArrow(run, f"{key} {kind}, vox long, w double")
 
 
+def _touched(span: np.ndarray, n: int, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and number of the n centred cells that each span (low, high) touches, one at least."""
+    low, high = (np.clip(np.floor(s / size + 0.5 * n), 0, n - 1).astype(np.int64) for s in span)
+    return low, high - low + 1
+
+
 def footprint_weights(a: dict[str, np.ndarray], g: Grid, trans: float, axial: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, voxel, weight) of many lines; rows of pixels along the dominant axis are walked together for all lines."""
+    """(row, voxel, weight) of many lines; rows of pixels along the dominant axis are walked together for all lines, each over the pixels that it touches."""
     p = [np.stack([a[f"{c}{k}"] - o for c, o in zip("xyz", (g.ox, g.oy, g.oz), strict=True)]) for k in "12"]
     nrm = [np.stack([a[f"n{c}{k}"] for c in "xyz"]) for k in "12"]
     length = np.sqrt(((p[1] - p[0]) ** 2).sum(0))
@@ -129,18 +135,22 @@ def footprint_weights(a: dict[str, np.ndarray], g: Grid, trans: float, axial: fl
             level = lambda f, s, at=at, pix=pix: f[0][s][1][at] + (pix - f[0][s][0][at]) / (f[1][s][0][at] - f[0][s][0][at]) * (f[1][s][1][at] - f[0][s][1][at])
             c = np.sort(np.stack([cut(flat, 0), cut(flat, 1)]), 0)
             z = np.sort(np.stack([level(tilt, 0), level(tilt, 1)]), 0)
-            for j in range(n_cross):
-                e0 = -0.5 * n_cross * d_cross + j * d_cross
-                wc = np.minimum(e0 + d_cross, c[1]) - np.maximum(e0, c[0])
-                for k in range(g.nz):
-                    z0 = -0.5 * g.nz * g.vz + k * g.vz
-                    wz = np.minimum(z0 + g.vz, z[1]) - np.maximum(z0, z[0])
-                    hit = np.flatnonzero((wc > 0) & (wz > 0))
-                    if len(hit):
-                        rows.append(idx[at[hit]])
-                        ix, iy = (j, i) if main == 1 else (i, j)
-                        voxels.append(np.full(len(hit), ix + iy * g.nx + k * g.nx * g.ny))
-                        weights.append(wc[hit] / (c[1] - c[0])[hit] * wz[hit] / (z[1] - z[0])[hit] * slant[at[hit]])
+            ok = np.isfinite(c).all(0) & np.isfinite(z).all(0)
+            at, c, z = at[ok], c[:, ok], z[:, ok]
+            first_j, many_j = _touched(c, n_cross, d_cross)
+            first_k, many_k = _touched(z, g.nz, g.vz)
+            many = many_j * many_k
+            one = np.repeat(np.arange(len(at)), many)
+            place = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many)
+            j, k = first_j[one] + place % many_j[one], first_k[one] + place // many_j[one]
+            e0, z0 = (j - 0.5 * n_cross) * d_cross, (k - 0.5 * g.nz) * g.vz
+            wc = np.minimum(e0 + d_cross, c[1][one]) - np.maximum(e0, c[0][one])
+            wz = np.minimum(z0 + g.vz, z[1][one]) - np.maximum(z0, z[0][one])
+            hit = np.flatnonzero((wc > 0) & (wz > 0))
+            one, j, k = one[hit], j[hit], k[hit]
+            rows.append(idx[at[one]])
+            voxels.append((j + i * g.nx if main == 1 else i + j * g.nx) + k * g.nx * g.ny)
+            weights.append(wc[hit] / (c[1] - c[0])[one] * wz[hit] / (z[1] - z[0])[one] * slant[at[one]])
     if not rows:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     return np.concatenate(rows), np.concatenate(voxels).astype(np.int64), np.concatenate(weights)
