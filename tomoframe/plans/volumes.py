@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tomoframe.functions.scalars import ERFC
 from tomoframe.operators import image, psf, sss, temporal
-from tomoframe.plans.slate import CELLS, DET, INTERVALS, LM, LOR, VOX, VOX2, _sql_siddon, _targets, lors, query, r
+from tomoframe.plans.slate import CELLS, DET, INTERVALS, LM, LOR, SQL, VOX, VOX2, _sql_siddon, _targets, lors, query, r
 from tomoframe.sources import views
 
 # --- kernels
@@ -234,3 +234,14 @@ def scatter_estimate(spark, sf):
     """From images and events to the scaled scatter of every cell."""
     got = sss.estimate(_prompts(spark, sf), _sample(spark), _mu(spark), views.voxels(spark), DETECTION, WIDTH, LEAST_LINE)
     return got.select("p1", "a1", "p2", "a2", r("value", 5).alias("value"))
+
+
+SQL["single_scatter"] = (
+    f"WITH {LM}, {DET}, {LOR}, "
+    "pts AS (SELECT 20e0 * (i % 4) - 30e0 AS sx, 20e0 * (i // 4 % 4) - 30e0 AS sy, 30e0 * (i // 16) - 30e0 AS sz, 1e0 + i % 3 AS density, 0.5e0 + i * 7 % 5 AS emission FROM range(48) AS r(i)), "
+    "tw AS (SELECT event_id, density, emission, x1 - sx AS ax, y1 - sy AS ay, z1 - sz AS az, x2 - sx AS bx, y2 - sy AS b_y, z2 - sz AS bz FROM lor, pts), "
+    "tr AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS r1, sqrt(bx * bx + b_y * b_y + bz * bz) AS r2, ax * bx + ay * b_y + az * bz AS d FROM tw), "
+    "tc AS (SELECT *, -d / (r1 * r2) AS c, 1 / (2e0 + d / (r1 * r2)) AS p FROM tr), "
+    "tm AS (SELECT *, ((1 + p) / (p * p) * (2e0 * (1 + p) / (1 + 2e0 * p) - ln(1 + 2e0 * p) / p) + ln(1 + 2e0 * p) / (2e0 * p) - (1 + 3e0 * p) / ((1 + 2e0 * p) * (1 + 2e0 * p))) / (20e0 / 9 - 1.5e0 * ln(3e0)) AS m FROM tc) "
+    "SELECT event_id, round(sum(emission * density * p * p * (p + 2e0 - c - (1 - c * c)) * exp(-0.00096e0 * (r1 + m * r2)) / (r1 * r1 * r2 * r2)) * 1e9, 4) AS value FROM tm GROUP BY event_id"
+)
