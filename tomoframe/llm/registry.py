@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomoframe.llm import exact_dedup, html_extract, licenses, ngram_join, ordinal_quality, packing, pieces, quality_rules, sharding, toxicity
+from tomoframe.llm import exact_dedup, html_extract, licenses, ngram_join, ordinal_quality, packing, periodic_runs, pieces, quality_rules, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bounded_space_packing": packing.op8_bounded_space_packing,
         "op9_sentencepiece_agenda": pieces.op9_sentencepiece_agenda,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     }
 
 
