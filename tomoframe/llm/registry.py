@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomoframe.llm import exact_dedup, html_extract, licenses, ngram_join, ordinal_quality, packing, periodic_runs, pieces, quality_rules, sharding, toxicity
+from tomoframe.llm import exact_dedup, html_extract, lexical_search, licenses, lm_scoring, ngram_join, ordinal_quality, packing, periodic_runs, pieces, quality_rules, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece_agenda": pieces.op9_sentencepiece_agenda,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_lexical_search": lexical_search.op12_lexical_search,
+        "op13_log_frequency_bloom": lm_scoring.op13_log_frequency_bloom,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op7_license_scan": licenses.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op7_license_scan": licenses.SQL, "op10_exact_dedup": exact_dedup.SQL, "op12_lexical_search": lexical_search.SQL}
