@@ -114,4 +114,4 @@ def test_bootstrap_split_is_a_partition(spark):
 
 
 def test_voxels_view(spark):
-    assert voxels(spark, nt=2).count() == 2 * GRID.voxels
+    assert voxels(spark, SF, nt=2).count() == 2 * GRID.voxels

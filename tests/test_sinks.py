@@ -37,7 +37,7 @@ def test_texts(spark):
 
 
 def test_basis_and_bound_rows(spark):
-    a = formats.read_rawd(formats.basis_bytes(views.hbasis(spark)))
+    a = formats.read_rawd(formats.basis_bytes(views.hbasis(spark, "/root/testdata/sf0.001")))
     assert np.allclose(a, views.HBASIS)
     rows = {"ts_ms": np.array([5, 6]), "d1": np.array([1, 2]), "d2": np.array([3, 9]), "tof_ps": np.array([0.5, -1.0])}
     got = formats.bind_listmode(spark, rows, 10).orderBy("record_id").collect()

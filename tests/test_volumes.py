@@ -30,9 +30,9 @@ def test_variant_psf_file():
 
 def test_variant_psf_keeps_a_constant_and_has_its_adjoint(spark):
     v = psf.read_variant_psf("60,60,60\n60,60,60\n3,3,3\n" + "\n".join(f"{20 + k},{25 + k},{40 + 2 * k}" for k in range(8)))
-    flat = views.voxels(spark).withColumn("value", F.lit(2.0))
+    flat = views.voxels(spark, "/root/testdata/sf0.001").withColumn("value", F.lit(2.0))
     assert [round(r.value, 9) for r in psf.variant(flat, v).collect()] == [2.0] * views.GRID.voxels
-    x, y = views.voxels(spark), views.sens(spark).selectExpr("0 AS t", "vox", "sens AS value")
+    x, y = views.voxels(spark, "/root/testdata/sf0.001"), views.sens(spark, "/root/testdata/sf0.001").selectExpr("0 AS t", "vox", "sens AS value")
     dot = lambda a, b: a.join(b.withColumnRenamed("value", "o"), ["t", "vox"]).agg(F.sum(F.col("value") * F.col("o"))).first()[0]
     assert dot(psf.variant(x, v), y) == pytest.approx(dot(x, psf.variant(y, v, adjoint=True)))
 
@@ -58,7 +58,7 @@ def test_rigid_motion_is_the_turn_about_z_where_it_is_one(spark):
 
 
 def test_resampling_onto_its_own_grid_changes_nothing(spark):
-    v = views.voxels(spark)
+    v = views.voxels(spark, "/root/testdata/sf0.001")
     out = {r.vox: r.value for r in image.resample(v, v.select("vox"), views.GRID).collect()}
     assert all(out[r.vox] == pytest.approx(r.value) for r in v.collect())
 

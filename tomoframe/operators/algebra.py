@@ -72,9 +72,12 @@ def read_points(image: DataFrame, points: DataFrame, g: Grid = GRID) -> DataFram
 
 
 def update_points(image: DataFrame, points: DataFrame, multiply: bool = False, g: Grid = GRID) -> DataFrame:
-    """(vox, value): image with each point's amount added to its voxel, or multiplied in; points outside count for nothing."""
+    """(vox, value): image with each point's amount added to its voxel, or multiplied in; points outside count for nothing.
+
+    Amounts that are decimals are added up exactly, so the order of addition does not show.
+    """
     at = points.select(nearest_voxel(F.col("x"), F.col("y"), F.col("z"), g).alias("vox"), "amount").where("vox IS NOT NULL")
-    per = at.groupBy("vox").agg((F.product if multiply else F.sum)("amount").alias("__a"))
+    per = at.groupBy("vox").agg((F.product if multiply else F.sum)("amount").cast("double").alias("__a"))
     e = image.select("vox", "value").join(per, "vox", "left")
     new = F.col("value") * F.coalesce("__a", F.lit(1.0)) if multiply else F.col("value") + F.coalesce("__a", F.lit(0.0))
     return e.select("vox", new.alias("value"))

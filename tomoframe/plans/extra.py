@@ -19,15 +19,15 @@ for _c in scalars.ERFC[-2::-1]:
     _POLY = f"({_c!r}e0 + t * {_POLY})"
 
 
-@query(f"SELECT id, round(CASE WHEN x >= 0 THEN e ELSE 2e0 - e END, 7) + 0e0 AS value FROM (SELECT id, x, t * exp(-x * x + {_POLY}) AS e FROM (SELECT id, x, 1e0 / (1 + 0.5e0 * abs(x)) AS t FROM (SELECT id, (id - 60) / 1e1 AS x FROM range(121) AS r(id))))")
+@query(f"SELECT event_id, round(CASE WHEN x >= 0 THEN e ELSE 2e0 - e END, 7) + 0e0 AS value FROM (SELECT event_id, x, t * exp(-x * x + {_POLY}) AS e FROM (SELECT event_id, x, 1e0 / (1 + 0.5e0 * abs(x)) AS t FROM (SELECT event_id, tof_ps / 1e2 AS x FROM lm)))", LM)
 def scalar_erfc(spark, sf):
-    return spark.range(121).select("id", r(scalars.erfc((F.col("id") - 60) / F.lit(1e1)), 7).alias("value"))
+    return views.lm(spark, sf).select("event_id", r(scalars.erfc(F.col("tof_ps") / F.lit(1e2)), 7).alias("value"))
 
 
-@query("SELECT id, CASE WHEN id - 20 < 0 THEN 19 - id WHEN id - 20 >= 24 THEN 67 - id ELSE id - 20 END AS reflected, CASE WHEN id < 20 THEN id + 4 WHEN id >= 44 THEN id - 44 ELSE id - 20 END AS wrapped, CAST(length(CAST(id * id AS VARCHAR)) AS INTEGER) AS digits FROM range(64) AS r(id)")
+@query("SELECT event_id, CASE WHEN i < 0 THEN -1 - i WHEN i >= 24 THEN 47 - i ELSE i END AS reflected, CASE WHEN i < 0 THEN i + 24 WHEN i >= 24 THEN i - 24 ELSE i END AS wrapped, CAST(length(CAST(d1 * d2 AS VARCHAR)) AS INTEGER) AS digits FROM (SELECT event_id, d1, d2, d1 % 64 - 20 AS i FROM lm)", LM)
 def scalar_index(spark, sf):
-    i = F.col("id") - 20
-    return spark.range(64).select("id", scalars.reflect(24, i).alias("reflected"), scalars.circular(24, i).alias("wrapped"), scalars.digits(F.col("id") * F.col("id")).alias("digits"))
+    i = F.col("d1") % 64 - 20
+    return views.lm(spark, sf).select("event_id", scalars.reflect(24, i).alias("reflected"), scalars.circular(24, i).alias("wrapped"), scalars.digits(F.col("d1") * F.col("d2")).alias("digits"))
 
 
 @query("SELECT event_id, round(CASE WHEN y1 <> y2 THEN least((-100e0 - y1) / (y2 - y1), (100e0 - y1) / (y2 - y1)) WHEN y1 < -100e0 OR y1 > 100e0 THEN 1e0 ELSE 0e0 END, 6) + 0e0 AS a0, round(CASE WHEN y1 <> y2 THEN greatest((-100e0 - y1) / (y2 - y1), (100e0 - y1) / (y2 - y1)) WHEN y1 < -100e0 OR y1 > 100e0 THEN 0e0 ELSE 1e0 END, 6) + 0e0 AS a1 FROM lor", LM, DET, LOR)
@@ -43,12 +43,12 @@ TAPS = (0.1, 0.2, 0.4, 0.25, 0.05)
     # trapezoids between the knots of the kernel and the two ends
     "SELECT id, round(coalesce(sum((hi - lo) * (f0 + f1) / 2), 0e0), 7) + 0e0 AS value FROM p LEFT JOIN (SELECT id AS q, lo, hi, va + (vb - va) * (lo / 2e0 - k) AS f0, va + (vb - va) * (hi / 2e0 - k) AS f1 FROM ("
     "SELECT id, k, greatest(x0, k * 2e0) AS lo, least(x1, (k + 1) * 2e0) AS hi, coalesce(a.v, 0e0) AS va, coalesce(b.v, 0e0) AS vb FROM p CROSS JOIN range(-3, 3) AS s(k) LEFT JOIN taps a ON a.i = k LEFT JOIN taps b ON b.i = k + 1) WHERE lo < hi) ON q = id GROUP BY id",
-    "p AS (SELECT id, (id % 41 - 20) / 2e0 AS x0, (id % 41 - 20) / 2e0 + (id % 7 - 1) * 1.3e0 AS x1 FROM range(500) AS r(id))",
+    LM, "p AS (SELECT event_id AS id, (event_id % 41 - 20) / 2e0 AS x0, (event_id % 41 - 20) / 2e0 + (d1 % 7 - 1) * 1.3e0 AS x1 FROM lm)",
     "taps AS (SELECT i, v FROM (VALUES " + ", ".join(f"({i - 2}, {v}e0)" for i, v in enumerate(TAPS)) + ") AS t(i, v))",
 )
 def kernel_integral(spark, sf):
-    x0 = (F.col("id") % 41 - 20) / F.lit(2e0)
-    return spark.range(500).select("id", r(scalars.kernel_integral(TAPS, 2.0, x0, x0 + (F.col("id") % 7 - 1) * F.lit(1.3)), 7).alias("value"))
+    x0 = (F.col("event_id") % 41 - 20) / F.lit(2e0)
+    return views.lm(spark, sf).select(F.col("event_id").alias("id"), r(scalars.kernel_integral(TAPS, 2.0, x0, x0 + (F.col("d1") % 7 - 1) * F.lit(1.3)), 7).alias("value"))
 
 
 ROT = "ro AS (SELECT event_id, x1, y1, z1, 0.1e0 * (event_id % 5) AS a, 0.07e0 * (event_id % 7) - 0.2e0 AS b, 0.3e0 * (event_id % 11) AS c FROM lor)"
@@ -110,7 +110,7 @@ def _bell(sigma: float, voxel: float, n: int) -> list[float]:
 @query("SELECT t, vox, round(value, 6) AS value FROM pz", VOX2, _sql_axis("voxels", "px", 0, _bell(15.0, 25.0, 3)), _sql_axis("px", "py", 1, _bell(25.0, 25.0, 5)), _sql_axis("py", "pz", 2, _bell(30.0, 50.0, 3)))
 def psf_gaussian(spark, sf):
     kernels = (scalars.gaussian_kernel(15.0, 25.0), scalars.gaussian_kernel_fwhm(25.0 * scalars.SIGMA_TO_FWHM, 25.0), scalars.gaussian_kernel(30.0, 50.0))
-    return image.psf(views.voxels(spark, nt=2), kernels).select("t", "vox", F.round("value", 6).alias("value"))
+    return image.psf(views.voxels(spark, sf, nt=2), kernels).select("t", "vox", F.round("value", 6).alias("value"))
 
 
 # --- arithmetic
@@ -119,7 +119,7 @@ def psf_gaussian(spark, sf):
 @query("SELECT t, vox, round(value + sens, 6) + 0e0 AS added, round(value - sens, 6) + 0e0 AS taken, round(value * sens, 6) + 0e0 AS times, round(CASE WHEN sens <> 0 THEN value / sens END, 6) + 0e0 AS ratio FROM voxels JOIN sens USING (vox)", VOX2, SENS)
 def array_arithmetic(spark, sf):
     """A 3-D image combined into every frame of a 4-D one."""
-    v, s = views.voxels(spark, nt=2), views.sens(spark).withColumnRenamed("sens", "value")
+    v, s = views.voxels(spark, sf, nt=2), views.sens(spark, sf).withColumnRenamed("sens", "value")
     out = None
     for name, op in (("added", "add"), ("taken", "subtract"), ("times", "multiply"), ("ratio", "divide")):
         e = algebra.combine(v, s, ["vox"], op).select("t", "vox", r("value", 6).alias(name))
@@ -130,9 +130,9 @@ def array_arithmetic(spark, sf):
 @query("SELECT vox, 2e0 * value + coalesce(s, 0e0) AS value FROM voxels LEFT JOIN (SELECT vox, sens AS s FROM sens WHERE vox % 3 = 0) USING (vox) UNION ALL SELECT vox + 1000, sens FROM sens WHERE vox % 50 = 0", VOX, SENS)
 def attenuation_sum(spark, sf):
     """Hardware and in-vivo attenuation images added, cells of one alone included."""
-    s = views.sens(spark)
+    s = views.sens(spark, sf)
     other = s.where("vox % 3 = 0").unionByName(s.where("vox % 50 = 0").withColumn("vox", F.col("vox") + 1000)).withColumnRenamed("sens", "value")
-    return algebra.combine(algebra.scaled(views.voxels(spark).drop("t"), 2e0), other, ["vox"], "add", outer=True)
+    return algebra.combine(algebra.scaled(views.voxels(spark, sf).drop("t"), 2e0), other, ["vox"], "add", outer=True)
 
 
 def _dense(spark, sf):
@@ -167,18 +167,20 @@ def _points(spark, sf):
 
 @query("SELECT event_id, coalesce(value, 0e0) AS value FROM pn LEFT JOIN voxels USING (vox)", LM, VOX, PTS)
 def image_point_read(spark, sf):
-    return algebra.read_points(views.voxels(spark), _points(spark, sf)).select("event_id", "value")
+    return algebra.read_points(views.voxels(spark, sf), _points(spark, sf)).select("event_id", "value")
 
 
-@query("SELECT vox, round(value + coalesce(a, 0e0), 4) + 0e0 AS value FROM voxels LEFT JOIN (SELECT vox, sum(amount) AS a FROM pn GROUP BY vox) USING (vox)", LM, VOX, PTS)
+@query("SELECT vox, value + coalesce(a, 0e0) AS value FROM voxels LEFT JOIN (SELECT vox, CAST(sum(CAST(amount AS DECIMAL(18, 5))) AS DOUBLE) AS a FROM pn GROUP BY vox) USING (vox)", LM, VOX, PTS)
 def image_point_update(spark, sf):
-    return algebra.update_points(views.voxels(spark), _points(spark, sf)).select("vox", r("value").alias("value"))
+    """The amounts are whole in the fifth place, so their sum is exact as decimals, in whatever order."""
+    points = _points(spark, sf).withColumn("amount", F.col("amount").cast("decimal(18, 5)"))
+    return algebra.update_points(views.voxels(spark, sf), points).select("vox", "value")
 
 
 @query("SELECT t, vox, CASE WHEN sens - t > 1e0 THEN value * (value * 0.5e0) / (sens - t) ELSE value END AS value FROM voxels JOIN sens USING (vox)", VOX2, SENS)
 def em_update_4d(spark, sf):
-    v = views.voxels(spark, nt=2)
-    s = v.select("t", "vox").join(views.sens(spark), "vox").select("t", "vox", (F.col("sens") - F.col("t")).alias("sens"))
+    v = views.voxels(spark, sf, nt=2)
+    s = v.select("t", "vox").join(views.sens(spark, sf), "vox").select("t", "vox", (F.col("sens") - F.col("t")).alias("sens"))
     return image.em_update_4d(v, v.withColumn("value", F.col("value") * 0.5), s, 1.0)
 
 
@@ -195,8 +197,8 @@ def subset_sensitivity_sum(spark, sf):
 
 @query("SELECT rank, round(sum(value * sens), 4) + 0e0 AS c FROM wimg JOIN sens USING (vox) GROUP BY rank", LR[-1], SENS)
 def lr_h_scaling(spark, sf):
-    w = views.voxels(spark, nt=3).select(F.col("t").alias("rank"), "vox", "value")
-    return recon.low_rank_sensitivity_h(w, views.sens(spark)).select("rank", r("c").alias("c"))
+    w = views.voxels(spark, sf, nt=3).select(F.col("t").alias("rank"), "vox", "value")
+    return recon.low_rank_sensitivity_h(w, views.sens(spark, sf)).select("rank", r("c").alias("c"))
 
 
 @query(
@@ -280,9 +282,10 @@ def listmode_compare_whole(spark, sf):
 # --- enumeration and selection
 
 
-@query("SELECT CAST(5 + id // 12 * 40 + id % 12 AS BIGINT) AS bin FROM range(84) AS r(id)")
+@query("SELECT CAST(5 + id // 12 * 40 + id % 12 AS BIGINT) AS bin FROM range((SELECT count(*) // 12 * 12 FROM events)) AS r(id)")
 def range_2d(spark, sf):
-    return select.range_2d(spark, 7, 12, 40, 5)
+    """As many slices of 12 bins as the events fill."""
+    return select.range_2d(spark, views.table(spark, sf, "events").count() // 12, 12, 40, 5)
 
 
 @query("SELECT event_id, CASE WHEN d1 % 48 >= 10 AND d2 % 48 >= 10 THEN tof_ps ELSE 0e0 END AS tof_ps, CASE WHEN d1 % 48 >= 10 AND d2 % 48 >= 10 THEN randoms ELSE 0e0 END AS randoms FROM lm", LM)
@@ -359,7 +362,7 @@ def event_projections(spark, sf):
 @query(
     "SELECT CAST(row_number() OVER (ORDER BY t_start) AS BIGINT) AS k, CAST(CASE WHEN mid >= 1209600000 THEN 0 ELSE least(1209600000, (mid // 3600000 + 1) * 3600000) END AS BIGINT) AS edge FROM (SELECT t_start, (t_start + t_next) // 2 AS mid FROM mi WHERE t_next IS NOT NULL) "
     "UNION ALL SELECT 0, 0 UNION ALL SELECT count(*), 1209600000 FROM motion",
-    views.sql_motion(), INTERVALS,
+    LM, views.SQL_MOTION, INTERVALS,
 )
 def position_bins(spark, sf):
-    return convert.position_bins(views.motion(spark), 0, 1209600000, 3600000)
+    return convert.position_bins(views.motion(spark, sf), 0, 1209600000, 3600000)

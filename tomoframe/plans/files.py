@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tomoframe.operators import aggregate, kinetic, project, recon, scatter
-from tomoframe.plans.slate import DET, EM, FACTORS, HIST, LM, LOR, SENS, SH, SIDDON, SQL, TAC, TURN, VOX, _ang, _dd_lors, _pla, _sql_siddon, em_data, lors, matrix, query, r
+from tomoframe.plans.slate import CELL_KEY, DET, EM, FACTORS, HIST, LM, LOR, SENS, SH, SIDDON, SQL, TAC, TURN, VOX, _ang, _dd_lors, _pla, _sql_siddon, cell_values, em_data, lors, matrix, query, r
 from tomoframe.sources import formats, views
 
 # --- files
@@ -68,8 +68,8 @@ def osem_from_image(spark, sf):
     """One iteration of three subsets from a given image under a mask."""
     m, d = recon.cut(matrix(spark, sf), "matrix"), recon.cut(em_data(spark, sf), "data")
     s = recon.sensitivity(m, d.select("event_id", (F.col("sens") * F.col("atten")).alias("value")), key="event_id")
-    mask = views.sens(spark).withColumnRenamed("sens", "value")
-    return recon.osem(m, d, s, 1, 3, "event_id", given=views.voxels(spark), mask=mask).select("vox", r("value", 5).alias("value"))
+    mask = views.sens(spark, sf).withColumnRenamed("sens", "value")
+    return recon.osem(m, d, s, 1, 3, "event_id", given=views.voxels(spark, sf), mask=mask).select("vox", r("value", 5).alias("value"))
 
 
 @query(
@@ -77,7 +77,7 @@ def osem_from_image(spark, sf):
 )
 def adjoint_sums(spark, sf):
     """<A x, y> and <x, At y>."""
-    e, x = lors(spark, sf), views.voxels(spark)
+    e, x = lors(spark, sf), views.voxels(spark, sf)
     p = project.forward(matrix(spark, sf), x, "event_id").withColumnRenamed("value", "p")
     a = p.join(e.select("event_id", "randoms"), "event_id").agg(r(F.sum(F.col("p") * F.col("randoms")), 3).alias("forward"))
     u = project.back_lors(e.withColumnRenamed("randoms", "value")).withColumnRenamed("value", "u")
@@ -126,7 +126,7 @@ _RAY_ENDS = ", ".join(
 def crystal_rays_forward(spark, sf):
     """Forward projection averaged over three rays between the crystals, within their depth too."""
     rays = project.crystal_rays(_dd_lors(spark, sf), 3, 5.0, 3.0, 8.0, key="event_id")
-    return project.forward(project.siddon(rays, keep=("event_id",)), views.voxels(spark), "event_id").select("event_id", r(F.col("value") / 3, 3).alias("value"))
+    return project.forward(project.siddon(rays, keep=("event_id",)), views.voxels(spark, sf), "event_id").select("event_id", r(F.col("value") / 3, 3).alias("value"))
 
 
 # --- time of flight in scatter space
@@ -134,7 +134,7 @@ def crystal_rays_forward(spark, sf):
 TIMED = scatter.Space(tofs=5, max_tof=400.0)
 _TOF = "(greatest(40e0, least(360e0, tof_ps)) / 80e0 - 0.5e0)"
 _FRAC = "(CASE WHEN {d} = 1 THEN {c} - floor({c}) ELSE 1 - ({c} - floor({c})) END)"
-SCT = "sct AS (SELECT i // 9216 AS tof, i // 1536 % 6 AS p1, i // 96 % 16 AS a1, i // 16 % 6 AS p2, i % 16 AS a2, 1e0 + i * 7 % 13 AS value FROM range(46080) AS r(i))"
+SCT = views.sql_amounts("sct_q", CELL_KEY, 46080) + ", sct AS (SELECT id // 9216 AS tof, id // 1536 % 6 AS p1, id // 96 % 16 AS a1, id // 16 % 6 AS p2, id % 16 AS a2, 1e0 + q % 13 AS value FROM sct_q)"
 
 
 def _timed(spark, sf):
@@ -157,8 +157,7 @@ def scs_tof_bin(spark, sf):
 )
 def scs_tof_interp(spark, sf):
     """Linear in time of flight, planes and angles: 32 corners."""
-    i = F.col("id")
-    v = spark.range(46080).select(F.floor(i / 9216).alias("tof"), (F.floor(i / 1536) % 6).alias("p1"), (F.floor(i / 96) % 16).alias("a1"), (F.floor(i / 16) % 6).alias("p2"), (i % 16).alias("a2"), (F.lit(1e0) + i * 7 % 13).alias("value"))
+    v = cell_values(spark, sf, 5)
     return scatter.interpolate(_timed(spark, sf), v, TIMED).select("event_id", r("value").alias("value"))
 
 

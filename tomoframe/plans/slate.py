@@ -91,14 +91,18 @@ def subset_explicit_ids(spark, sf):
 # --- geometry
 
 
-@query("SELECT * FROM det", DET)
+@query("SELECT det.*, n FROM det JOIN used USING (det_id) WHERE n > 0", LM, DET, views.sql_usage("used", "d1"))
 def det_lut(spark, sf):
-    return geo.det_lut(spark)
+    """Places and normals of the detectors that events start from, with their events."""
+    return geo.det_lut(spark).join(views.usage(spark, sf, "d1").where("n > 0"), "det_id")
 
 
-@query("SELECT d1r, d2r, r_ring, phi FROM ring_map", RM)
+@query("SELECT d1r, d2r, r_ring, phi, n FROM ring_map JOIN (SELECT least(d1 % 48, d2 % 48) AS d1r, greatest(d1 % 48, d2 % 48) AS d2r, count(*) AS n FROM lm GROUP BY ALL) USING (d1r, d2r)", LM, RM)
 def ring_map(spark, sf):
-    return geo.ring_map(spark)
+    """The pairs of one ring's positions that events have, with their coordinates."""
+    a, b = F.col("d1") % 48, F.col("d2") % 48
+    pairs = views.lm(spark, sf).groupBy(F.least(a, b).alias("d1r"), F.greatest(a, b).alias("d2r")).agg(F.count("*").alias("n"))
+    return geo.ring_map(spark).join(pairs, ["d1r", "d2r"]).select("d1r", "d2r", "r_ring", "phi", "n")
 
 
 @query("SELECT event_id, r, phi, z_bin, bin FROM binned", LM, RM, views.sql_binned("lm"))
@@ -206,61 +210,61 @@ def dynamic_frame_assign(spark, sf):
     return temporal.assign_frames(views.lm(spark, sf), views.frames(spark, views.LATE_FRAMES)).select("event_id", "frame")
 
 
-@query("SELECT frame, t_start, t_stop - t_start AS duration FROM frames", views.sql_frames())
+@query("SELECT frame, t_start, t_stop - t_start AS duration FROM frames", LM, views.SQL_EVENT_FRAMES)
 def frame_durations(spark, sf):
-    return temporal.frame_durations(views.frames(spark))
+    return temporal.frame_durations(views.event_frames(spark, sf))
 
 
-@query("SELECT min(t_start - prev) > 0 AS rising FROM (SELECT t_start, lag(t_start) OVER (ORDER BY frame) AS prev FROM frames)", views.sql_frames())
+@query("SELECT min(t_start - prev) > 0 AS rising FROM (SELECT t_start, lag(t_start) OVER (ORDER BY frame) AS prev FROM frames)", LM, views.SQL_EVENT_FRAMES)
 def framing_valid(spark, sf):
     from pyspark.sql import Window
 
-    f = views.frames(spark)
+    f = views.event_frames(spark, sf)
     return f.select((F.col("t_start") - F.lag("t_start").over(Window.orderBy("frame"))).alias("d")).agg((F.min("d") > 0).alias("rising"))
 
 
 INTERVALS = "mi AS (SELECT *, lead(t_start) OVER (ORDER BY t_start) AS t_next, coalesce(lead(t_start) OVER (ORDER BY t_start) - t_start, t_start - lag(t_start) OVER (ORDER BY t_start), 1) AS duration FROM motion)"
 
 
-@query("SELECT frame, t_start, duration FROM mi", views.sql_motion(), INTERVALS)
+@query("SELECT frame, t_start, duration FROM mi", LM, views.SQL_MOTION, INTERVALS)
 def motion_durations(spark, sf):
-    return temporal.motion_intervals(views.motion(spark)).select("frame", "t_start", "duration")
+    return temporal.motion_intervals(views.motion(spark, sf)).select("frame", "t_start", "duration")
 
 
 ASOF = "asof_lm AS (SELECT lm.*, coalesce(m.frame, -1) AS motion_frame, coalesce(c, 1e0) AS c, coalesce(s, 0e0) AS s, coalesce(tx, 0e0) AS tx, coalesce(ty, 0e0) AS ty, coalesce(tz, 0e0) AS tz FROM lm LEFT JOIN mi m ON ts_ms >= t_start AND (t_next IS NULL OR ts_ms < t_next))"
 
 
-@query("SELECT event_id, motion_frame FROM asof_lm", LM, views.sql_motion(), INTERVALS, ASOF)
+@query("SELECT event_id, motion_frame FROM asof_lm", LM, views.SQL_MOTION, INTERVALS, ASOF)
 def motion_asof(spark, sf):
-    return temporal.motion_asof(views.lm(spark, sf), views.motion(spark)).select("event_id", "motion_frame")
+    return temporal.motion_asof(views.lm(spark, sf), views.motion(spark, sf)).select("event_id", "motion_frame")
 
 
 @query(
     "SELECT event_id, round(c * a.x - s * a.y + tx, 4) + 0e0 AS x1, round(s * a.x + c * a.y + ty, 4) + 0e0 AS y1, round(a.z + tz, 4) + 0e0 AS z1, "
     "round(c * b.x - s * b.y + tx, 4) + 0e0 AS x2, round(s * b.x + c * b.y + ty, 4) + 0e0 AS y2, round(b.z + tz, 4) + 0e0 AS z2 "
     "FROM asof_lm JOIN det a ON a.det_id = d1 JOIN det b ON b.det_id = d2",
-    LM, DET, views.sql_motion(), INTERVALS, ASOF,
+    LM, DET, views.SQL_MOTION, INTERVALS, ASOF,
 )
 def moved_lor(spark, sf):
-    e = temporal.move(geo.with_lor(temporal.motion_asof(views.lm(spark, sf), views.motion(spark)), geo.det_lut(spark)))
+    e = temporal.move(geo.with_lor(temporal.motion_asof(views.lm(spark, sf), views.motion(spark, sf)), geo.det_lut(spark)))
     return e.select("event_id", *[r(F.col(c)).alias(c) for c in ("x1", "y1", "z1", "x2", "y2", "z2")])
 
 
-@query("SELECT f.frame AS dyn, m.frame AS mot FROM frames f JOIN motion m ON m.t_start >= f.t_start AND m.t_start <= f.t_stop", views.sql_frames(), views.sql_motion())
+@query("SELECT f.frame AS dyn, m.frame AS mot FROM frames f JOIN motion m ON m.t_start >= f.t_start AND m.t_start <= f.t_stop", LM, views.SQL_EVENT_FRAMES, views.SQL_MOTION)
 def motion_in_frames(spark, sf):
-    f, m = views.frames(spark).withColumnRenamed("t_start", "f_start"), views.motion(spark).withColumnRenamed("frame", "mot")
+    f, m = views.event_frames(spark, sf).withColumnRenamed("t_start", "f_start"), views.motion(spark, sf).withColumnRenamed("frame", "mot")
     return f.join(m, (F.col("t_start") >= F.col("f_start")) & (F.col("t_start") <= F.col("t_stop"))).select(F.col("frame").alias("dyn"), "mot")
 
 
 @query(
-    "SELECT frame, duration / sum(duration) OVER () AS share, round(exp(-t_start / 6.6e6) - exp(-t_stop / 6.6e6), 6) + 0e0 AS decay FROM (SELECT frame, t_start, t_stop, CAST(t_stop - t_start AS DOUBLE) AS duration FROM frames)",
-    views.sql_frames(),
+    "SELECT frame, duration / sum(duration) OVER () AS share, round(exp(-t_start / 6.6e8) - exp(-t_stop / 6.6e8), 6) + 0e0 AS decay FROM (SELECT frame, t_start, t_stop, CAST(t_stop - t_start AS DOUBLE) AS duration FROM frames)",
+    LM, views.SQL_EVENT_FRAMES,
 )
 def frame_weights(spark, sf):
     """Share of the scan, and share of decays, of each frame."""
-    f = views.frames(spark)
+    f = views.event_frames(spark, sf)
     total = f.agg(F.sum((F.col("t_stop") - F.col("t_start")).cast("double")).alias("total"))
-    return f.crossJoin(F.broadcast(total)).select("frame", ((F.col("t_stop") - F.col("t_start")).cast("double") / F.col("total")).alias("share"), r(F.exp(-F.col("t_start") / F.lit(6.6e6)) - F.exp(-F.col("t_stop") / F.lit(6.6e6)), 6).alias("decay"))
+    return f.crossJoin(F.broadcast(total)).select("frame", ((F.col("t_stop") - F.col("t_start")).cast("double") / F.col("total")).alias("share"), r(F.exp(-F.col("t_start") / F.lit(6.6e8)) - F.exp(-F.col("t_stop") / F.lit(6.6e8)), 6).alias("decay"))
 
 
 @query("SELECT max(ts_ms) - min(ts_ms) AS duration FROM (SELECT arg_min(ts_ms, event_id) AS ts_ms FROM lm UNION ALL SELECT arg_max(ts_ms, event_id) FROM lm)", LM)
@@ -411,23 +415,25 @@ def acf_from_projection(spark, sf):
 
 # --- masks and ranges
 
-MASKS = "m1 AS (SELECT id AS det_id, id % 48 >= 10 AS a FROM range(1152) AS r(id)), m2 AS (SELECT id AS det_id, id % 7 <> 0 AS b FROM range(1152) AS r(id))"
+MASKS = (LM, views.sql_usage("u1", "d1"), views.sql_usage("u2", "d2"), "m1 AS (SELECT det_id, n % 2 = 0 AS a FROM u1), m2 AS (SELECT det_id, n % 3 <> 0 AS b FROM u2)")
 
 
-def _masks(spark):
-    return mask_table(spark).withColumnRenamed("enabled", "a").join(spark.range(1152).select(F.col("id").alias("det_id"), (F.col("id") % 7 != 0).alias("b")), "det_id")
+def _masks(spark, sf):
+    """Two masks that follow from how often events have a detector."""
+    a, b = (views.usage(spark, sf, d) for d in ("d1", "d2"))
+    return a.select("det_id", (F.col("n") % 2 == 0).alias("a")).join(b.select("det_id", (F.col("n") % 3 != 0).alias("b")), "det_id")
 
 
-@query("SELECT det_id, a AND b AS m_and, a OR b AS m_or, a <> b AS m_xor, NOT (a AND b) AS m_nand FROM m1 JOIN m2 USING (det_id)", MASKS)
+@query("SELECT det_id, a AND b AS m_and, a OR b AS m_or, a <> b AS m_xor, NOT (a AND b) AS m_nand FROM m1 JOIN m2 USING (det_id)", *MASKS)
 def mask_algebra(spark, sf):
     a, b = F.col("a"), F.col("b")
-    return _masks(spark).select("det_id", (a & b).alias("m_and"), (a | b).alias("m_or"), (a != b).alias("m_xor"), (~(a & b)).alias("m_nand"))
+    return _masks(spark, sf).select("det_id", (a & b).alias("m_and"), (a | b).alias("m_or"), (a != b).alias("m_xor"), (~(a & b)).alias("m_nand"))
 
 
-@query("SELECT CAST(sum(CASE WHEN enabled THEN 1 ELSE 0 END) AS BIGINT) AS enabled, CAST(sum(CASE WHEN enabled THEN 0 ELSE 1 END) AS BIGINT) AS disabled, bool_and(enabled) AS all_on, NOT bool_or(enabled) AS none_on FROM mask", MASK)
+@query("SELECT CAST(sum(CASE WHEN enabled THEN 1 ELSE 0 END) AS BIGINT) AS enabled, CAST(sum(CASE WHEN enabled THEN 0 ELSE 1 END) AS BIGINT) AS disabled, bool_and(enabled) AS all_on, NOT bool_or(enabled) AS none_on FROM (SELECT a AS enabled FROM m1)", *MASKS)
 def mask_counts(spark, sf):
-    on = F.col("enabled")
-    return mask_table(spark).agg(F.sum(F.when(on, 1).otherwise(0)).alias("enabled"), F.sum(F.when(on, 0).otherwise(1)).alias("disabled"), F.bool_and(on).alias("all_on"), (~F.bool_or(on)).alias("none_on"))
+    on = F.col("a")
+    return _masks(spark, sf).agg(F.sum(F.when(on, 1).otherwise(0)).alias("enabled"), F.sum(F.when(on, 0).otherwise(1)).alias("disabled"), F.bool_and(on).alias("all_on"), (~F.bool_or(on)).alias("none_on"))
 
 
 @query(
@@ -448,25 +454,25 @@ VOX2 = views.sql_voxels(2)
 
 @query("SELECT t, vox, CASE WHEN m <= 4.5e0 THEN 2e0 * value + 1e0 ELSE 0.5e0 * value - 1e0 END AS value FROM voxels JOIN (SELECT vox, sens AS m FROM sens) USING (vox)", VOX2, SENS)
 def threshold_select(spark, sf):
-    return image.threshold_select(views.voxels(spark, nt=2), views.sens(spark).withColumnRenamed("sens", "value"), 4.5, (2e0, 1e0), (0.5e0, -1e0))
+    return image.threshold_select(views.voxels(spark, sf, nt=2), views.sens(spark, sf).withColumnRenamed("sens", "value"), 4.5, (2e0, 1e0), (0.5e0, -1e0))
 
 
 @query("SELECT t, vox, CASE WHEN sens > 0 THEN value * (value * 0.5e0 / 1e0) / sens ELSE value END AS value FROM voxels JOIN sens USING (vox)", VOX, SENS)
 def em_update_static(spark, sf):
-    v = views.voxels(spark)
-    return image.em_update(v, v.withColumn("value", F.col("value") * 0.5), views.sens(spark))
+    v = views.voxels(spark, sf)
+    return image.em_update(v, v.withColumn("value", F.col("value") * 0.5), views.sens(spark, sf))
 
 
 @query("SELECT t, vox, CASE WHEN sens > 2e0 / c THEN value * (value * 0.5e0 / c) / sens ELSE value END AS value FROM voxels JOIN sens USING (vox) JOIN (SELECT frame AS t, sum(h) AS c FROM hbasis GROUP BY frame) USING (t)", VOX2, SENS, views.sql_hbasis())
 def em_update_dynamic(spark, sf):
-    v = views.voxels(spark, nt=2)
-    c = views.hbasis(spark).groupBy(F.col("frame").alias("t")).agg(F.sum("h").alias("c"))
-    return image.em_update(v, v.withColumn("value", F.col("value") * 0.5), views.sens(spark), 2.0, c)
+    v = views.voxels(spark, sf, nt=2)
+    c = views.hbasis(spark, sf).groupBy(F.col("frame").alias("t")).agg(F.sum("h").alias("c"))
+    return image.em_update(v, v.withColumn("value", F.col("value") * 0.5), views.sens(spark, sf), 2.0, c)
 
 
 @query("SELECT round(sum(value), 4) AS total, round(sum(value * sens), 4) AS dot, max(value) AS top FROM voxels JOIN sens USING (vox)", VOX2, SENS)
 def voxel_sum_dot(spark, sf):
-    e = views.voxels(spark, nt=2).join(views.sens(spark), "vox")
+    e = views.voxels(spark, sf, nt=2).join(views.sens(spark, sf), "vox")
     return e.agg(F.round(F.sum("value"), 4).alias("total"), F.round(F.sum(F.col("value") * F.col("sens")), 4).alias("dot"), F.max("value").alias("top"))
 
 
@@ -475,7 +481,7 @@ def voxel_sum_dot(spark, sf):
     VOX, SENS,
 )
 def quality_metrics(spark, sf):
-    e = views.voxels(spark).join(views.sens(spark), "vox").select((F.col("value") - F.col("sens")).alias("d"), F.col("sens").alias("b"))
+    e = views.voxels(spark, sf).join(views.sens(spark, sf), "vox").select((F.col("value") - F.col("sens")).alias("d"), F.col("sens").alias("b"))
     d = F.col("d")
     return e.agg(F.round(F.sqrt(F.avg(d * d)), 6).alias("rmse"), F.round(F.sqrt(F.sum(d * d) / F.sum(F.col("b") * F.col("b"))), 6).alias("nrmse"), F.max(F.abs(d)).alias("linf"), F.sum(F.when(F.abs(d) > 5, 1).otherwise(0)).alias("far"), F.round(F.percentile(F.abs(d), 0.5), 6).alias("median"))
 
@@ -492,12 +498,12 @@ PSF = ([0.25, 0.5, 0.125], [0.1, 0.8, 0.1], [0.3, 0.4, 0.2])
 
 @query("SELECT t, vox, round(value, 6) AS value FROM pz", VOX2, _sql_axis("voxels", "px", 0, PSF[0]), _sql_axis("px", "py", 1, PSF[1]), _sql_axis("py", "pz", 2, PSF[2]))
 def psf_separable(spark, sf):
-    return image.psf(views.voxels(spark, nt=2), PSF).select("t", "vox", F.round("value", 6).alias("value"))
+    return image.psf(views.voxels(spark, sf, nt=2), PSF).select("t", "vox", F.round("value", 6).alias("value"))
 
 
 @query("SELECT t, vox, round(value, 6) AS value FROM pz", VOX2, _sql_axis("voxels", "px", 0, PSF[0][::-1]), _sql_axis("px", "py", 1, PSF[1][::-1]), _sql_axis("py", "pz", 2, PSF[2][::-1]))
 def psf_adjoint(spark, sf):
-    return image.psf(views.voxels(spark, nt=2), PSF, adjoint=True).select("t", "vox", F.round("value", 6).alias("value"))
+    return image.psf(views.voxels(spark, sf, nt=2), PSF, adjoint=True).select("t", "vox", F.round("value", 6).alias("value"))
 
 
 VPSF = "vk AS (SELECT vox, 0.1e0 + 0.05e0 * least(round(abs((vox % 8 - 3.5e0) * 25e0 + 0.37e0) / 60e0), 1e0) AS side FROM sens), vt AS (SELECT vox, vox + ((vox % 8 + d + 8) % 8 - vox % 8) AS other, CASE WHEN d = 0 THEN 1e0 - 2 * side ELSE side END AS w FROM vk, (VALUES (-1), (0), (1)) AS ds(d))"
@@ -505,12 +511,12 @@ VPSF = "vk AS (SELECT vox, 0.1e0 + 0.05e0 * least(round(abs((vox % 8 - 3.5e0) *
 
 @query("SELECT v.t, k.vox, round(sum(w * v.value), 6) AS value FROM vt k JOIN voxels v ON v.vox = k.other GROUP BY ALL", VOX2, SENS, VPSF)
 def psf_variant(spark, sf):
-    return image.variant_psf(views.voxels(spark, nt=2)).select("t", "vox", F.round("value", 6).alias("value"))
+    return image.variant_psf(views.voxels(spark, sf, nt=2)).select("t", "vox", F.round("value", 6).alias("value"))
 
 
 @query("SELECT v.t, k.other AS vox, round(sum(w * v.value), 6) AS value FROM vt k JOIN voxels v ON v.vox = k.vox GROUP BY ALL", VOX2, SENS, VPSF)
 def psf_variant_adjoint(spark, sf):
-    return image.variant_psf(views.voxels(spark, nt=2), adjoint=True).select("t", "vox", F.round("value", 6).alias("value"))
+    return image.variant_psf(views.voxels(spark, sf, nt=2), adjoint=True).select("t", "vox", F.round("value", 6).alias("value"))
 
 
 SQL_MOVE = (
@@ -529,27 +535,27 @@ def _targets(spark):
 @query("SELECT vox, round(value, 5) AS value FROM moved", VOX, SENS, "moves AS (SELECT 0.8e0 AS c, 0.6e0 AS s, 3.5e0 AS tx, -7.25e0 AS ty, 11e0 AS tz, 1e0 AS weight)", SQL_MOVE)
 def image_transform(spark, sf):
     moves = spark.createDataFrame([(0.8, 0.6, 3.5, -7.25, 11.0, 1.0)], "c double, s double, tx double, ty double, tz double, weight double")
-    return image.transform(views.voxels(spark), _targets(spark), moves).select("vox", F.round("value", 5).alias("value"))
+    return image.transform(views.voxels(spark, sf), _targets(spark), moves).select("vox", F.round("value", 5).alias("value"))
 
 
 @query(
     "SELECT vox, round(value, 5) AS value FROM moved",
-    VOX, SENS, views.sql_motion(), INTERVALS,
+    LM, VOX, SENS, views.SQL_MOTION, INTERVALS,
     "win AS (SELECT * FROM mi WHERE t_start >= 86400000 AND t_start <= 1814400000)", "moves AS (SELECT c, s, tx, ty, tz, duration / (SELECT CAST(sum(duration) AS DOUBLE) FROM win) AS weight FROM win)", SQL_MOVE,
 )
 def time_average_move(spark, sf):
     """Sum over the motion rows that begin in the window of their share of it times the moved image."""
-    m = temporal.motion_intervals(views.motion(spark)).where("t_start >= 86400000 AND t_start <= 1814400000")
+    m = temporal.motion_intervals(views.motion(spark, sf)).where("t_start >= 86400000 AND t_start <= 1814400000")
     total = m.agg(F.sum("duration").cast("double").alias("total"))
     moves = m.crossJoin(F.broadcast(total)).select("c", "s", "tx", "ty", "tz", (F.col("duration") / F.col("total")).alias("weight"))
-    return image.transform(views.voxels(spark), _targets(spark), moves).select("vox", F.round("value", 5).alias("value"))
+    return image.transform(views.voxels(spark, sf), _targets(spark), moves).select("vox", F.round("value", 5).alias("value"))
 
 
 @query("SELECT vox, round(value, 5) AS value FROM moved", VOX, SENS, "moves AS (SELECT 1e0 AS c, 0e0 AS s, 6.3e0 AS tx, -3.1e0 AS ty, 12.7e0 AS tz, 1e0 AS weight)", SQL_MOVE)
 def image_resample(spark, sf):
     """Onto a grid of the same size that is shifted by part of a voxel."""
     moves = spark.createDataFrame([(1.0, 0.0, 6.3, -3.1, 12.7, 1.0)], "c double, s double, tx double, ty double, tz double, weight double")
-    return image.transform(views.voxels(spark), _targets(spark), moves).select("vox", F.round("value", 5).alias("value"))
+    return image.transform(views.voxels(spark, sf), _targets(spark), moves).select("vox", F.round("value", 5).alias("value"))
 
 
 # --- projectors
@@ -608,7 +614,7 @@ def tof_weights(spark, sf):
 
 @query("SELECT event_id, round(sum(w * value), 3) + 0e0 AS value FROM sm JOIN voxels USING (vox) GROUP BY event_id", LM, DET, LOR, SIDDON, VOX)
 def forward_project(spark, sf):
-    return project.forward(matrix(spark, sf), views.voxels(spark), "event_id").select("event_id", r("value", 3).alias("value"))
+    return project.forward(matrix(spark, sf), views.voxels(spark, sf), "event_id").select("event_id", r("value", 3).alias("value"))
 
 
 @query("SELECT vox, round(sum(w * randoms), 3) + 0e0 AS value FROM sm JOIN lm USING (event_id) WHERE randoms <> 0 GROUP BY vox", LM, DET, LOR, SIDDON)
@@ -616,10 +622,10 @@ def back_project(spark, sf):
     return project.back_lors(lors(spark, sf).withColumnRenamed("randoms", "value")).select("vox", r("value", 3).alias("value"))
 
 
-@query("SELECT true AS adjoint FROM (SELECT 1)")
+@query("SELECT abs(a - b) <= 1e-9 * abs(a) AS adjoint FROM (SELECT sum(p * randoms) AS a FROM (SELECT event_id, sum(w * value) AS p FROM sm JOIN voxels USING (vox) GROUP BY event_id) JOIN lm USING (event_id)), (SELECT sum(u * value) AS b FROM (SELECT vox, sum(w * randoms) AS u FROM sm JOIN lm USING (event_id) GROUP BY vox) JOIN voxels USING (vox))", LM, DET, LOR, SIDDON, VOX)
 def adjoint_check(spark, sf):
     """<A x, y> = <x, At y> within 1e-9 of its size."""
-    m, x = matrix(spark, sf), views.voxels(spark)
+    m, x = matrix(spark, sf), views.voxels(spark, sf)
     y = views.lm(spark, sf).select("event_id", F.col("randoms").alias("y"))
     a = project.forward(m, x, "event_id").join(y, "event_id").agg(F.sum(F.col("value") * F.col("y")).alias("a"))
     b = project.back(m, y.withColumnRenamed("y", "value"), "event_id").withColumnRenamed("value", "u").join(x, "vox").agg(F.sum(F.col("u") * F.col("value")).alias("b"))
@@ -628,7 +634,7 @@ def adjoint_check(spark, sf):
 
 @query("SELECT least(d1, d2) AS d1, greatest(d1, d2) AS d2, round(sum(p), 3) + 0e0 AS value FROM (SELECT event_id, sum(w * value) AS p FROM sm JOIN voxels USING (vox) GROUP BY event_id) JOIN lm USING (event_id) WHERE abs(p) > 1.1920929e-7 GROUP BY ALL", LM, DET, LOR, SIDDON, VOX)
 def sparse_forward(spark, sf):
-    p = project.forward(matrix(spark, sf), views.voxels(spark), "event_id").where(F.abs("value") > project.EPS)
+    p = project.forward(matrix(spark, sf), views.voxels(spark, sf), "event_id").where(F.abs("value") > project.EPS)
     e = views.lm(spark, sf).join(p, "event_id")
     return aggregate.sparse_histogram(e, F.col("value"), keep_zeros=True).select("d1", "d2", r("value", 3).alias("value"))
 
@@ -683,29 +689,29 @@ def _dd_lors(spark, sf):
 @query(None)
 def dd_forward(spark, sf):
     m = project.distance_driven(_dd_lors(spark, sf), trans=1.0, axial=1.0, key="event_id")
-    return project.forward(m, views.voxels(spark), "event_id").select("event_id", r("value", 3).alias("value"))
+    return project.forward(m, views.voxels(spark, sf), "event_id").select("event_id", r("value", 3).alias("value"))
 
 
 @query(None)
 def multiray_forward(spark, sf):
     rays = project.multi_ray(lors(spark, sf), 4, 1.0, "event_id")
     m = project.siddon(rays, keep=("event_id",)).withColumn("w", F.col("w") / 4)
-    return project.forward(m, views.voxels(spark), "event_id").select("event_id", r("value", 3).alias("value"))
+    return project.forward(m, views.voxels(spark, sf), "event_id").select("event_id", r("value", 3).alias("value"))
 
 
 # --- low rank
 
 HB = views.sql_hbasis()
-WIMG = "wimg AS (SELECT CAST(id // 256 AS INTEGER) AS rank, id % 256 AS vox, 1e0 + ((id % 256) * 37 + (id // 256) * 11) % 101 / 1e1 AS value FROM range(768) AS r(id))"
+WIMG = views.sql_voxels(3, name="wimg", frame="rank")
 EF = "ef AS (SELECT event_id AS bin, frame FROM framed WHERE frame >= 0)"
 
 
 def _rank_parts(spark, sf):
     m = project.siddon(lors(spark, sf), keep=("event_id",)).withColumnRenamed("event_id", "bin")
     f = temporal.assign_frames(views.lm(spark, sf), views.frames(spark)).where("frame >= 0").select(F.col("event_id").alias("bin"), "frame")
-    w = views.voxels(spark, nt=3).select(F.col("t").alias("rank"), "vox", "value")
+    w = views.voxels(spark, sf, nt=3).select(F.col("t").alias("rank"), "vox", "value")
     y = views.lm(spark, sf).select(F.col("event_id").alias("bin"), F.col("randoms").alias("value"))
-    return m, f, w, views.hbasis(spark), y
+    return m, f, w, views.hbasis(spark, sf), y
 
 
 LR = (LM, DET, LOR, SIDDON, views.sql_frames(), FRAMED, EF, HB, WIMG)
@@ -731,7 +737,7 @@ def lr_back_h(spark, sf):
 
 @query("SELECT rank, sum(h) AS c FROM hbasis GROUP BY rank", HB)
 def lr_scaling(spark, sf):
-    return recon.low_rank_scaling(views.hbasis(spark))
+    return recon.low_rank_scaling(views.hbasis(spark, sf))
 
 
 # --- kernels
@@ -835,12 +841,19 @@ def scs_accumulate(spark, sf):
     return scatter.cells(lors(spark, sf)).groupBy("p1", "a1", "p2", "a2").agg(F.round(F.sum("randoms"), 5).alias("randoms"), F.count("*").alias("prompts"))
 
 
-SCV = "scv AS (SELECT i // 1536 AS p1, i // 96 % 16 AS a1, i // 16 % 6 AS p2, i % 16 AS a2, 1e0 + i * 7 % 13 AS value FROM range(9216) AS r(i))"
+CELL_KEY = "l_orderkey * 37 + l_partkey * 11 + l_linenumber"
+SCV = views.sql_amounts("scv_q", CELL_KEY, 9216) + ", scv AS (SELECT id // 1536 AS p1, id // 96 % 16 AS a1, id // 16 % 6 AS p2, id % 16 AS a2, 1e0 + q % 13 AS value FROM scv_q)"
 
 
-def _cell_values(spark):
+def cell_values(spark, sf, tofs=1):
+    """A value in every cell of the scatter space, from the line items' quantities."""
     i = F.col("id")
-    return spark.range(9216).select(F.floor(i / 1536).alias("p1"), (F.floor(i / 96) % 16).alias("a1"), (F.floor(i / 16) % 6).alias("p2"), (i % 16).alias("a2"), (F.lit(1e0) + i * 7 % 13).alias("value"))
+    e = views.amounts(spark, sf, F.expr(CELL_KEY), 9216 * tofs)
+    return e.select(F.floor(i / 9216).alias("tof"), (F.floor(i / 1536) % 6).alias("p1"), (F.floor(i / 96) % 16).alias("a1"), (F.floor(i / 16) % 6).alias("p2"), (i % 16).alias("a2"), (F.lit(1e0) + F.col("q") % 13).alias("value"))
+
+
+def _cell_values(spark, sf):
+    return cell_values(spark, sf).drop("tof")
 
 
 @query(
@@ -850,7 +863,7 @@ def _cell_values(spark):
     LM, DET, LOR, SCV,
 )
 def scs_linear_interp(spark, sf):
-    return scatter.interpolate(lors(spark, sf), _cell_values(spark)).select("event_id", r("value").alias("value"))
+    return scatter.interpolate(lors(spark, sf), _cell_values(spark, sf)).select("event_id", r("value").alias("value"))
 
 
 INSIDE = "ins AS (SELECT p1, a1, p2, a2, value > 6e0 AS inside FROM scv)"
@@ -862,12 +875,12 @@ TAILS = (
 
 @query("SELECT * FROM tl", SCV, INSIDE, TAILS)
 def scatter_tail_mask(spark, sf):
-    return scatter.tails(_cell_values(spark).select("p1", "a1", "p2", "a2", (F.col("value") > 6).alias("inside")), 3)
+    return scatter.tails(_cell_values(spark, sf).select("p1", "a1", "p2", "a2", (F.col("value") > 6).alias("inside")), 3)
 
 
 @query("SELECT round(sum(prompts - randoms) / sum(value), 6) AS factor FROM (SELECT p1, a1, p2, a2, sum(randoms) AS randoms, count(*) AS prompts FROM cells JOIN lm USING (event_id) GROUP BY ALL) JOIN tl USING (p1, a1, p2, a2) JOIN scv USING (p1, a1, p2, a2)", LM, DET, LOR, CELLS, SCV, INSIDE, TAILS)
 def scatter_tail_fit(spark, sf):
-    v = _cell_values(spark)
+    v = _cell_values(spark, sf)
     tail = scatter.tails(v.select("p1", "a1", "p2", "a2", (F.col("value") > 6).alias("inside")), 3)
     got = scatter.cells(lors(spark, sf)).groupBy("p1", "a1", "p2", "a2").agg(F.sum("randoms").alias("randoms"), F.count("*").alias("prompts"))
     e = got.join(tail, ["p1", "a1", "p2", "a2"]).join(v, ["p1", "a1", "p2", "a2"])
@@ -875,12 +888,13 @@ def scatter_tail_fit(spark, sf):
 
 
 @query(
-    "SELECT id, round(p * p * (p + 2e0 - c - (1 - c * c)), 6) AS kn, round(((1 + a) / (a * a) * (2e0 * (1 + a) / (1 + 2e0 * a) - ln(1 + 2e0 * a) / a) + ln(1 + 2e0 * a) / (2e0 * a) - (1 + 3e0 * a) / ((1 + 2e0 * a) * (1 + 2e0 * a))) / (20e0 / 9 - 1.5e0 * ln(3e0)), 6) AS mu "
-    "FROM (SELECT id, (id - 100) / 1e2 AS c, 1 / (2e0 - (id - 100) / 1e2) AS p, (511e0 / (2e0 - (id - 100) / 1e2)) / 511e0 AS a FROM range(201) AS r(id))"
-)
+    "SELECT event_id, round(p * p * (p + 2e0 - c - (1 - c * c)), 6) AS kn, round(((1 + a) / (a * a) * (2e0 * (1 + a) / (1 + 2e0 * a) - ln(1 + 2e0 * a) / a) + ln(1 + 2e0 * a) / (2e0 * a) - (1 + 3e0 * a) / ((1 + 2e0 * a) * (1 + 2e0 * a))) / (20e0 / 9 - 1.5e0 * ln(3e0)), 6) AS mu "
+    "FROM (SELECT event_id, c, 1 / (2e0 - c) AS p, (511e0 / (2e0 - c)) / 511e0 AS a FROM (SELECT event_id, cos(tof_ps / 1e2) AS c FROM lm))",
+    LM,
+)
 def klein_nishina(spark, sf):
-    c = (F.col("id") - 100) / F.lit(1e2)
-    return spark.range(201).select("id", F.round(scatter.klein_nishina(c), 6).alias("kn"), F.round(scatter.mu_scaling(F.lit(511e0) / (F.lit(2e0) - c)), 6).alias("mu"))
+    c = F.cos(F.col("tof_ps") / F.lit(1e2))
+    return views.lm(spark, sf).select("event_id", F.round(scatter.klein_nishina(c), 6).alias("kn"), F.round(scatter.mu_scaling(F.lit(511e0) / (F.lit(2e0) - c)), 6).alias("mu"))
 
 
 @query(None)

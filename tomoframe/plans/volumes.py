@@ -32,12 +32,12 @@ TAPS = (
 @query("SELECT v.t, near.vox, round(sum(w * v.value), 6) AS value FROM near JOIN voxels v ON v.vox = near.other GROUP BY ALL", VOX2, *TAPS)
 def psf_kernel_grid(spark, sf):
     """Every voxel gathers with the Gaussian mixture of the nearest point of the kernel grid."""
-    return psf.variant(views.voxels(spark, nt=2), VARIANT).select("t", "vox", F.round("value", 6).alias("value"))
+    return psf.variant(views.voxels(spark, sf, nt=2), VARIANT).select("t", "vox", F.round("value", 6).alias("value"))
 
 
 @query("SELECT v.t, near.other AS vox, round(sum(w * v.value), 6) AS value FROM near JOIN voxels v ON v.vox = near.vox GROUP BY ALL", VOX2, *TAPS)
 def psf_kernel_grid_adjoint(spark, sf):
-    return psf.variant(views.voxels(spark, nt=2), VARIANT, adjoint=True).select("t", "vox", F.round("value", 6).alias("value"))
+    return psf.variant(views.voxels(spark, sf, nt=2), VARIANT, adjoint=True).select("t", "vox", F.round("value", 6).alias("value"))
 
 
 ACROSS = psf.ProjectionPsf(30.0, 2.0, ([0.5, 1.0, 0.25], [0.75, 1.5, 0.5], [1.0, 2.0, 0.125]))
@@ -66,7 +66,7 @@ def _rigid(i: int) -> tuple[float, ...]:
     return (cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx, 1.5 * i, sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx, -0.75 * i, -sy, cy * sx, cy * cx, 0.25 * i)
 
 
-POSES = [(i, m[0], *_rigid(i)) for i, m in enumerate(views.MOTION)]
+POSES = [(i, t, *_rigid(i)) for i, t in enumerate(views.POSE_STARTS)]
 SQL_POSES = views.sql_values("motion", "frame, t_start, " + ", ".join(temporal.RIGID), POSES, "INTEGER, BIGINT" + ", DOUBLE" * 12)
 
 
@@ -103,7 +103,7 @@ VOX5 = views.sql_voxels(len(POSES))
 def motion_correction(spark, sf):
     """One image a motion row, each moved by its transform and weighted by its share of the time."""
     m = temporal.motion_intervals(_poses(spark))
-    return image.motion_correct(views.voxels(spark, nt=len(POSES)), _targets(spark), m).select("vox", F.round("value", 5).alias("value"))
+    return image.motion_correct(views.voxels(spark, sf, nt=len(POSES)), _targets(spark), m).select("vox", F.round("value", 5).alias("value"))
 
 
 FINE = views.Grid(nx=13, ny=11, nz=7, vx=17.0, vy=19.0, vz=31.0, ox=3.1, oy=-4.2, oz=5.3)
@@ -119,7 +119,7 @@ FINE = views.Grid(nx=13, ny=11, nz=7, vx=17.0, vy=19.0, vz=31.0, ox=3.1, oy=-4.2
 def resample_grid(spark, sf):
     """Onto a grid of other counts, voxel sizes and origin."""
     to = spark.range(FINE.voxels).withColumnRenamed("id", "vox")
-    return image.resample(views.voxels(spark), to, FINE).select("vox", F.round("value", 5).alias("value"))
+    return image.resample(views.voxels(spark, sf), to, FINE).select("vox", F.round("value", 5).alias("value"))
 
 
 # --- scatter
@@ -127,15 +127,15 @@ def resample_grid(spark, sf):
 #: A crystal by a rule in place of a measured table: attenuation falls with the energy.
 DETECTION = sss.Detection([0.08 * (511.0 / (k + 1)) ** 1.5 for k in range(1000)])
 WIDTH, LEAST_LINE = 3, 4.0
-MU = "mu AS (SELECT vox, vox * 7 % 11 * 0.012e0 AS value FROM voxels)"
+MU = "mu AS (SELECT vox, (value - 1e0) * 0.0115e0 AS value FROM voxels)"
 
 
-def _mu(spark):
-    return views.voxels(spark).select("vox", ((F.col("vox") * 7 % 11) * F.lit(0.012)).alias("value"))
+def _mu(spark, sf):
+    return views.voxels(spark, sf).select("vox", ((F.col("value") - F.lit(1e0)) * F.lit(0.0115)).alias("value"))
 
 
-def _sample(spark):
-    return sss.sample_points(spark, _mu(spark), DETECTION, 0.5)
+def _sample(spark, sf):
+    return sss.sample_points(spark, _mu(spark, sf), DETECTION, 0.5)
 
 
 _AT = [f"({i} + {s!r}::DOUBLE * (id + 1) - floor({s!r}::DOUBLE * (id + 1))) * {n * v / 5!r}e0 + {o + v / 2 - n * v / 2!r}e0 AS s{a}" for a, i, s, n, v, o in zip("xyz", ("id % 5", "id // 5 % 5", "id // 25"), sss.SHIFTS, (8, 8, 4), (25.0, 25.0, 50.0), (0.37, -0.29, 0.13), strict=True)]
@@ -148,7 +148,7 @@ POINTS = (
 
 @query("SELECT point, round(sx, 6) + 0e0 AS sx, round(sy, 6) + 0e0 AS sy, round(sz, 6) + 0e0 AS sz, round(density, 6) AS density FROM points", VOX, MU, *POINTS)
 def scatter_points(spark, sf):
-    return _sample(spark).select("point", *[r(c, 6).alias(c) for c in ("sx", "sy", "sz", "density")])
+    return _sample(spark, sf).select("point", *[r(c, 6).alias(c) for c in ("sx", "sy", "sz", "density")])
 
 
 def _sql_end(k: str) -> str:
@@ -196,7 +196,7 @@ WAYS = (
 @query("SELECT p1, a1, p2, a2, round(value, 5) AS value FROM sv", VOX, MU, *POINTS, *WAYS)
 def scatter_simulated(spark, sf):
     """Single scatter in every cell, through the attenuation image and from the emission image."""
-    got = sss.simulate(_sample(spark), _mu(spark), views.voxels(spark), DETECTION)
+    got = sss.simulate(_sample(spark, sf), _mu(spark, sf), views.voxels(spark, sf), DETECTION)
     return got.select("p1", "a1", "p2", "a2", r("value", 5).alias("value"))
 
 
@@ -212,7 +212,7 @@ WX = WAYS[-3]
 @query("SELECT * FROM ins", VOX, MU, WX, *IN_MASK[:3])
 def scatter_inside(spark, sf):
     """Cells whose line passes through the object."""
-    return sss.inside(_mu(spark), DETECTION.radius, LEAST_LINE)
+    return sss.inside(_mu(spark, sf), DETECTION.radius, LEAST_LINE)
 
 
 MEASURED = "ms AS (SELECT p1, a1, p2, a2, sum(CASE WHEN sens > 1.1920929e-7 THEN 1e0 / sens ELSE 0e0 END) AS prompts, sum(CASE WHEN randoms > 0 AND sens > 1.1920929e-7 THEN randoms / sens ELSE 0e0 END) AS randoms FROM cells JOIN (SELECT event_id, randoms, (event_id % 5) * 0.5e0 AS sens FROM lm) USING (event_id) GROUP BY ALL)"
@@ -232,7 +232,7 @@ def scatter_measured(spark, sf):
 @query("SELECT p1, a1, p2, a2, round(value * factor, 5) + 0e0 AS value FROM sv, ft", VOX, MU, *POINTS, *WAYS, *IN_MASK, LM, DET, LOR, CELLS, MEASURED, FIT)
 def scatter_estimate(spark, sf):
     """From images and events to the scaled scatter of every cell."""
-    got = sss.estimate(_prompts(spark, sf), _sample(spark), _mu(spark), views.voxels(spark), DETECTION, WIDTH, LEAST_LINE)
+    got = sss.estimate(_prompts(spark, sf), _sample(spark, sf), _mu(spark, sf), views.voxels(spark, sf), DETECTION, WIDTH, LEAST_LINE)
     return got.select("p1", "a1", "p2", "a2", r("value", 5).alias("value"))
 
 

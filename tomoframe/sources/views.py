@@ -5,21 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPOCH = datetime(2024, 1, 1)
 FRAMES = (0, 86400000, 259200000, 604800000, 1209600000, 1814400000, 2505600000)
 LATE_FRAMES = (3600000, *FRAMES[1:])
-#: Literal motion rows: start, rotation about z as (cos, sin), translation.
-MOTION = (
-    (3600000, 1.0, 0.0, 0.0, 0.0, 0.0),
-    (432000000, 0.96, 0.28, 1.5, -0.5, 0.25),
-    (864000000, 0.8, 0.6, -2.0, 1.25, 0.5),
-    (1296000000, 0.6, -0.8, 0.75, 2.0, -1.5),
-    (1728000000, 0.28, -0.96, 3.0, -1.0, 2.25),
-)
-HBASIS = ((0.5, 0.25, 0.125, 1.0, 0.75, 0.375), (0.2, 0.4, 0.6, 0.8, 1.0, 1.2), (1.5, 1.25, 1.0, 0.75, 0.5, 0.25))
+#: Starts of the poses that some queries take.
+POSE_STARTS = (3600000, 432000000, 864000000, 1296000000, 1728000000)
 
 
 @dataclass(frozen=True)
@@ -76,25 +69,48 @@ def frames(spark: SparkSession, bounds: tuple[int, ...] = FRAMES) -> DataFrame:
     return spark.createDataFrame([(i, bounds[i], bounds[i + 1]) for i in range(len(bounds) - 1)], "frame int, t_start long, t_stop long")
 
 
-def motion(spark: SparkSession) -> DataFrame:
-    """(frame, t_start, c, s, tx, ty, tz): rotation about z and translation, literal rows."""
-    return spark.createDataFrame([(i, *m) for i, m in enumerate(MOTION)], "frame int, t_start long, c double, s double, tx double, ty double, tz double")
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame, t_start, t_stop): one frame for each day that has events."""
+    days = lm(spark, sf_dir).select(F.floor(F.col("ts_ms") / 86400000).alias("b")).distinct()
+    w = Window.orderBy("b")  # one row a day
+    return days.select((F.row_number().over(w) - 1).alias("frame"), (F.col("b") * 86400000).alias("t_start"), ((F.col("b") + 1) * 86400000).alias("t_stop"))
+
+
+def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame, t_start, c, s, tx, ty, tz): rotation about z and translation, one row for each quarter of a day with events."""
+    e = lm(spark, sf_dir).where("ts_ms >= 3600000").groupBy(F.floor(F.col("ts_ms") / 21600000).alias("b")).agg(F.min("ts_ms").alias("t_start"), (F.min("event_id") % 64).alias("k"))
+    k, w = F.col("k"), Window.orderBy("b")  # one row a quarter
+    return e.select((F.row_number().over(w) - 1).alias("frame"), "t_start", F.cos(k * F.lit(0.05)).alias("c"), F.sin(k * F.lit(0.05)).alias("s"), ((k % 7 - 3) * F.lit(0.5)).alias("tx"), ((k % 5 - 2) * F.lit(0.75)).alias("ty"), ((k % 3 - 1) * F.lit(1.25)).alias("tz"))
 
 
-def voxels(spark: SparkSession, g: Grid = GRID, nt: int = 1) -> DataFrame:
-    """(t, vox, value), generated."""
-    vox, t = F.col("id") % g.voxels, F.floor(F.col("id") / g.voxels).cast("int")
-    return spark.range(g.voxels * nt).select(t.alias("t"), vox.alias("vox"), (F.lit(1e0) + (vox * 37 + t * 11) % 101 / F.lit(1e1)).alias("value"))
+def amounts(spark: SparkSession, sf_dir: str, key: Column, cells: int) -> DataFrame:
+    """(id, q): whole quantities of the line items added up by key, 0 where there is none; id is below cells."""
+    own = table(spark, sf_dir, "lineitem").groupBy((key % cells).alias("id")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    return spark.range(cells).join(own, "id", "left").select("id", F.coalesce("q", F.lit(0)).alias("q"))
 
 
-def sens(spark: SparkSession, g: Grid = GRID) -> DataFrame:
+def voxels(spark: SparkSession, sf_dir: str, g: Grid = GRID, nt: int = 1) -> DataFrame:
+    """(t, vox, value): an image of the line items' quantities."""
+    e = amounts(spark, sf_dir, F.expr("l_orderkey * 31 + l_suppkey * 7 + l_linenumber"), g.voxels * nt)
+    return e.select(F.floor(F.col("id") / g.voxels).cast("int").alias("t"), (F.col("id") % g.voxels).alias("vox"), (F.lit(1e0) + F.col("q") % 101 / F.lit(1e1)).alias("value"))
+
+
+def sens(spark: SparkSession, sf_dir: str, g: Grid = GRID) -> DataFrame:
     """(vox, sens), some of it zero or negative."""
-    return spark.range(g.voxels).select(F.col("id").alias("vox"), ((F.col("id") * 29 % 23 - F.lit(3e0)) / F.lit(2e0)).alias("sens"))
+    e = amounts(spark, sf_dir, F.expr("l_partkey * 13 + l_suppkey + l_linenumber * 5"), g.voxels)
+    return e.select(F.col("id").alias("vox"), ((F.col("q") * 29 % 23 - F.lit(3e0)) / F.lit(2e0)).alias("sens"))
+
 
+def hbasis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rank, frame, h): a basis of 3 ranks over 6 frames."""
+    e = amounts(spark, sf_dir, F.col("l_orderkey"), 18)
+    return e.select(F.floor(F.col("id") / 6).cast("int").alias("rank"), (F.col("id") % 6).cast("int").alias("frame"), ((F.lit(1e0) + F.col("q") % 16) / F.lit(8e0)).alias("h"))
 
-def hbasis(spark: SparkSession) -> DataFrame:
-    """(rank, frame, h): literal rows."""
-    return spark.createDataFrame([(l, t, v) for l, row in enumerate(HBASIS) for t, v in enumerate(row)], "rank int, frame int, h double")
+
+def usage(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """(det_id, n): events of every detector at one end."""
+    own = lm(spark, sf_dir).groupBy(F.col(column).alias("det_id")).agg(F.count("*").alias("n"))
+    return spark.range(1152).withColumnRenamed("id", "det_id").join(own, "det_id", "left").select("det_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def tac(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,20 +145,32 @@ def sql_frames(bounds: tuple[int, ...] = FRAMES) -> str:
     return sql_values("frames", "frame, t_start, t_stop", [(i, bounds[i], bounds[i + 1]) for i in range(len(bounds) - 1)], "INTEGER, BIGINT, BIGINT")
 
 
-def sql_motion() -> str:
-    return sql_values("motion", "frame, t_start, c, s, tx, ty, tz", [(i, *m) for i, m in enumerate(MOTION)], "INTEGER, BIGINT, DOUBLE, DOUBLE, DOUBLE, DOUBLE, DOUBLE")
+SQL_EVENT_FRAMES = "frames AS (SELECT CAST(row_number() OVER (ORDER BY b) - 1 AS INTEGER) AS frame, b * 86400000 AS t_start, (b + 1) * 86400000 AS t_stop FROM (SELECT DISTINCT ts_ms // 86400000 AS b FROM lm))"
+#: Needs lm.
+SQL_MOTION = (
+    "motion AS (SELECT CAST(row_number() OVER (ORDER BY b) - 1 AS INTEGER) AS frame, t_start, cos(k * 0.05e0) AS c, sin(k * 0.05e0) AS s, (k % 7 - 3) * 0.5e0 AS tx, (k % 5 - 2) * 0.75e0 AS ty, (k % 3 - 1) * 1.25e0 AS tz FROM "
+    "(SELECT ts_ms // 21600000 AS b, min(ts_ms) AS t_start, min(event_id) % 64 AS k FROM lm WHERE ts_ms >= 3600000 GROUP BY ALL))"
+)
+
+
+def sql_amounts(name: str, key: str, cells: int) -> str:
+    return f"{name} AS (SELECT id, coalesce(q, 0) AS q FROM range({cells}) AS r(id) LEFT JOIN (SELECT ({key}) % {cells} AS id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY ALL) USING (id))"
 
 
-def sql_voxels(nt: int = 1, g: Grid = GRID) -> str:
-    return f"voxels AS (SELECT CAST(id // {g.voxels} AS INTEGER) AS t, id % {g.voxels} AS vox, 1e0 + ((id % {g.voxels}) * 37 + (id // {g.voxels}) * 11) % 101 / 1e1 AS value FROM range({g.voxels * nt}) AS r(id))"
+def sql_voxels(nt: int = 1, g: Grid = GRID, name: str = "voxels", frame: str = "t") -> str:
+    return sql_amounts(f"{name}_q", "l_orderkey * 31 + l_suppkey * 7 + l_linenumber", g.voxels * nt) + f", {name} AS (SELECT CAST(id // {g.voxels} AS INTEGER) AS {frame}, id % {g.voxels} AS vox, 1e0 + q % 101 / 1e1 AS value FROM {name}_q)"
 
 
 def sql_sens(g: Grid = GRID) -> str:
-    return f"sens AS (SELECT id AS vox, (id * 29 % 23 - 3e0) / 2e0 AS sens FROM range({g.voxels}) AS r(id))"
+    return sql_amounts("sens_q", "l_partkey * 13 + l_suppkey + l_linenumber * 5", g.voxels) + ", sens AS (SELECT id AS vox, (q * 29 % 23 - 3e0) / 2e0 AS sens FROM sens_q)"
 
 
 def sql_hbasis() -> str:
-    return sql_values("hbasis", "rank, frame, h", [(l, t, v) for l, row in enumerate(HBASIS) for t, v in enumerate(row)], "INTEGER, INTEGER, DOUBLE")
+    return sql_amounts("hb_q", "l_orderkey", 18) + ", hbasis AS (SELECT CAST(id // 6 AS INTEGER) AS rank, CAST(id % 6 AS INTEGER) AS frame, (1e0 + q % 16) / 8e0 AS h FROM hb_q)"
+
+
+def sql_usage(name: str, column: str) -> str:
+    return f"{name} AS (SELECT id AS det_id, coalesce(n, 0) AS n FROM range(1152) AS r(id) LEFT JOIN (SELECT {column} AS id, count(*) AS n FROM lm GROUP BY ALL) USING (id))"
 
 
 SQL_DET = (
