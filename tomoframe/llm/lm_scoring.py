@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tomoframe.llm import arrow_text, shared
 
 #: Growth of a level's lower bound, bits and hashes of an entry, weight of the smoothing, bytes of text that a segment stands for.
-BASE, BITS, HASHES, STRENGTH, SEGMENT_TEXT = 1.5, 14, 10, 256.0, 2 << 20
+BASE, BITS, HASHES, STRENGTH, SEGMENT_TEXT = 1.5, 14, 5, 256.0, 2 << 20
 #: Bytes of filter in one broadcast, tokens with exact counts in one broadcast: at most.
 FILTER_BYTES, COMMON_TOKENS = 256 << 20, 1 << 20
 
@@ -104,31 +104,56 @@ def _unpacked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[first], np.add.reduceat((rows.view(np.uint64) & _COUNT).astype(np.int64) + 1, first)
 
 
+#: Tokens whose n-grams are added up together before they leave a task.
+GATHERED = 1 << 21
+
+
 def ngram_rows(docs: DataFrame) -> DataFrame:
-    """(ngram): the packed counts of docs (doc_id, text), added up within each slice of texts."""
+    """(ngram): the packed counts of docs (doc_id, text), added up over some slices of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
-        for batch in batches:
-            for part in arrow_text.slices(batch, 1, 4 * arrow_text.SLICE_BYTES):
-                names, sizes = tokens(part.column(1).to_pylist())
-                starts = np.full(len(sizes), START)
-                rows = np.concatenate([_packed(np.concatenate([names, starts]), _SINGLE), _packed(tokens.pairs(names, sizes)[1], np.uint64(0))])
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for part, flag in zip(held, (_SINGLE, np.uint64(0)), strict=True):
+                rows = _packed(np.concatenate(part), flag)
+                part.clear()
                 for at in range(0, len(rows), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + (1 << 16)])], ["ngram"])
 
+        have = 0
+        for batch in batches:
+            for part in arrow_text.slices(batch, 1):
+                names, sizes = tokens(part.column(1).to_pylist())
+                held[0].extend((names, np.full(len(sizes), START)))
+                held[1].append(tokens.pairs(names, sizes)[1])
+                have += len(names)
+                if have >= GATHERED:
+                    yield from out()
+                    have = 0
+        if have:
+            yield from out()
+
     return docs.mapInArrow(run, "ngram long")
 
 
 # --- the filter
 
 
-def probe(names: np.ndarray, level: int, bits: np.ndarray | int, k: int) -> np.ndarray:
-    """Place of the k-th bit of n-grams entered with a level, in segments of so many bits."""
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def probes(names: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of the places of n-grams entered with a level."""
     with np.errstate(over="ignore"):
         a = arrow_text.mix(names + np.uint64((level * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
-        b = (a >> np.uint64(32)) | np.uint64(1)
-        return ((a & np.uint64(0xFFFFFFFF)) + np.uint64(k) * b) % np.asarray(bits, np.uint64)
+    return a & _LOW, (a >> np.uint64(32)) | np.uint64(1)
+
+
+def place(start: np.ndarray, step: np.ndarray, k: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """The k-th place, in segments of so many bits."""
+    return (((start + np.uint64(k) * step) & _LOW) * bits) >> np.uint64(32)
 
 
 def segment(names: np.ndarray, counts: np.ndarray, bits: int = BITS, hashes: int = HASHES) -> bytes:
@@ -137,9 +162,9 @@ def segment(names: np.ndarray, counts: np.ndarray, bits: int = BITS, hashes: int
     size = max(64, -(-int(level.sum()) * bits // 8) * 8)
     out = np.zeros(size, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
-        those = names[level >= q]
+        start, step = probes(names[level >= q], q)
         for k in range(hashes):
-            out[probe(those, q, size, k)] = True
+            out[place(start, step, k, np.uint64(size))] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
@@ -150,25 +175,31 @@ class Filter:
         order = np.argsort(numbers)
         self.numbers, self.shift, self.hashes = numbers[order], shift, hashes
         sizes = np.array([len(parts[i]) for i in order], np.int64)
-        self.bits, self.start = sizes * 8, np.cumsum(sizes) - sizes
-        self.data = np.frombuffer(b"".join(parts[i] for i in order), np.uint8)
+        self.bits, self.start = (sizes * 8).astype(np.uint64), np.cumsum(sizes) - sizes
+        self.data = b"".join(parts[i] for i in order)
 
     def levels(self, names: np.ndarray) -> np.ndarray:
         """The level of each n-gram (with its flag), 0 where the filter has none or lacks the segment."""
-        number = segment_number(names, self.shift)
-        at = np.minimum(np.searchsorted(self.numbers, number), max(0, len(self.numbers) - 1))
         out = np.zeros(len(names), np.uint8)
-        left = np.flatnonzero(self.numbers[at] == number) if len(self.numbers) else np.empty(0, np.int64)
-        q = 0
-        while len(left):
-            q += 1
+        if not len(self.numbers):
+            return out
+        data = np.frombuffer(self.data, np.uint8)
+        number = segment_number(names, self.shift)
+        at = np.minimum(np.searchsorted(self.numbers, number), len(self.numbers) - 1)
+        left = np.flatnonzero(self.numbers[at] == number)
+        names, bits, base = names[left], self.bits[at[left]], self.start[at[left]]
+        for q in range(1, len(LEAST)):
+            start, step = probes(names, q)
+            yes = np.arange(len(names))
             for k in range(self.hashes):
-                where = at[left]
-                bit = probe(names[left], q, self.bits[where], k).astype(np.int64)
-                left = left[self.data[self.start[where] + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1 == 1]
-            out[left] = q
-            if q == len(LEAST) - 1:
+                bit = place(start, step, k, bits).astype(np.int64)
+                hit = np.flatnonzero(data[base[yes] + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1)
+                if len(hit) < len(yes):
+                    yes, start, step, bits = yes[hit], start[hit], step[hit], bits[hit]
+            left, names, base = left[yes], names[yes], base[yes]
+            if not len(left):
                 break
+            out[left] = q
         return out
 
 
@@ -252,12 +283,6 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, common_tokens: int
 # --- scores
 
 
-def _asked(tokens: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different single tokens (those of before too) with their flag, and the place of each token among them."""
-    kinds, place = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-    return kinds | _SINGLE, place
-
-
 def token_logs(level: np.ndarray, before: np.ndarray, pair: np.ndarray, n: int, v: int, strength: float) -> np.ndarray:
     """log10 P(w | h) from the levels of w, h and the pair."""
     single = (MIDDLE[level] + 0.5) / (n + 0.5 * (v + 1))
@@ -282,11 +307,13 @@ def score(docs: DataFrame, model: Model, strength: float = STRENGTH) -> DataFram
             for batch in batches:
                 for part in arrow_text.slices(batch, 1):
                     names, sizes = tokens(part.column(1).to_pylist())
-                    before, pairs = tokens.pairs(names, sizes)
-                    kinds, place = _asked(names, before, pairs)
-                    single = part_filter.levels(kinds)[place]
-                    found = np.stack([single[: len(names)], single[len(names) :], part_filter.levels(pairs)], 1)
+                    _, pairs = tokens.pairs(names, sizes)
                     ends = np.cumsum(sizes)
+                    kinds, which = np.unique(np.append(names, START), return_inverse=True)
+                    single = part_filter.levels(kinds | _SINGLE)[which]
+                    before = np.append(single[-1:], single[:-2])  # START's, then that of the token before
+                    before[ends - sizes] = single[-1]
+                    found = np.stack([single[:-1], before, part_filter.levels(pairs)], 1)
                     if group:
                         found = np.maximum(found, np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, 3))
                     if group < last:
