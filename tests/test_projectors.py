@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tomoframe.operators import kernels, project, recon
+from tomoframe.operators import footprint, kernels, project, recon
 from tomoframe.plans import slate
 from tomoframe.sources.views import GRID, Grid, voxels
 
@@ -32,7 +32,7 @@ def test_distance_driven_is_near_siddon_for_central_lines(spark):
     a = np.deg2rad(20)
     line = (1, 200 * float(np.cos(a)), 200 * float(np.sin(a)), 5.0, -200 * float(np.cos(a)), -200 * float(np.sin(a)), 5.0, float(np.cos(a)), float(np.sin(a)), 0.0, -float(np.cos(a)), -float(np.sin(a)), 0.0)
     df = spark.createDataFrame([line], cols)
-    dd = project.distance_driven(df, g, 1.0, 1.0).agg({"w": "sum"}).first()[0]
+    dd = footprint.distance_driven(df, g, 1.0, 1.0).agg({"w": "sum"}).first()[0]
     sd = project.siddon(df, g).agg({"w": "sum"}).first()[0]
     assert abs(dd - sd) / sd < 0.05
 

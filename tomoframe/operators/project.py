@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomoframe.functions.cluster import ship
 from tomoframe.sources.views import GRID, Grid
 
 #: Speed of light in mm / ps; single-precision epsilon; smallest segment kept, as a share of the line.
@@ -70,92 +66,6 @@ def siddon(lors: DataFrame, g: Grid = GRID, tof: tuple[float, float] | None = No
     return e.select(*keep, (index[0] + index[1] * g.nx + index[2] * g.nx * g.ny).alias("vox"), w.alias("w"))
 
 
-def distance_driven(lors: DataFrame, g: Grid = GRID, trans: float = 1.0, axial: float = 1.0, key: str = "bin") -> DataFrame:
-    """Rows (key, vox, w): overlap of the detectors' footprint with each pixel row along the dominant axis, in Arrow batches.
-
-    lors has x1 .. z2 and the detectors' normals nx1, ny1, nz1, nx2, ny2, nz2.
-    """
-    cols = ["x1", "y1", "z1", "x2", "y2", "z2", "nx1", "ny1", "nz1", "nx2", "ny2", "nz2"]
-    ship(lors.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a = {c: batch.column(i + 1).to_numpy(zero_copy_only=False) for i, c in enumerate(cols)}
-            row, vox, w = footprint_weights(a, g, trans, axial)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(vox), pa.array(w)], [key, "vox", "w"])
-
-    kind = dict(lors.dtypes)[key]
-    return lors.select(key, *[F.col(c).cast("double") for c in cols]).mapInArrow(run, f"{key} {kind}, vox long, w double")
-
-
-def _touched(span: np.ndarray, n: int, size: float) -> tuple[np.ndarray, np.ndarray]:
-    """First and number of the n centred cells that each span (low, high) touches, one at least."""
-    low, high = (np.clip(np.floor(s / size + 0.5 * n), 0, n - 1).astype(np.int64) for s in span)
-    return low, high - low + 1
-
-
-def footprint_weights(a: dict[str, np.ndarray], g: Grid, trans: float, axial: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, voxel, weight) of many lines; rows of pixels along the dominant axis are walked together for all lines, each over the pixels that it touches."""
-    p = [np.stack([a[f"{c}{k}"] - o for c, o in zip("xyz", (g.ox, g.oy, g.oz), strict=True)]) for k in "12"]
-    nrm = [np.stack([a[f"n{c}{k}"] for c in "xyz"]) for k in "12"]
-    length = np.sqrt(((p[1] - p[0]) ** 2).sum(0))
-    along_y = np.abs(p[1][1] - p[0][1]) > np.abs(p[1][0] - p[0][0])
-    rows, voxels, weights = [], [], []
-    for main, cross, pick in ((1, 0, along_y), (0, 1, ~along_y)):
-        idx = np.flatnonzero(pick & (length > 0) & (np.abs(p[1][main] - p[0][main]) > 0))
-        if not len(idx):
-            continue
-        u, v = p[0][:, idx], p[1][:, idx]
-        flat, tilt = [], []
-        for q, m in ((u, nrm[0][:, idx]), (v, nrm[1][:, idx])):
-            xy = np.hypot(m[0], m[1])
-            side = np.stack([m[1], -m[0]]) / xy
-            up = np.sqrt((m[0] * m[2]) ** 2 + (m[1] * m[2]) ** 2 + xy**2)
-            flat.append([(q[main] + s * trans / 2 * side[main], q[cross] + s * trans / 2 * side[cross]) for s in (-1, 1)])
-            tilt.append([(q[main] + s * axial / 2 * m[main] * m[2] / up, q[2] - s * axial / 2 * xy**2 / up) for s in (-1, 1)])
-        n_main, n_cross = (g.nx, g.ny)[main], (g.nx, g.ny)[cross]
-        d_main, d_cross = (g.vx, g.vy)[main], (g.vx, g.vy)[cross]
-        slant = d_main * length[idx] / np.abs(v[main] - u[main])
-        lo_end, hi_end = np.zeros(len(idx)), np.ones(len(idx))
-        for axis, size in ((0, g.nx * g.vx - g.vx), (1, g.ny * g.vy - g.vy), (2, g.nz * g.vz - g.vz)):
-            d = v[axis] - u[axis]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s, t = (-size / 2 - u[axis]) / d, (size / 2 - u[axis]) / d
-            out = (d == 0) & (np.abs(u[axis]) > size / 2)
-            lo_end = np.maximum(lo_end, np.where(d == 0, np.where(out, 2, 0), np.minimum(s, t)))
-            hi_end = np.minimum(hi_end, np.where(d == 0, 1, np.maximum(s, t)))
-        ends = [np.floor((u[main] + e * (v[main] - u[main])) / d_main + 0.5 * (n_main - 1) + 0.5) for e in (lo_end, hi_end)]
-        first, last = np.maximum(0, np.minimum(*ends)), np.minimum(n_main - 1, np.maximum(*ends))
-        for i in range(n_main):
-            at = np.flatnonzero((first <= i) & (i <= last) & (lo_end <= hi_end))
-            if not len(at):
-                continue
-            pix = -0.5 * n_main * d_main + (i + 0.5) * d_main
-            cut = lambda f, s, at=at, pix=pix: f[0][s][1][at] + (pix - f[0][s][0][at]) / (f[1][1 - s][0][at] - f[0][s][0][at]) * (f[1][1 - s][1][at] - f[0][s][1][at])
-            level = lambda f, s, at=at, pix=pix: f[0][s][1][at] + (pix - f[0][s][0][at]) / (f[1][s][0][at] - f[0][s][0][at]) * (f[1][s][1][at] - f[0][s][1][at])
-            c = np.sort(np.stack([cut(flat, 0), cut(flat, 1)]), 0)
-            z = np.sort(np.stack([level(tilt, 0), level(tilt, 1)]), 0)
-            ok = np.isfinite(c).all(0) & np.isfinite(z).all(0)
-            at, c, z = at[ok], c[:, ok], z[:, ok]
-            first_j, many_j = _touched(c, n_cross, d_cross)
-            first_k, many_k = _touched(z, g.nz, g.vz)
-            many = many_j * many_k
-            one = np.repeat(np.arange(len(at)), many)
-            place = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many)
-            j, k = first_j[one] + place % many_j[one], first_k[one] + place // many_j[one]
-            e0, z0 = (j - 0.5 * n_cross) * d_cross, (k - 0.5 * g.nz) * g.vz
-            wc = np.minimum(e0 + d_cross, c[1][one]) - np.maximum(e0, c[0][one])
-            wz = np.minimum(z0 + g.vz, z[1][one]) - np.maximum(z0, z[0][one])
-            hit = np.flatnonzero((wc > 0) & (wz > 0))
-            one, j, k = one[hit], j[hit], k[hit]
-            rows.append(idx[at[one]])
-            voxels.append((j + i * g.nx if main == 1 else i + j * g.nx) + k * g.nx * g.ny)
-            weights.append(wc[hit] / (c[1] - c[0])[one] * wz[hit] / (z[1] - z[0])[one] * slant[at[one]])
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return np.concatenate(rows), np.concatenate(voxels).astype(np.int64), np.concatenate(weights)
-
-
 def multi_ray(lors: DataFrame, rays: int, size: float = 1.0, key: str = "bin") -> DataFrame:
     """Each line several times: the first as it is, the others with endpoints moved by hashes of (key, ray) within the crystal.
 

@@ -686,12 +686,6 @@ def _dd_lors(spark, sf):
     return views.lm(spark, sf).join(a, "d1").join(b, "d2")
 
 
-@query(None)
-def dd_forward(spark, sf):
-    m = project.distance_driven(_dd_lors(spark, sf), trans=1.0, axial=1.0, key="event_id")
-    return project.forward(m, views.voxels(spark, sf), "event_id").select("event_id", r("value", 3).alias("value"))
-
-
 @query(None)
 def multiray_forward(spark, sf):
     rays = project.multi_ray(lors(spark, sf), 4, 1.0, "event_id")

@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
+from tomoframe.functions import geometry as geo
 from tomoframe.functions.scalars import ERFC
-from tomoframe.operators import image, psf, sss, temporal
+from tomoframe.operators import footprint, image, project, psf, sss, temporal
 from tomoframe.plans.slate import CELLS, DET, INTERVALS, LM, LOR, SQL, VOX, VOX2, _sql_siddon, _targets, lors, query, r
 from tomoframe.sources import views
 
@@ -245,3 +246,87 @@ SQL["single_scatter"] = (
     "tm AS (SELECT *, ((1 + p) / (p * p) * (2e0 * (1 + p) / (1 + 2e0 * p) - ln(1 + 2e0 * p) / p) + ln(1 + 2e0 * p) / (2e0 * p) - (1 + 3e0 * p) / ((1 + 2e0 * p) * (1 + 2e0 * p))) / (20e0 / 9 - 1.5e0 * ln(3e0)) AS m FROM tc) "
     "SELECT event_id, round(sum(emission * density * p * p * (p + 2e0 - c - (1 - c * c)) * exp(-0.00096e0 * (r1 + m * r2)) / (r1 * r1 * r2 * r2)) * 1e9, 4) AS value FROM tm GROUP BY event_id"
 )
+
+
+# --- the distance-driven projector
+
+
+def sql_footprint(source: str, tof: tuple[float, float] | None = None, taps: bool = False, flipped: bool = False) -> str:
+    """dd: rows (event_id, vox, w) of the lines of source, written slice by slice; crystals of 12 mm x 9 mm.
+
+    With taps the overlap across the line is a sum over the samples of table across, each a hat.
+    """
+    sigma = project.tof_sigma(tof[0]) if tof else 1.0
+    at = f"tof_ps * {project.C_MM_PS * 0.5!r}::DOUBLE" if tof else "0e0"
+    lo, hi = [], []
+    for a, half in (("x", 87.5), ("y", 87.5), ("z", 75.0)):
+        one, two = f"(-{half}e0 - {a}1) / ({a}2 - {a}1)", f"({half}e0 - {a}1) / ({a}2 - {a}1)"
+        lo.append(f"CASE WHEN {a}1 <> {a}2 THEN least({one}, {two}) WHEN abs({a}1) <= {half} THEN 0e0 ELSE 2e0 END")
+        hi.append(f"CASE WHEN {a}1 <> {a}2 THEN greatest({one}, {two}) ELSE 1e0 END")
+    if tof:
+        lo.append(f"0.5e0 + (pos - {tof[1] * sigma!r}::DOUBLE) / len")
+        hi.append(f"0.5e0 + (pos + {tof[1] * sigma!r}::DOUBLE) / len")
+    ends = ", ".join(f"{a}{k} - {o}e0 AS {a}{k}" for a, o in (("x", 0.37), ("y", -0.29), ("z", 0.13)) for k in "12")
+    turned = ", ".join(
+        f"CASE WHEN up THEN y{k} ELSE x{k} END AS m{k}, CASE WHEN up THEN x{k} ELSE y{k} END AS c{k}, (CASE WHEN up THEN -nx{k} ELSE ny{k} END) / h{k} * 6e0 AS p{k}, (CASE WHEN up THEN ny{k} ELSE -nx{k} END) / h{k} * 6e0 AS q{k}, "
+        f"(CASE WHEN up THEN ny{k} ELSE nx{k} END) * nz{k} / h{k} / l{k} * 4.5e0 AS u{k}, -h{k} / l{k} * 4.5e0 AS v{k}"
+        for k in "12"
+    )
+    cut = lambda s: f"c1 + {s} * q1 + (pix - m1 - {s} * p1) / (m2 - {s} * p2 - m1 - {s} * p1) * (c2 - {s} * q2 - c1 - {s} * q1)"
+    lev = lambda s: f"z1 + {s} * v1 + (pix - m1 - {s} * u1) / (m2 + {s} * u2 - m1 - {s} * u1) * (z2 + {s} * v2 - z1 - {s} * v1)"
+    weight = f"* exp(-0.5e0 * pow((((pix - m1) / (m2 - m1) - 0.5e0) * len - pos) / {sigma!r}::DOUBLE, 2)) * {1 / ((2 * math.pi) ** 0.5 * sigma)!r}::DOUBLE" if tof else ""
+    if taps:
+        hat = lambda x: _HAT.replace("u", f"(({x}) / 2e0 - i)")
+        own = "-i" if flipped else "i"
+        across = f"(SELECT sum(2e0 * v * ({hat('pe + 25e0 - s0')} - {hat('pe - s1')})) FROM (SELECT {own} AS i, v FROM across WHERE across.kernel = f4.kernel))"
+        wide, kernel = f"{ACROSS.half_width}e0", ", CAST(least(floor(abs(x1 * (y2 - y1) - y1 * (x2 - x1)) / sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 30e0), 2) AS INTEGER) AS kernel"
+    else:
+        across, wide, kernel = "least(pe + 25e0, s1) - greatest(pe, s0)", "0e0", ", 0 AS kernel"
+    return (
+        f"f0 AS (SELECT event_id, {ends}, {', '.join(f'n{a}{k}' for k in '12' for a in 'xyz')}, {at} AS pos FROM {source}), "
+        "f1 AS (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2) + pow(z2 - z1, 2)) AS len, abs(y2 - y1) > abs(x2 - x1) AS up, " + ", ".join(f"sqrt(nx{k} * nx{k} + ny{k} * ny{k}) AS h{k}, sqrt(nx{k} * nx{k} + ny{k} * ny{k} + nz{k} * nz{k}) AS l{k}" for k in "12") + f"{kernel} FROM f0 WHERE x1 <> x2 OR y1 <> y2), "
+        f"f2 AS (SELECT event_id, kernel, len, pos, up, z1, z2, {turned}, greatest(0e0, {', '.join(lo)}) AS a0, least(1e0, {', '.join(hi)}) AS a1 FROM f1), "
+        "f3 AS (SELECT *, (i - 3.5e0) * 25e0 AS pix FROM (SELECT *, unnest(generate_series(CAST(greatest(0, least(b0, b1)) AS BIGINT), CAST(least(7, greatest(b0, b1)) AS BIGINT))) AS i FROM (SELECT *, floor((m1 + a0 * (m2 - m1)) / 25e0 + 4) AS b0, floor((m1 + a1 * (m2 - m1)) / 25e0 + 4) AS b1 FROM f2 WHERE a0 <= a1))), "
+        f"g3 AS (SELECT event_id, kernel, up, i, least({cut(-1)}, {cut(1)}) AS s0, greatest({cut(-1)}, {cut(1)}) AS s1, least({lev(-1)}, {lev(1)}) AS t0, greatest({lev(-1)}, {lev(1)}) AS t1, 25e0 * len / abs(m2 - m1) {weight} AS step FROM f3), "
+        f"f4 AS (SELECT *, (j - 4e0) * 25e0 AS pe FROM (SELECT *, unnest(generate_series(CAST(least(7, greatest(0, floor((s0 - {wide}) / 25e0 + 4))) AS BIGINT), CAST(least(7, greatest(0, floor((s1 + {wide}) / 25e0 + 4))) AS BIGINT))) AS j FROM g3)), "
+        f"f5 AS (SELECT *, {across} AS wc FROM f4), "
+        "f6 AS (SELECT *, unnest(generate_series(CAST(least(3, greatest(0, floor(t0 / 50e0 + 2))) AS BIGINT), CAST(least(3, greatest(0, floor(t1 / 50e0 + 2))) AS BIGINT))) AS k FROM f5 WHERE wc > 0), "
+        "dd AS (SELECT event_id, CASE WHEN up THEN j + i * 8 ELSE i + j * 8 END + k * 64 AS vox, wc / (s1 - s0) * step * (least((k - 1) * 50e0, t1) - greatest((k - 2) * 50e0, t0)) / (t1 - t0) AS w FROM f6 WHERE (k - 1) * 50e0 > t0 AND (k - 2) * 50e0 < t1)"
+    )
+
+
+FACED = "faced AS (SELECT lm.event_id, tof_ps, randoms, " + ", ".join(f"{d}.{c} AS {c}{k}" for k, d in (("1", "a"), ("2", "b")) for c in ("x", "y", "z", "nx", "ny", "nz")) + " FROM lm JOIN det a ON a.det_id = d1 JOIN det b ON b.det_id = d2)"
+ACROSS_TABLE = views.sql_values("across", "kernel, i, v", [(k, i - 1, v) for k, taps in enumerate(ACROSS.kernels) for i, v in enumerate(taps)], "INTEGER, INTEGER, DOUBLE")
+_DD = {"trans": 12.0, "axial": 9.0}
+_TOF = (500.0, 3.0)
+
+
+def _faced(spark, sf):
+    """Events with the ends and normals of both crystals (a scanner's detectors: a dimension table of fixed size)."""
+    d = geo.det_lut(spark)
+    a, b = (F.broadcast(d.select(F.col("det_id").alias(f"d{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("x", "y", "z", "nx", "ny", "nz")])) for k in "12")
+    return views.lm(spark, sf).join(a, "d1").join(b, "d2")
+
+
+@query("SELECT event_id, round(sum(w * value), 3) + 0e0 AS value FROM dd JOIN voxels USING (vox) GROUP BY event_id", LM, DET, FACED, sql_footprint("faced"), VOX)
+def dd_forward(spark, sf):
+    m = footprint.distance_driven(_faced(spark, sf), **_DD, keep=("event_id",))
+    return project.forward(m, views.voxels(spark, sf), "event_id").select("event_id", r("value", 3).alias("value"))
+
+
+@query("SELECT vox, round(sum(w * randoms), 3) + 0e0 AS value FROM dd JOIN faced USING (event_id) WHERE randoms <> 0 GROUP BY vox", LM, DET, FACED, sql_footprint("faced"))
+def dd_back(spark, sf):
+    return footprint.back_lors(_faced(spark, sf).withColumnRenamed("randoms", "value"), **_DD).select("vox", r("value", 3).alias("value"))
+
+
+@query("SELECT event_id, round(sum(w * value), 6) + 0e0 AS value FROM dd JOIN voxels USING (vox) GROUP BY event_id", LM, DET, FACED, ACROSS_TABLE, sql_footprint("faced", _TOF, taps=True), VOX)
+def dd_tof_psf_forward(spark, sf):
+    """Time of flight and the kernel of each line's distance inside the footprint."""
+    m = footprint.distance_driven(_faced(spark, sf), **_DD, keep=("event_id",), tof=_TOF, psf=ACROSS)
+    return project.forward(m, views.voxels(spark, sf), "event_id").select("event_id", r("value", 6).alias("value"))
+
+
+@query("SELECT vox, round(sum(w * randoms), 5) + 0e0 AS value FROM dd JOIN faced USING (event_id) WHERE randoms <> 0 GROUP BY vox", LM, DET, FACED, ACROSS_TABLE, sql_footprint("faced", _TOF, taps=True, flipped=True))
+def dd_tof_psf_back(spark, sf):
+    """The adjoint: the kernels reversed."""
+    return footprint.back_lors(_faced(spark, sf).withColumnRenamed("randoms", "value"), **_DD, tof=_TOF, psf=ACROSS).select("vox", r("value", 5).alias("value"))
