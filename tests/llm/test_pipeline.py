@@ -76,7 +76,8 @@ def plain_quality(text):
         rest = 1 - sum(ref.values()) / 1000
         nearest = min(nearest, distance([k / n for k in seen] + [1 - sum(seen) / n], [v / 1000 for v in ref.values()] + [rest]))
         fewer = fewer and n - sum(seen) > n * rest
-    return nearest <= quality_rules.MAX_WORD_DISTANCE and not (nearest > quality_rules.MAX_LACK_DISTANCE and fewer)
+    more = any(sum(low[w] for w in ref) / n > quality_rules.STUFFED * sum(ref.values()) / 1000 for ref in quality_rules.WORD_REFERENCE.values())
+    return not (nearest > quality_rules.MAX_WORD_DISTANCE and more) and not (nearest > quality_rules.MAX_LACK_DISTANCE and fewer)
 
 
 def plain_subsequences(word):
@@ -124,7 +125,7 @@ def test_run_against_plain_python(spark, tmp_path):
     rows += [(200 + i, invented(2000 + i, 70) + f" you are such a {insults[i % 6]} and always were. " + invented(3000 + i, 20)) for i in range(90)]
     rows += [(400 + i, rows[i][1]) for i in range(12)] + [(430 + i, rows[0][1]) for i in range(9)]
     rows += [(450 + i, rows[20 + i % 3][1].replace(rows[20 + i % 3][1].split()[40 + i], f"changed{i}", 1)) for i in range(15)]
-    rows += [(500, "too short"), (501, None), (502, ""), (503, "the same words here again " * 40), (504, "|| ## $$ %% && ** <> " * 30), (505, "zzqx " + " ".join(f"qwv{i}xk" for i in range(80)))]
+    rows += [(500, "too short"), (501, None), (502, ""), (503, "the same words here again " * 40), (504, "|| ## $$ %% && ** <> " * 30), (506, " ".join(["at", "from", "or", "an", "are", "this", "with", "by"][(k * k + k // 3) % 8] for k in range(300))), (505, "zzqx " + " ".join(f"qwv{i}xk" for i in range(80)))]
     docs = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, 1, int(200 <= i < 290)) for i, _ in rows], "doc_id long, quality int, toxic int")
     docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")

@@ -4,9 +4,11 @@ Two histograms are compared with each language's reference: the share of
 characters in seven classes, and the share of each common word among all
 words (the rest in one bin).  A text is judged by the nearest language, since
 the stated language can be missing or wrong.  A histogram counts only from a
-minimum length on, as short texts scatter.  A text is also rejected that lacks
-common words: whose distance is near that of a text without any, and whose
-share of common words is below every reference's.
+minimum length on, as short texts scatter.  Two rules judge the words: a text
+is stuffed if its distance is above `max_word` and some language's common words
+are more than STUFFED times as frequent as in its reference, and it lacks them
+if its distance is above `max_lack` and every language's are rarer than in its
+reference.
 """
 
 from __future__ import annotations
@@ -36,9 +38,11 @@ WORD_REFERENCE = {
 }
 
 MIN_CHARS, MIN_WORDS = 200, 50
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.60
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.40
+#: Share of common words, over that of the reference, from which a distant text is stuffed.
+STUFFED = 2.0
 #: Word distance above which a text with too few common words lacks them: nine tenths of the least distance (0.387, de)
-#: that a text without any common word has.  Texts stuffed with common words reach it too, and are not meant.
+#: that a text without any common word has.
 MAX_LACK_DISTANCE = 0.35
 
 
@@ -122,14 +126,15 @@ class Judge:
                 for a in at:
                     seen[a] += used[i]
         class_js = float(js_distance(chars / max(n_chars, 1), self.classes).min()) if n_chars else 0.0
-        word_js, lacks = 0.0, False
+        word_js, lacks, stuffed = 0.0, False, False
         if n:
             seen[:, -1] = n - seen.sum(1)
             word_js = float(js_distance(seen / n, self.words).min())
             lacks = word_js > self.max_lack and bool((seen[:, -1] > n * self.words[:, -1]).all())
+            stuffed = word_js > self.limits[3] and bool((n - seen[:, -1] > STUFFED * n * (1 - self.words[:, -1])).any())
         failed = n < 10 or 100 * repeats > 20 * n
-        min_chars, min_words, max_class, max_word = self.limits
-        kept = not failed and (n_chars < min_chars or class_js <= max_class) and (n < min_words or (word_js <= max_word and not lacks))
+        min_chars, min_words, max_class, _ = self.limits
+        kept = not failed and (n_chars < min_chars or class_js <= max_class) and (n < min_words or not (stuffed or lacks))
         return n, n_chars - int(chars[3]), n_symbols, len(lines) - len(set(lines)), repeats, failed, kept, class_js, word_js
 
     def __call__(self, texts: list[str]) -> dict:
@@ -153,9 +158,11 @@ def judge_quality(
 ) -> DataFrame:
     """One row per input row: doc_id, the base signals, base_failed, kept, class_js, word_js.
 
-    Null and empty texts have no words: base_failed, distances 0.  Repeated
-    rows are judged one by one, an empty table gives an empty result, other
-    columns are ignored.  Without max_lack, texts that lack common words pass.
+    Null and empty texts have no words: base_failed, distances 0.  Very long
+    texts are read whole.  Repeated rows are judged one by one, and rows are
+    not compared, so there are no ties; an empty table gives an empty result,
+    other columns are ignored.  Without max_lack, texts that lack common words
+    pass.
     """
     schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_js double, word_js double"
     return arrow_text.map_texts(docs, lambda: Judge(min_chars, min_words, max_class, max_word, max_lack), schema, id_col, text_col)
@@ -164,8 +171,7 @@ def judge_quality(
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    # the query's SQL has the bound max_word alone, so its kept has no test of lacking words
-    out = judge_quality(shared.read(spark, sf_dir, "documents"), max_lack=None)
+    out = judge_quality(shared.read(spark, sf_dir, "documents"))
     return out.withColumns({c: F.round(c, 6) for c in ("class_js", "word_js")})
 
 
@@ -196,6 +202,8 @@ cell AS (SELECT s.r, s.n, f.lang, f.q, coalesce(u.k, 0) AS k FROM sized s CROSS
 cells AS (SELECT r, n, lang, q, k FROM cell UNION ALL SELECT c.r, c.n, c.lang, f.q, c.n - sum(c.k) FROM cell c JOIN rest_ref f USING (lang) GROUP BY c.r, c.n, c.lang, f.q),
 word_lang AS (SELECT r, lang, {js} AS d FROM (SELECT r, lang, k / n AS p, q FROM cells) GROUP BY r, lang),
 word_js AS (SELECT r, min(d) AS word_js FROM word_lang GROUP BY r),
+rest_cell AS (SELECT c.r, c.lang, c.n, c.n - sum(c.k) AS rest, f.q FROM cell c JOIN rest_ref f USING (lang) GROUP BY c.r, c.lang, c.n, f.q),
+share AS (SELECT r, bool_and(rest > n * q) AS below, bool_or(n - rest > {STUFFED!r} * n * (1 - q)) AS above FROM rest_cell GROUP BY r),
 win AS (SELECT r, i, list_aggregate(ws[i + 1 : i + 5], 'string_agg', ' ') AS g FROM (SELECT r, ws, unnest(range(n - 4)) AS i FROM sized WHERE n >= 5)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM win) WHERE k > 1),
 rep AS (SELECT r, count(DISTINCT i + d) AS k FROM twice CROSS JOIN range(5) AS s(d) GROUP BY r),
@@ -205,14 +213,14 @@ flat AS (
   SELECT doc_id, s.n::BIGINT AS n_words, (a.n - a.c_space)::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          coalesce(dup.k, 0)::BIGINT AS n_dup_lines, coalesce(rep.k, 0)::BIGINT AS n_repeat_words, a.n AS n_chars,
-         coalesce(class_js, 0) AS class_js, coalesce(word_js, 0) AS word_js
+         coalesce(class_js, 0) AS class_js, coalesce(word_js, 0) AS word_js, coalesce(below, false) AS below, coalesce(above, false) AS above
   FROM base JOIN sized s USING (r) JOIN all_chars a USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)
-  LEFT JOIN class_js USING (r) LEFT JOIN word_js USING (r)
+  LEFT JOIN class_js USING (r) LEFT JOIN word_js USING (r) LEFT JOIN share USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (n_chars < {MIN_CHARS} OR class_js <= {MAX_CLASS_DISTANCE})
-         AND (n_words < {MIN_WORDS} OR word_js <= {MAX_WORD_DISTANCE}) AS kept,
+         AND (n_words < {MIN_WORDS} OR NOT (word_js > {MAX_WORD_DISTANCE} AND above OR word_js > {MAX_LACK_DISTANCE} AND below)) AS kept,
        round(class_js, 6) AS class_js, round(word_js, 6) AS word_js
 FROM flat
 """
