@@ -55,6 +55,21 @@ def test_clashing_chunk_names_are_widened(spark, monkeypatch):
     assert got == {1: 3, 2: 2, 3: 3}
 
 
+def test_groups_come_from_the_recipe_alone(spark, monkeypatch):
+    """Without the digest of the text, and with hot groups, the groups are the same."""
+    from pyspark.sql import functions as F
+
+    real = exact_dedup.recipes
+    monkeypatch.setattr(exact_dedup, "recipes", lambda *a, **k: real(*a, **k).withColumn("text_sha256", F.lit("none")))
+    rows = [(i, f"copy number one. {'x' * 40}. end") for i in range(1500)] + [(5000 + i, f"text {i % 40}. {'y' * (i % 7)}.\nend") for i in range(200)] + [(9000, None), (9001, "")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=4, max_chars=16).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    want = {i: (max(g), len(g), i == max(g)) for g in groups.values() for i in g}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == want and len(got) == len(rows)
+
+
 def test_empty_tables(no_docs, spark):
     assert exact_dedup.exact_dedup(no_docs).count() == 0
     assert sharding.balanced_shards(no_docs).count() == 0
