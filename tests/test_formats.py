@@ -45,7 +45,7 @@ def test_arrays_and_images(spark):
             formats.read_rawd(bad)
     with pytest.raises(ValueError):
         formats.read_rawd(data, (9, 3, 4))
-    assert formats.array_table(spark, a).count() == 23
+    assert formats.array_table(spark, a).count() == 24 and formats.array_table(spark, a, dense=False).count() == 23
     grid = {"vx": 2.0, "vy": 3.0, "vz": 4.0, "off_x": 0.5, "off_y": -1.0, "off_z": 2.0}
     img = np.random.default_rng(0).normal(size=(2, 3, 4, 5)).astype("<f4")
     back, g = formats.read_nifti(formats.nifti_bytes(img, grid))

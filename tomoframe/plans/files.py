@@ -5,12 +5,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tomoframe.functions import geometry as geo
 from tomoframe.operators import aggregate, kinetic, project, recon, scatter
-from tomoframe.plans.slate import CELL_KEY, DET, EM, FACTORS, HIST, LM, LOR, SENS, SH, SIDDON, SQL, TAC, TURN, VOX, _ang, _dd_lors, _pla, _sql_siddon, cell_values, em_data, lors, matrix, query, r
+from tomoframe.plans.slate import BINNED_HIST, CELL_KEY, DET, DH, EM, FACTORS, HIST, LM, LOR, RM, SENS, SH, SIDDON, SQL, TAC, TURN, VOX, _ang, _dd_lors, _pla, _sql_siddon, cell_values, em_data, lors, matrix, query, r
 from tomoframe.sources import formats, views
 
 # --- files
 
+SCT = views.sql_amounts("sct_q", CELL_KEY, 46080) + ", sct AS (SELECT id // 9216 AS tof, id // 1536 % 6 AS p1, id // 96 % 16 AS a1, id // 16 % 6 AS p2, id % 16 AS a2, 1e0 + q % 13 AS value FROM sct_q)"
+
 
 def _written(spark, sf):
     """The list-mode rows as record files in the shared folder."""
@@ -39,6 +42,23 @@ def sparse_histogram_file(spark, sf):
     return formats.read_sparse_histogram(spark, path, 1152).select("d1", "d2", "value")
 
 
+@query("SELECT tof, p1, a1, p2, a2, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM sct", SCT)
+def scatter_space_file(spark, sf):
+    """A five-dimensional array file, written by many tasks in place and read back in byte ranges."""
+    path = recon.shared_path(spark, "scatter")
+    formats.write_scatter_space(cell_values(spark, sf, 5), path.removeprefix("file://"), (5, 6, 16, 6, 16))
+    return formats.open_table(spark, path.removeprefix("file://"), "scatter", split=1 << 14)
+
+
+@query("SELECT bin, CAST(CAST(coalesce(value, 0) AS FLOAT) AS DOUBLE) AS value FROM (SELECT id AS bin FROM range(481536) AS r(id)) LEFT JOIN dh USING (bin)", HIST, RM, BINNED_HIST, DH)
+def histogram_file(spark, sf):
+    """A dense histogram file: all bins come back, those without counts as 0."""
+    dense = aggregate.dense_histogram(geo.pair_to_bin(views.hist(spark, sf), geo.ring_map(spark)), F.col("value"))
+    path = recon.shared_path(spark, "dense").removeprefix("file://")
+    formats.write_histogram(dense, path, (132, 48, 76))
+    return formats.read_histogram(spark, path, (132, 48, 76), split=1 << 18)
+
+
 # --- iterations
 
 
@@ -134,7 +154,6 @@ def crystal_rays_forward(spark, sf):
 TIMED = scatter.Space(tofs=5, max_tof=400.0)
 _TOF = "(greatest(40e0, least(360e0, tof_ps)) / 80e0 - 0.5e0)"
 _FRAC = "(CASE WHEN {d} = 1 THEN {c} - floor({c}) ELSE 1 - ({c} - floor({c})) END)"
-SCT = views.sql_amounts("sct_q", CELL_KEY, 46080) + ", sct AS (SELECT id // 9216 AS tof, id // 1536 % 6 AS p1, id // 96 % 16 AS a1, id // 16 % 6 AS p2, id % 16 AS a2, 1e0 + q % 13 AS value FROM sct_q)"
 
 
 def _timed(spark, sf):

@@ -10,19 +10,18 @@ from __future__ import annotations
 import json
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoframe.functions.cluster import ship
 from tomoframe.operators.aggregate import sparse_histogram
-from tomoframe.sources import records
+from tomoframe.sources import arrays, records
 
-#: First number of an array file; record of a sparse histogram.
-RAWD_MAGIC = 732174000
+#: First number of an array file; record of a sparse histogram (fixed values).
+RAWD_MAGIC = arrays.MAGIC
 PAIR_VALUE = np.dtype([("d1", "<u4"), ("d2", "<u4"), ("value", "<f4")])
 
 
@@ -95,8 +94,8 @@ def rawd_bytes(a: np.ndarray) -> bytes:
     return struct.pack("<ii", RAWD_MAGIC, a.ndim) + struct.pack(f"<{a.ndim}q", *a.shape) + np.ascontiguousarray(a, "<f4").tobytes()
 
 
-def array_table(spark: SparkSession, a: np.ndarray, dense: bool = False) -> DataFrame:
-    """(i0, .., value) of the non-zero cells, or with dense of all: a whole image or histogram."""
+def array_table(spark: SparkSession, a: np.ndarray, dense: bool = True) -> DataFrame:
+    """(i0, .., value) of all cells of an array in memory, or without dense of those that are not zero."""
     at = np.indices(a.shape).reshape(a.ndim, -1) if dense else np.nonzero(a)
     cols = {f"i{k}": pa.array(x.astype(np.int64)) for k, x in enumerate(at)} | {"value": pa.array(a[tuple(at)].astype(np.float64))}
     return spark.createDataFrame(pa.table(cols))
@@ -243,19 +242,52 @@ def bind_listmode(spark: SparkSession, arrays: dict[str, np.ndarray], detectors:
     return spark.createDataFrame(pa.table(cols))
 
 
-def read_histogram(spark: SparkSession, path: str, dims: tuple[int, int, int] | None = None) -> DataFrame:
-    """(bin, value) of all bins of a dense histogram file: an array (z_bin, phi, r), decoded where the file is read."""
-    ship(spark)
+def read_histogram(spark: SparkSession, path: str, dims: tuple[int, int, int] | None = None, split: int = records.SPLIT) -> DataFrame:
+    """(bin, value) of all bins of a dense histogram file: an array (z_bin, phi, r), read in byte ranges by many tasks."""
+    fs, files = records.list_files(path)
+    shape = arrays.read_shape(fs, files[0].path, dims or (0, 0, 0))
+    e = arrays.read_array(spark, path, shape, split=split)
+    return e.select(arrays.flat(("i0", "i1", "i2"), shape).alias("bin"), "value")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                flat = read_rawd(data.as_py(), dims or (0, 0, 0)).reshape(-1)
-                for at in range(0, len(flat), 1 << 20):
-                    part = flat[at : at + (1 << 20)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part.astype(np.float64))], ["bin", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "bin long, value double")
+def write_histogram(hist: DataFrame, path: str, dims: tuple[int, int, int]) -> None:
+    """Dense histogram file of (bin, value), written by many tasks; absent bins are 0."""
+    plane = dims[1] * dims[2]
+    cells = hist.select(F.floor(F.col("bin") / plane).alias("i0"), F.floor(F.col("bin") % plane / dims[2]).alias("i1"), (F.col("bin") % dims[2]).alias("i2"), "value")
+    arrays.write_array(cells, path, dims, ("i0", "i1", "i2"))
+
+
+#: Dimensions of a scatter space file, slowest first.
+CELL = ("tof", "p1", "a1", "p2", "a2")
+
+
+def read_scatter_space(spark: SparkSession, path: str, split: int = records.SPLIT) -> DataFrame:
+    """(tof, p1, a1, p2, a2, value) of all cells of a scatter space."""
+    e = arrays.read_array(spark, path, (0,) * len(CELL), split=split)
+    return e.select(*[F.col(f"i{k}").alias(c) for k, c in enumerate(CELL)], "value")
+
+
+def write_scatter_space(cells: DataFrame, path: str, shape: tuple[int, int, int, int, int]) -> None:
+    arrays.write_array(cells, path, shape, CELL)
+
+
+def read_image_cells(spark: SparkSession, path: str, split: int = records.SPLIT) -> DataFrame:
+    """(t, vox, value) of an image in an array file (z, y, x) or (t, z, y, x)."""
+    fs, files = records.list_files(path)
+    shape = arrays.read_shape(fs, files[0].path)
+    if len(shape) not in (3, 4):
+        raise ValueError(f"an image has 3 or 4 dimensions, not {len(shape)}")
+    e = arrays.read_array(spark, path, shape, split=split)
+    own = [f"i{k}" for k in range(len(shape))]
+    return e.select((F.col("i0").cast("int") if len(shape) == 4 else F.lit(0)).alias("t"), arrays.flat(own[-3:], shape[-3:]).alias("vox"), "value")
+
+
+def write_image_cells(image: DataFrame, path: str, shape: tuple[int, int, int, int]) -> None:
+    """Array file (t, z, y, x) of (t, vox, value)."""
+    _, _, ny, nx = shape
+    v = F.col("vox")
+    cells = image.select("t", F.floor(v / (nx * ny)).alias("z"), (F.floor(v / nx) % ny).alias("y"), (v % nx).alias("x"), "value")
+    arrays.write_array(cells, path, shape, ("t", "z", "y", "x"))
 
 
 def histogram_bytes(hist: DataFrame, dims: tuple[int, int, int]) -> bytes:
@@ -292,6 +324,11 @@ def image_params_json(params: dict[str, float]) -> str:
     return json.dumps(params, indent=1)
 
 
+def basis_json(file: str, frames: list[tuple[int, int]]) -> str:
+    """What stands beside a basis file: its name, the number of frames and their bounds in ms."""
+    return json.dumps({"file": file, "frames": len(frames), "start_ms": [a for a, _ in frames], "stop_ms": [b for _, b in frames]}, indent=1)
+
+
 def basis_bytes(basis: DataFrame) -> bytes:
     """Array file (rank, frame) of (rank, frame, h)."""
     rows = basis.select("rank", "frame", "h").collect()  # ranks times frames
@@ -302,7 +339,7 @@ def basis_bytes(basis: DataFrame) -> bytes:
 
 
 #: Readers by format name, whatever its case; add to it to plug in a format.
-REGISTRY: dict[str, Callable[..., DataFrame]] = {"LM": read_listmode, "LM-DOI": lambda spark, path, **k: read_listmode(spark, path, doi=True, **k), "SH": read_sparse_histogram, "H": read_histogram}
+REGISTRY: dict[str, Callable[..., DataFrame]] = {"LM": read_listmode, "LM-DOI": lambda spark, path, **k: read_listmode(spark, path, doi=True, **k), "SH": read_sparse_histogram, "H": read_histogram, "SCATTER": read_scatter_space, "IMAGE": read_image_cells}
 
 
 def open_table(spark: SparkSession, path: str, kind: str, **options: object) -> DataFrame:
