@@ -99,16 +99,16 @@ def test_filter_has_no_false_negatives_and_few_false_positives():
     names = np.unique(r.integers(0, 1 << 63, 60_000, dtype=np.uint64) & lm._NAME)
     inside, outside = names[::2], names[1::2]
     counts = np.minimum(r.zipf(1.7, len(inside)), 1 << 30)
-    shift, numbers, parts = 60, [], []
+    shift, parts = 60, []
     for k in np.unique(lm.segment_number(inside, shift)):
         own = lm.segment_number(inside, shift) == k
-        numbers.append(k)
-        parts.append(lm.segment(inside[own], counts[own]))
-    bloom = lm.Filter(np.array(numbers), parts, shift)
+        parts.append((int(k), lm.segment(inside[own], counts[own])))
+    r.shuffle(parts)
+    bloom = lm.Filter(parts, shift)
     got = bloom.levels(inside)
     assert (got >= lm.level_of(counts)).all() and (got > lm.level_of(counts)).mean() < 0.02
     assert (bloom.levels(outside) > 0).mean() < 0.005
-    assert sum(map(len, parts)) * 8 < (lm.BITS + 0.2) * lm.level_of(counts).sum() + 64 * len(parts)
+    assert sum(len(p) for _, p in parts) * 8 < (lm.BITS + 0.2) * lm.level_of(counts).sum() + 64 * len(parts)
 
 
 def test_model_beats_single_tokens_on_held_out_text(spark):

@@ -19,7 +19,7 @@ the documents for each further group looks up what its segments hold.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,12 +171,16 @@ def segment(names: np.ndarray, counts: np.ndarray, bits: int = BITS, hashes: int
 class Filter:
     """Some segments of the filter; levels of n-grams by membership probes."""
 
-    def __init__(self, numbers: np.ndarray, parts: list[bytes], shift: int, hashes: int = HASHES) -> None:
-        order = np.argsort(numbers)
-        self.numbers, self.shift, self.hashes = numbers[order], shift, hashes
-        sizes = np.array([len(parts[i]) for i in order], np.int64)
-        self.bits, self.start = (sizes * 8).astype(np.uint64), np.cumsum(sizes) - sizes
-        self.data = b"".join(parts[i] for i in order)
+    def __init__(self, parts: Iterable[tuple[int, bytes]], shift: int, hashes: int = HASHES) -> None:
+        """parts: (number, bits) of each segment, taken one after the other into one buffer."""
+        self.data, numbers, sizes = bytearray(), [], []
+        for number, bits in parts:
+            self.data += bits
+            numbers.append(number)
+            sizes.append(len(bits))
+        order, size = np.argsort(np.array(numbers, np.int64)), np.array(sizes, np.int64)
+        self.numbers, self.shift, self.hashes = np.array(numbers, np.int64)[order], shift, hashes
+        self.bits, self.start = (size * 8).astype(np.uint64)[order], (np.cumsum(size) - size)[order]
 
     def levels(self, names: np.ndarray) -> np.ndarray:
         """The level of each n-gram (with its flag), 0 where the filter has none or lacks the segment."""
@@ -238,8 +242,8 @@ class Model:
 
     def filter(self, group: int) -> Filter:
         """One group of segments, brought to the driver: filter_bytes of them, give or take the segments' spread."""
-        part = self.segments.where(F.pmod("number", F.lit(self.groups)) == group).select("number", "bits").toArrow()
-        return Filter(part.column("number").to_numpy(), part.column("bits").to_pylist(), self.shift)
+        part = self.segments.where(F.pmod("number", F.lit(self.groups)) == group).select("number", "bits")
+        return Filter(((r.number, r.bits) for r in part.toLocalIterator()), self.shift)
 
 
 def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, common_tokens: int = COMMON_TOKENS, segment_text: int = SEGMENT_TEXT) -> Model:
