@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tomoframe.plans import extra, files, slate, volumes  # noqa: F401
+from tomoframe.plans import extra, files, more, slate, volumes  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
