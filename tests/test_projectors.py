@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tomoframe.operators import footprint, kernels, project, recon
+from tomoframe.operators import footprint, kernels, project, recon, temporal
 from tomoframe.plans import slate
 from tomoframe.sources.views import GRID, Grid, voxels
 
@@ -102,9 +103,13 @@ def test_full_kernel_equals_brute_force(spark):
     r = np.random.default_rng(1)
     v = np.round(r.normal(size=60), 1)
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "vox long, value double")
-    got = {(x.i, x.j) for x in kernels.nearest_by_value(df, 4, 0.1).collect()}
     want = {(i, j) for i in range(60) for j in sorted(range(60), key=lambda j: (abs(v[i] - v[j]), j))[:4]}
-    assert got == want
+    for block in (5, 7, 4096):
+        assert {(x.i, x.j) for x in kernels.nearest_by_value(df, 4, 0.1, block).collect()} == want
+    plan = kernels.nearest_by_value(df, 4, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    with pytest.raises(ValueError):
+        kernels.nearest_by_value(df, 7, 0.1, 7)
 
 
 def test_bootstrap_split_is_a_partition(spark):
@@ -115,3 +120,47 @@ def test_bootstrap_split_is_a_partition(spark):
 
 def test_voxels_view(spark):
     assert voxels(spark, SF, nt=2).count() == 2 * GRID.voxels
+
+
+@pytest.mark.parametrize("ranges", [2, 8, 32])
+def test_asof_join_with_most_rows_after_the_last_start(spark, ranges):
+    """Nine in ten rows follow the last start; results are those of a search, and no range of time has more than a few shares of the rows."""
+    r = np.random.default_rng(8)
+    ts = [*map(int, r.integers(-50, 1000, 200)), *map(int, r.integers(1000, 10**9, 1800)), None]
+    starts = sorted({*map(int, r.integers(0, 40, 15)), 500, 999})
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "id long, ts_ms long").repartition(4)
+    motion = spark.createDataFrame([(k, t, 1.0 * k) for k, t in enumerate(starts)], "frame int, t_start long, c double")
+    got = {x.id: (x.motion_frame, x.c) for x in temporal.motion_asof(rows, motion, ("c",), ranges, 0.5).collect()}
+    for i, t in enumerate(ts):
+        k = -1 if t is None else int(np.searchsorted(starts, t, "right")) - 1
+        assert got[i] == (k, None if k < 0 else float(k))
+    bounds = temporal._range_bounds(rows, motion, ranges, 0.5)
+    share = np.bincount(np.searchsorted(bounds, [t for t in ts if t is not None], "right"))
+    assert share.max() <= 3 * len(ts) / ranges + 60
+    assert temporal.motion_asof(rows, motion.where("false"), ("c",)).where("motion_frame = -1 AND c IS NULL").count() == len(ts)
+    assert temporal.motion_asof(rows.where("false"), motion, ("c",)).count() == 0
+
+
+@pytest.mark.parametrize("slab", [1 << 23, 50, 7])
+def test_a_step_on_lines_equals_the_one_on_a_matrix(spark, slab):
+    d, lines = slate.em_data(spark, SF), recon.cut(slate.em_lines(spark, SF), "lines")
+    image = recon.cut(voxels(spark, SF), "image")
+    m = slate.matrix(spark, SF)
+    want = {r.vox: r.value for r in recon.ratio_step(m, image, d, "event_id").collect()}
+    step = recon.em_step(lines, image, slab=slab)
+    got = {r.vox: r.value for r in step.collect()}
+    assert got.keys() == want.keys() and all(v == pytest.approx(want[k], rel=1e-9) for k, v in got.items())
+    if slab > 256:
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        joins = [w for w in ("SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin") if w in plan]
+        assert not joins, plan
+
+
+def test_rays_are_gathered_by_line(spark):
+    e = slate._dd_lors(spark, SF).drop("randoms").join(slate.em_data(spark, SF).select("event_id", "value", "sens", "atten", "randoms", "scatter", "invivo"), "event_id")
+    lines = recon.em_lines(e, rays=3, crystal=(5.0, 3.0, 8.0))
+    assert lines.count() == lines.select("event_id").distinct().count() > 100
+    got = {(r.event_id, r.vox): r.w for r in lines.select("event_id", F.explode("segments").alias("s")).groupBy("event_id", "s.vox").agg(F.sum("s.w").alias("w")).collect()}
+    rays = project.siddon(project.crystal_rays(e, 3, 5.0, 3.0, 8.0, key="event_id"), keep=("event_id",))
+    want = {(r.event_id, r.vox): r.w / 3 for r in rays.groupBy("event_id", "vox").agg(F.sum("w").alias("w")).collect()}
+    assert got.keys() == want.keys() and all(v == pytest.approx(want[k]) for k, v in got.items())

@@ -70,8 +70,13 @@ def exclusive_prefix_all(rows: DataFrame, order: list[str], value: str) -> DataF
     ranged = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     placed = cut(ranged.withColumn("__m", F.monotonically_increasing_id()), "prefix").withColumn("__p", F.shiftright("__m", 33))
     per = placed.groupBy("__p").agg(F.sum(value).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = per.select("__p", before.alias("__off"))  # one row a range
+    kind, totals, offsets = dict(per.dtypes)["__n"], sorted((r["__p"], r["__n"]) for r in per.collect()), []  # one row a range
+    zero = next((type(n)() for _, n in totals if n is not None), 0.0 if kind == "double" else 0)
+    before = zero
+    for p, n in totals:
+        offsets.append((p, before))
+        before += zero if n is None else n
+    offsets = rows.sparkSession.createDataFrame(offsets, f"__p long, __off {kind}")
     inner = Window.partitionBy("__p").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
     out = placed.join(F.broadcast(offsets), "__p").withColumn("start", F.col("__off") + F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return out.drop("__m", "__p", "__off")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tomoframe.operators.aggregate import exclusive_prefix_all
+
 
 def _coords(v: Column, nx: int, ny: int) -> tuple[Column, Column, Column]:
     return v % nx, F.floor(v / nx) % ny, F.floor(v / (nx * ny))
@@ -41,20 +43,30 @@ def nearest_in_window(image: DataFrame, nx: int, ny: int, nz: int, w: int, p: in
     return e.select("i", "j", (F.col("__k") / F.sum("__k").over(Window.partitionBy("i").orderBy("d", "j").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("k"))
 
 
-def nearest_by_value(image: DataFrame, most: int, sigma2: float) -> DataFrame:
+#: Distinct intensities that one task orders.
+BLOCK = 4096
+
+
+def nearest_by_value(image: DataFrame, most: int, sigma2: float, block: int = BLOCK) -> DataFrame:
     """(i, j, k): the `most` voxels nearest in intensity over the whole image, exp(-d^2 / (2 sigma2)); ties by j.
 
-    In order of (value, j) the nearest of a voxel lie among the `most` before
-    and after it, and ties of equal distance beyond them at either end cannot
-    win over smaller ids only if values repeat; so equal values are first
-    numbered and at most `most` of each value are candidates: no cross join.
+    In order of intensity the nearest of a voxel lie among the `most` distinct
+    intensities before and after its own, with at most the `most` smallest ids
+    of each.  The intensities are numbered by a range shuffle and cut into
+    blocks of consecutive ones; each block also gets the `most` beyond either
+    border, so no task sees more than a block and its halo.
     """
+    if most >= block:
+        raise ValueError(f"at most {block - 1} neighbours with blocks of {block}")
+    # at most `most` of an intensity's voxels can be among the nearest: the smallest ids, cut per task before the exchange
     low = Window.partitionBy("value").orderBy("vox")
-    ranked = image.select("vox", "value").withColumn("c", F.row_number().over(low))
-    some = ranked.where(F.col("c") <= most)
-    kinds = some.groupBy("value").agg(F.array_sort(F.collect_list("vox")).alias("ids"))
-    order = Window.orderBy("value")  # one row a distinct intensity
-    near = kinds.withColumn("near", F.collect_list(F.struct("value", "ids")).over(order.rowsBetween(-most, most)))
+    some = image.select("vox", "value").withColumn("c", F.row_number().over(low)).where(F.col("c") <= most)
+    kinds = some.groupBy("value").agg(F.array_sort(F.collect_list("vox")).alias("ids")).withColumn("one", F.lit(1))
+    kinds = exclusive_prefix_all(kinds, ["value"], "one").select("value", "ids", F.col("start").cast("long").alias("pos"))
+    first, last = F.greatest(F.floor((F.col("pos") - most) / block), F.lit(0)), F.floor((F.col("pos") + most) / block)
+    held = kinds.withColumn("b", F.explode(F.sequence(first, last)))
+    order = Window.partitionBy("b").orderBy("pos").rowsBetween(-most, most)
+    near = held.withColumn("near", F.collect_list(F.struct("value", "ids")).over(order)).where(F.col("b") == F.floor(F.col("pos") / block))
     e = image.select(F.col("vox").alias("i"), "value").join(near.select("value", "near"), "value")
     e = e.select("i", "value", F.explode("near").alias("m")).select("i", F.abs(F.col("value") - F.col("m.value")).alias("d"), F.explode("m.ids").alias("j"))
     e = e.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rn") <= most)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,28 @@ def siddon(lors: DataFrame, g: Grid = GRID, tof: tuple[float, float] | None = No
     All plane crossings of a line are one sorted array, neighbours are its
     segments, and a segment's midpoint names its voxel: no join and no shuffle.
     """
+    e, segment = _crossed(lors, g, tof, keep)
+    e = e.select(*keep, *_LINE, *(["tof_ps"] if tof and "tof_ps" not in keep else []), F.explode("__pairs").alias("s")).where(F.col("s.b") - F.col("s.a") > LEAST)
+    vox, w = segment(F.col("s.a"), F.col("s.b"))
+    return e.select(*keep, vox.alias("vox"), w.alias("w"))
+
+
+def siddon_segments(lors: DataFrame, g: Grid = GRID, tof: tuple[float, float] | None = None, keep: tuple[str, ...] = ("bin",)) -> DataFrame:
+    """(keep, segments): one row a line that meets the field of view, with the (vox, w) of siddon as an array."""
+    e, segment = _crossed(lors, g, tof, keep)
+
+    def one(s: Column) -> Column:
+        vox, w = segment(s["a"], s["b"])
+        return F.struct(vox.alias("vox"), w.alias("w"))
+
+    return e.select(*keep, F.transform(F.filter("__pairs", lambda s: s["b"] - s["a"] > LEAST), one).alias("segments"))
+
+
+_LINE = [*[f"__p{a}1" for a in "xyz"], *[f"__d{a}" for a in "xyz"], "__len"]
+
+
+def _crossed(lors: DataFrame, g: Grid, tof: tuple[float, float] | None, keep: tuple[str, ...]) -> tuple[DataFrame, Callable[[Column, Column], tuple[Column, Column]]]:
+    """(lines with their neighbouring crossings as __pairs (a, b), (voxel, weight) of a pair)."""
     n, v, o = (g.nx, g.ny, g.nz), (g.vx, g.vy, g.vz), (g.ox, g.oy, g.oz)
     e = lors.withColumns({f"__p{a}{k}": F.col(f"{a}{k}") - F.lit(o[i]) for i, a in enumerate("xyz") for k in "12"})
     e = e.withColumns({f"__d{a}": F.col(f"__p{a}2") - F.col(f"__p{a}1") for a in "xyz"})
@@ -43,9 +67,9 @@ def siddon(lors: DataFrame, g: Grid = GRID, tof: tuple[float, float] | None = No
     if tof:
         sigma = tof_sigma(tof[0])
         at = F.col("tof_ps") * (C_MM_PS * 0.5)
-        lo.append(F.lit(0.5) + (at - tof[1] * sigma) / F.col("__len"))
-        hi.append(F.lit(0.5) + (at + tof[1] * sigma) / F.col("__len"))
-    e = e.withColumns({"__lo": F.greatest(*lo), "__hi": F.least(*hi)}).where("__hi > __lo")
+        lo.append(F.lit(0.5) + F.try_divide(at - tof[1] * sigma, F.col("__len")))
+        hi.append(F.lit(0.5) + F.try_divide(at + tof[1] * sigma, F.col("__len")))
+    e = e.withColumns({"__lo": F.greatest(*lo), "__hi": F.least(*hi)}).where("__len > 0 AND __hi > __lo")
 
     def crossings(i: int, a: str) -> Column:
         at = lambda k: (k * F.lit(v[i]) - F.lit(n[i] * v[i] / 2) - F.col(f"__p{a}1")) / F.col(f"__d{a}")
@@ -55,15 +79,18 @@ def siddon(lors: DataFrame, g: Grid = GRID, tof: tuple[float, float] | None = No
     inside = F.filter(F.concat(*cuts), lambda x: x.isNotNull() & (x > F.col("__lo")) & (x < F.col("__hi")))
     e = e.withColumn("__cut", F.array_sort(F.concat(F.array("__lo", "__hi"), inside)))
     pairs = F.transform(F.sequence(F.lit(1), F.size("__cut") - 1), lambda k: F.struct(F.get("__cut", k - 1).alias("a"), F.get("__cut", k).alias("b")))
-    e = e.select(*keep, *[f"__p{a}1" for a in "xyz"], *[f"__d{a}" for a in "xyz"], "__len", *(["tof_ps"] if tof else []), F.explode(pairs).alias("s"))
-    e = e.where(F.col("s.b") - F.col("s.a") > LEAST)
-    mid = (F.col("s.a") + F.col("s.b")) / 2
-    index = [F.least(F.greatest(F.floor((F.col(f"__p{a}1") + mid * F.col(f"__d{a}") + F.lit(n[i] * v[i] / 2)) / v[i]), F.lit(0)), F.lit(n[i] - 1)) for i, a in enumerate("xyz")]
-    w = (F.col("s.b") - F.col("s.a")) * F.col("__len")
-    if tof:
-        off = (mid - F.lit(0.5)) * F.col("__len") - F.col("tof_ps") * (C_MM_PS * 0.5)
-        w = w * F.exp(F.lit(-0.5) * (off / sigma) * (off / sigma)) * (1 / ((2 * 3.141592653589793) ** 0.5 * sigma))
-    return e.select(*keep, (index[0] + index[1] * g.nx + index[2] * g.nx * g.ny).alias("vox"), w.alias("w"))
+    e = e.select(*keep, *_LINE, *(["tof_ps"] if tof and "tof_ps" not in keep else []), pairs.alias("__pairs"))
+
+    def segment(a: Column, b: Column) -> tuple[Column, Column]:
+        mid = (a + b) / 2
+        index = [F.least(F.greatest(F.floor((F.col(f"__p{c}1") + mid * F.col(f"__d{c}") + F.lit(n[i] * v[i] / 2)) / v[i]), F.lit(0)), F.lit(n[i] - 1)) for i, c in enumerate("xyz")]
+        w = (b - a) * F.col("__len")
+        if tof:
+            off = (mid - F.lit(0.5)) * F.col("__len") - F.col("tof_ps") * (C_MM_PS * 0.5)
+            w = w * F.exp(F.lit(-0.5) * (off / sigma) * (off / sigma)) * (1 / ((2 * 3.141592653589793) ** 0.5 * sigma))
+        return index[0] + index[1] * g.nx + index[2] * g.nx * g.ny, w
+
+    return e, segment
 
 
 def multi_ray(lors: DataFrame, rays: int, size: float = 1.0, key: str = "bin") -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomoframe.operators import image as img
-from tomoframe.operators import lookup, project
+from tomoframe.operators import lookup, project, temporal
+from tomoframe.sources.views import GRID, Grid
 
 #: Start value of a voxel, floor of an estimate.
 START, FLOOR = 0.125, 1e-35
@@ -120,35 +121,156 @@ def osem(matrix: DataFrame, data: DataFrame, sens: DataFrame, iterations: int, s
     return image
 
 
+# --- expectation maximisation on lines that carry their segments
+
+#: Voxels of an image that goes to every task as one array; larger ones are met in slabs of so many.
+SLAB_VOXELS = 1 << 23
+
+
+def em_lines(
+    events: DataFrame, g: Grid = GRID, tof: tuple[float, float] | None = None, motion: DataFrame | None = None, rays: int = 1,
+    crystal: tuple[float, float, float] = (0.0, 0.0, 0.0), key: str = "event_id", data: tuple[str, ...] = ("value", "sens", "atten", "randoms", "scatter", "invivo"),
+) -> DataFrame:
+    """(key, data, segments): one row a line with all its (vox, w); lines outside the field of view are left out.
+
+    events has x1 .. z2, key and the columns of data; with tof also tof_ps,
+    with motion (rows of RIGID transforms) ts_ms, with rays > 1 the crystals'
+    normals, whose size is crystal (axial, across, depth): the weights are then
+    the average over the rays, gathered by line once, in one exchange.
+    """
+    e = events
+    if rays > 1:
+        e = project.crystal_rays(e, rays, *crystal, key=key)
+    if motion is not None:
+        e = temporal.move_rigid(temporal.motion_asof(e, motion, temporal.RIGID))
+    e = project.siddon_segments(e, g, tof, (key, *data))
+    if rays > 1:
+        share = F.transform(F.flatten(F.collect_list("segments")), lambda s: F.struct(s["vox"].alias("vox"), (s["w"] / rays).alias("w")))
+        e = e.groupBy(key).agg(*[F.first(c).alias(c) for c in data], share.alias("segments"))
+    return e
+
+
+def fold(lines: DataFrame, image: DataFrame, g: Grid = GRID, key: str = "event_id", slab: int = SLAB_VOXELS) -> DataFrame:
+    """lines with proj: the sum of w * x over their segments; image is (vox, value), absent voxels are 0.
+
+    An image of at most `slab` voxels goes to every task as one array, and the
+    sum is taken within the row.  A larger one is cut into slabs of
+    consecutive voxels: lines meet a slab's array by an equi join on its
+    number, are added up there, and their partial sums by line.
+    """
+    size = -(-g.voxels // slab)
+    number = F.floor(F.col("vox") / slab)
+    cells = image.groupBy(number.alias("__slab")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("vox") % slab).alias("k"), F.col("value").alias("v")))).alias("__m"))
+    cells = cells.select("__slab", F.transform(F.sequence(F.lit(0), F.lit(min(slab, g.voxels) - 1)), lambda k: F.coalesce(F.try_element_at("__m", k.cast("long")), F.lit(0.0))).alias("__x"))
+    sum_of = lambda s: F.aggregate(s, F.lit(0.0), lambda acc, t: acc + t["w"] * F.get("__x", (t["vox"] % slab).cast("int")))
+    if size == 1:
+        row = F.broadcast(cells.select("__x"))  # one array of at most `slab` values
+        return lines.crossJoin(row).withColumn("proj", sum_of(F.col("segments"))).drop("__x")
+    own = F.array_distinct(F.transform("segments", lambda t: F.floor(t["vox"] / slab)))
+    parts = lines.select(key, "segments", F.explode(own).alias("__slab"))
+    parts = parts.withColumn("segments", F.filter("segments", lambda t: F.floor(t["vox"] / slab) == F.col("__slab")))
+    sums = parts.join(cells, "__slab").groupBy(key).agg(F.sum(sum_of(F.col("segments"))).alias("proj"))
+    return lines.join(sums, key, "left").withColumn("proj", F.coalesce("proj", F.lit(0.0)))
+
+
+def unfold(lines: DataFrame, value: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, vox, value): the sum of w * value over the lines' segments; each task adds up its own before the exchange."""
+    e = lines.withColumn("__y", value).where(F.col("__y") != 0).select(*by, "__y", F.explode("segments").alias("s"))
+    return e.groupBy(*by, "s.vox").agg(F.sum(F.col("s.w") * F.col("__y")).alias("value"))
+
+
+def em_step(lines: DataFrame, image: DataFrame, g: Grid = GRID, key: str = "event_id", floor: float = FLOOR, slab: int = SLAB_VOXELS) -> DataFrame:
+    """(t, vox, value): back projection of data / estimate, without a matrix: the estimate and the ratio are made within the row."""
+    e = lookup.em_ratio(fold(lines, image, g, key, slab), floor)
+    return unfold(e, F.col("ratio")).select(F.lit(0).alias("t"), "vox", "value")
+
+
+def sensitivity_of(lines: DataFrame, threshold: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """(vox, sens) of lines with sens and atten."""
+    return _above(unfold(lines, F.col("sens") * F.col("atten")), threshold, scale)
+
+
+def osem_lines(
+    lines: DataFrame, sens: DataFrame, iterations: int, subsets: int, g: Grid = GRID, key: str = "event_id", threshold: float = 0.0,
+    given: DataFrame | None = None, mask: DataFrame | None = None, slab: int = SLAB_VOXELS,
+) -> DataFrame:
+    """(t, vox, value) after iterations x subsets updates of em_step; subset k has lines with key % subsets = k.
+
+    The lines are written once, by subset; an update reads its own and the
+    image, and exchanges sums by voxel.  The image is written after each.
+    """
+    image = cut(start_image(sens, given=given, mask=mask), "image0")
+    own = F.pmod(F.col(key), F.lit(subsets)).cast("int")
+    lines = cut(lines.withColumn("__subset", own), "lines", "__subset")
+    scaled = sens.withColumn("sens", F.col("sens") / subsets)
+    for it in range(iterations):
+        for k in range(subsets):
+            update = em_step(lines.where(F.col("__subset") == k).drop("__subset"), image.select("vox", "value"), g, key, slab=slab)
+            zeros = image.select("t", "vox", F.lit(0.0).alias("value"))
+            update = update.unionByName(zeros).groupBy("t", "vox").agg(F.sum("value").alias("value"))
+            image = cut(img.em_update(image, update, scaled, threshold), f"image{it}-{k}")
+    return image
+
+
+# --- low rank
+
+
+def _vectors(table: DataFrame, by: str, value: str, ranks: list[int], name: str) -> DataFrame:
+    """(by, name): the values of a table (rank, by, value) as one array, in the order of ranks; absent ones are 0."""
+    held = table.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("rank", value))).alias("__m"))
+    return held.select(by, F.array(*[F.coalesce(F.try_element_at("__m", F.lit(r)), F.lit(0.0)) for r in ranks]).alias(name))
+
+
+def _ranks(h: DataFrame) -> list[int]:
+    return sorted(r["rank"] for r in h.select("rank").distinct().collect())  # a short table
+
+
 def low_rank_forward(matrix: DataFrame, w: DataFrame, h: DataFrame, frames: DataFrame) -> DataFrame:
-    """(bin, value): sum of weight * W[rank, vox] * H[rank, frame of the bin]; H is a short table."""
-    x = frames.join(h, "frame").select("bin", "rank", "h")
-    e = matrix.join(x, "bin").join(w.select("rank", "vox", F.col("value").alias("__w")), ["rank", "vox"])
-    return e.groupBy("bin").agg(F.sum(F.col("w") * F.col("__w") * F.col("h")).alias("value"))
+    """(bin, value): sum of weight * W[rank, vox] * H[rank, frame of the bin]; H is a short table.
+
+    Ranks go together as one array a voxel and one a frame, so the join has a
+    row for each weight, whatever their number.
+    """
+    ranks = _ranks(h)
+    x = frames.join(_vectors(h, "frame", "h", ranks, "__h"), "frame").select("bin", "__h")
+    e = matrix.join(x, "bin").join(_vectors(w, "vox", "value", ranks, "__w"), "vox")
+    dot = F.aggregate(F.zip_with("__w", "__h", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    return e.groupBy("bin").agg(F.sum(F.col("w") * dot).alias("value"))
+
+
+def low_rank_sums(matrix: DataFrame, data: DataFrame, frames: DataFrame) -> DataFrame:
+    """(vox, frame, s): the sum of weight * y by voxel and frame, from which both updates follow without the matrix."""
+    y = data.where("value <> 0").select("bin", F.col("value").alias("__y")).join(frames.select("bin", "frame"), "bin")
+    return matrix.join(y, "bin").groupBy("vox", "frame").agg(F.sum(F.col("w") * F.col("__y")).alias("s"))
+
+
+def update_w(sums: DataFrame, h: DataFrame) -> DataFrame:
+    """(rank, vox, value): sum over frames of s * H[rank, frame]."""
+    return sums.join(h, "frame").groupBy("rank", "vox").agg(F.sum(F.col("s") * F.col("h")).alias("value"))
+
+
+def update_h(sums: DataFrame, w: DataFrame) -> DataFrame:
+    """(rank, frame, value): sum over voxels of s * W[rank, vox]."""
+    return sums.join(w.select("rank", "vox", F.col("value").alias("__w")), "vox").groupBy("rank", "frame").agg(F.sum(F.col("s") * F.col("__w")).alias("value"))
 
 
 def low_rank_back_w(matrix: DataFrame, data: DataFrame, h: DataFrame, frames: DataFrame) -> DataFrame:
     """(rank, vox, value): sum of weight * y * H[rank, frame]."""
-    y = data.where("value <> 0").select("bin", F.col("value").alias("__y")).join(frames, "bin").join(h, "frame")
-    return matrix.join(y, "bin").groupBy("rank", "vox").agg(F.sum(F.col("w") * F.col("__y") * F.col("h")).alias("value"))
+    return update_w(low_rank_sums(matrix, data, frames), h)
 
 
 def low_rank_back_h(matrix: DataFrame, data: DataFrame, w: DataFrame, frames: DataFrame) -> DataFrame:
     """(rank, frame, value): sum of weight * y * W[rank, vox]."""
-    y = data.where("value <> 0").select("bin", F.col("value").alias("__y")).join(frames, "bin")
-    e = matrix.join(y, "bin").join(w.select("rank", "vox", F.col("value").alias("__w")), "vox")
-    return e.groupBy("rank", "frame").agg(F.sum(F.col("w") * F.col("__y") * F.col("__w")).alias("value"))
+    return update_h(low_rank_sums(matrix, data, frames), w)
 
 
 def low_rank_dual(matrix: DataFrame, data: DataFrame, w: DataFrame, h: DataFrame, frames: DataFrame) -> DataFrame:
     """(rank, vox, frame, value): the updates of W (frame null) and of H (vox null) from one pass over the matrix."""
-    y = data.where("value <> 0").select("bin", F.col("value").alias("__y")).join(frames, "bin").join(h, "frame")
-    e = matrix.join(y, "bin").join(w.select("rank", "vox", F.col("value").alias("__w")), ["rank", "vox"])
-    part = F.col("w") * F.col("__y")
-    both = e.select("rank", "vox", "frame", (part * F.col("h")).alias("__dw"), (part * F.col("__w")).alias("__dh"))
-    keys = [F.col(c) for c in ("rank", "vox", "frame")]
-    got = both.groupingSets([[keys[0], keys[1]], [keys[0], keys[2]]], *keys).agg(F.sum("__dw").alias("__dw"), F.sum("__dh").alias("__dh"))
-    return got.select(*keys, F.when(F.col("frame").isNull(), F.col("__dw")).otherwise(F.col("__dh")).alias("value"))
+    sums = low_rank_sums(matrix, data, frames)
+    kinds = dict(h.dtypes)
+    one = update_w(sums, h).select("rank", "vox", F.lit(None).cast(kinds["frame"]).alias("frame"), "value")
+    two = update_h(sums, w).select("rank", F.lit(None).cast(dict(w.dtypes)["vox"]).alias("vox"), "frame", "value")
+    return one.unionByName(two)
 
 
 def low_rank_sensitivity_h(w: DataFrame, sens: DataFrame) -> DataFrame:
@@ -181,20 +303,20 @@ def low_rank_em(
     whole = w.select("vox").distinct().join(sens.select("vox", "sens"), "vox", "left")
     scaled = cut(whole.select("vox", (F.coalesce("sens", F.lit(0.0)) / subsets).alias("sens")), "sens")
     rows = data.join(frames.select("bin"), "bin", "left_semi")
+    if subsets > 1:  # a folder for each subset, so that an update reads its own part alone
+        own = F.pmod("bin", F.lit(subsets)).cast("int")
+        matrix, rows = (cut(t.withColumn("__subset", own), n, "__subset") for t, n in ((matrix, "matrix"), (rows, "rows")))
     for it in range(iterations):
         for k in range(subsets):
-            m, d = (t.where(F.pmod("bin", F.lit(subsets)) == k) if subsets > 1 else t for t in (matrix, rows))
+            m, d = (t.where(F.col("__subset") == k).drop("__subset") if subsets > 1 else t for t in (matrix, rows))
             proj = low_rank_forward(m, w, h, frames).withColumnRenamed("value", "proj")
             ratio = lookup.em_ratio(d.join(proj, "bin", "left").withColumn("proj", F.coalesce("proj", F.lit(0.0))), floor)
             ratio = ratio.select("bin", F.col("ratio").alias("value"))
             new_h = update == "h" or (update == "dual" and it > 0)
+            sums = low_rank_sums(m, ratio, frames)
             if update != "h" and new_h:
-                both = cut(low_rank_dual(m, ratio, w, h, frames), f"dual{it}-{k}")
-                uw, uh = both.where("frame IS NULL"), both.where("vox IS NULL")
-            elif new_h:
-                uh = low_rank_back_h(m, ratio, w, frames)
-            else:
-                uw = low_rank_back_w(m, ratio, h, frames)
+                sums = cut(sums, f"sums{it}-{k}")  # read twice
+            uw, uh = update_w(sums, h), update_h(sums, w)
             old_w, old_h = w, h
             if update != "h":
                 filled = uw.select("rank", "vox", "value").unionByName(old_w.select("rank", "vox", F.lit(0.0).alias("value")))

@@ -50,25 +50,34 @@ def motion_intervals(motion: DataFrame) -> DataFrame:
     return motion.withColumns({"t_next": nxt, "duration": F.coalesce(nxt - F.col("t_start"), F.col("t_start") - prev, F.lit(1))})
 
 
-def motion_asof(rows: DataFrame, motion: DataFrame, carry: tuple[str, ...] = TURN) -> DataFrame:
+#: Ranges of time that an as-of join makes of either side, and the share of rows that their bounds are drawn from.
+RANGES, SAMPLED = 32, 0.05
+
+
+def _range_bounds(rows: DataFrame, motion: DataFrame, ranges: int, share: float) -> list[int]:
+    """Bounds of time at the quantiles of a sample of the rows, and at those of the motion rows; they decide the balance, never the result."""
+    at = [k / ranges for k in range(1, ranges)]
+    of = lambda d, c: d.agg(F.percentile_approx(F.col(c), at, 1000)).first()[0] or []
+    return sorted({*of(rows.select("ts_ms").sample(share, 17), "ts_ms"), *of(motion, "t_start")})
+
+
+def motion_asof(rows: DataFrame, motion: DataFrame, carry: tuple[str, ...] = TURN, ranges: int = RANGES, share: float = SAMPLED) -> DataFrame:
     """Adds motion_frame (-1 before the first) and the transform of the latest row that began: a backward as-of join.
 
-    Each motion row stands in the time buckets that its interval touches, and
-    rows meet it by an equi join on the bucket, so neither side is multiplied
-    and Spark may broadcast or shuffle as sizes suggest.  Buckets are as wide
-    as a motion row lasts on average, which keeps about two of them a row.
+    Time is cut into ranges at quantiles of both sides, so that neither crowded
+    motion rows nor the many rows after the last one share a range.  Each
+    motion row stands in the ranges that its interval touches, at most as many
+    rows as there are motion rows and bounds, and rows meet it by an equi join
+    on their range; Spark may broadcast or shuffle as sizes suggest.
     """
-    low, high, n = motion.agg(F.min("t_start"), F.max("t_start"), F.count("*")).first()
-    if not n:
-        none = {k: F.lit(None).cast("double") for k in carry}
-        return rows.withColumns({"motion_frame": F.lit(-1)} | none)
-    width = max(1, (high - low) // n)
-    bucket = lambda t: F.floor((t - low) / width)
-    last = F.lit((high - low) // width)
+    bounds = _range_bounds(rows, motion, ranges, share)
+    table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    bucket = lambda t: F.size(F.filter(table, lambda b: b <= t))
     m = motion_intervals(motion)
-    m = m.withColumn("__b", F.explode(F.sequence(bucket(F.col("t_start")), F.coalesce(bucket(F.col("t_next") - 1), last))))
+    last = F.when(F.col("t_next").isNull(), F.lit(len(bounds))).otherwise(bucket(F.col("t_next") - 1))
+    m = m.where("t_next IS NULL OR t_next > t_start").withColumn("__b", F.explode(F.sequence(bucket(F.col("t_start")), last)))
     m = m.select("__b", F.col("frame").alias("__f"), "t_start", "t_next", *carry)
-    e = rows.withColumn("__b", F.least(bucket(F.col("ts_ms")), last)).alias("e")
+    e = rows.withColumn("__b", bucket(F.col("ts_ms"))).alias("e")
     on = (F.col("e.__b") == F.col("m.__b")) & (F.col("ts_ms") >= F.col("t_start")) & (F.col("t_next").isNull() | (F.col("ts_ms") < F.col("t_next")))
     out = e.join(m.alias("m"), on, "left").withColumn("motion_frame", F.coalesce("__f", F.lit(-1)))
     return out.drop(F.col("e.__b"), F.col("m.__b")).drop("__f", "t_start", "t_next")

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tomoframe.functions import geometry as geo
-from tomoframe.operators import aggregate, kinetic, project, recon, scatter
-from tomoframe.plans.slate import BINNED_HIST, CELL_KEY, DET, DH, EM, FACTORS, HIST, LM, LOR, RM, SENS, SH, SIDDON, SQL, TAC, TURN, VOX, _ang, _dd_lors, _pla, _sql_siddon, cell_values, em_data, lors, matrix, query, r
+from tomoframe.operators import aggregate, kinetic, project, recon, scatter, temporal
+from tomoframe.plans.slate import BINNED_HIST, CELL_KEY, DET, DH, EM, FACTORS, HIST, INTERVALS, LM, LOR, RM, SENS, SH, SIDDON, SQL, TAC, TURN, VOX, _ang, _dd_lors, _pla, _sql_siddon, cell_values, em_data, em_lines, lors, matrix, query, r
+from tomoframe.plans.volumes import POSES, SQL_POSES
 from tomoframe.sources import formats, views
 
 # --- files
@@ -86,10 +87,35 @@ _START = "x0 AS (SELECT vox, CASE WHEN s > 0 THEN 0.125e0 ELSE 0e0 END AS x, s F
 )
 def osem_from_image(spark, sf):
     """One iteration of three subsets from a given image under a mask."""
-    m, d = recon.cut(matrix(spark, sf), "matrix"), recon.cut(em_data(spark, sf), "data")
-    s = recon.sensitivity(m, d.select("event_id", (F.col("sens") * F.col("atten")).alias("value")), key="event_id")
+    lines = recon.cut(em_lines(spark, sf), "lines")
     mask = views.sens(spark, sf).withColumnRenamed("sens", "value")
-    return recon.osem(m, d, s, 1, 3, "event_id", given=views.voxels(spark, sf), mask=mask).select("vox", r("value", 5).alias("value"))
+    return recon.osem_lines(lines, recon.sensitivity_of(lines), 1, 3, given=views.voxels(spark, sf), mask=mask).select("vox", r("value", 5).alias("value"))
+
+
+_TIMED_SM = _sql_siddon("ml", "rid", (500.0, 3.0))
+_U3 = [f"(CASE WHEN ray = 0 THEN 0e0 ELSE nr * {s!r}::DOUBLE - floor(nr * {s!r}::DOUBLE) - 0.5e0 END)" for s in project.RAY_STEPS]
+_ENDS3 = ", ".join(
+    f"x{k} + ny{k} * ({_U3[j]} * {side} * 3e0 / sqrt(nx{k} * nx{k} + ny{k} * ny{k})) + nx{k} * {_U3[m]} * 8e0 AS x{k}, y{k} - nx{k} * ({_U3[j]} * {side} * 3e0 / sqrt(nx{k} * nx{k} + ny{k} * ny{k})) + ny{k} * {_U3[m]} * 8e0 AS y{k}, z{k} + {_U3[i]} * 5e0 + nz{k} * {_U3[m]} * 8e0 AS z{k}"
+    for k, side, (i, j, m) in (("1", 1, (0, 1, 4)), ("2", -1, (2, 3, 5)))
+)
+
+
+@query(
+    "SELECT vox, round(x, 5) + 0e0 AS value FROM x2",
+    LM, DET, SQL_POSES, INTERVALS,
+    "ln AS (SELECT event_id, ts_ms, tof_ps, (event_id * 2 + ray) % 1000003 AS nr, ray, event_id * 2 + ray AS rid, a.x AS x1, a.y AS y1, a.z AS z1, a.nx AS nx1, a.ny AS ny1, a.nz AS nz1, b.x AS x2, b.y AS y2, b.z AS z2, b.nx AS nx2, b.ny AS ny2, b.nz AS nz2 FROM lm JOIN det a ON a.det_id = d1 JOIN det b ON b.det_id = d2, range(2) AS rays(ray))",
+    f"rl AS (SELECT rid, ts_ms, tof_ps, {_ENDS3} FROM ln)",
+    "ml AS (SELECT rid, tof_ps, " + ", ".join(f"coalesce(r{i}0 * x{k} + r{i}1 * y{k} + r{i}2 * z{k} + t{a}, {a}{k}) AS {a}{k}" for k in "12" for i, a in enumerate("xyz")) + " FROM rl LEFT JOIN mi ON ts_ms >= t_start AND (t_next IS NULL OR ts_ms < t_next))",
+    _TIMED_SM.replace("sm AS (", "s8 AS ("), "sm AS (SELECT rid // 2 AS event_id, vox, w / 2 AS w FROM s8)",
+    HIST, SH, FACTORS, EM, _sql_subset(0, 0, 2), _sql_subset(1, 1, 2),
+)
+def osem_motion_tof(spark, sf):
+    """One iteration of two subsets over lines that are moved, weighted by time of flight and averaged over two rays."""
+    d = em_data(spark, sf)
+    faced = _dd_lors(spark, sf).drop("randoms").join(d.select("event_id", "value", "sens", "atten", "randoms", "scatter", "invivo"), "event_id")
+    poses = spark.createDataFrame(POSES, "frame int, t_start long, " + ", ".join(f"{c} double" for c in temporal.RIGID))
+    lines = recon.cut(recon.em_lines(faced, tof=(500.0, 3.0), motion=poses, rays=2, crystal=(5.0, 3.0, 8.0)), "lines")
+    return recon.osem_lines(lines, recon.sensitivity_of(lines), 1, 2).select("vox", r("value", 5).alias("value"))
 
 
 @query(

@@ -656,6 +656,11 @@ def em_data(spark, sf):
     return factors(spark, sf).withColumns({"value": F.lit(1e0), "invivo": F.lit(1e0)})
 
 
+def em_lines(spark, sf):
+    """Each event with its corrections and its segments."""
+    return recon.em_lines(geo.with_lor(em_data(spark, sf), geo.det_lut(spark)))
+
+
 @query("SELECT event_id, round(ratio, 5) + 0e0 AS ratio FROM ra", LM, DET, LOR, SIDDON, HIST, SH, FACTORS, EM)
 def em_ratio(spark, sf):
     m, d = matrix(spark, sf), em_data(spark, sf)
@@ -667,17 +672,15 @@ def em_ratio(spark, sf):
 
 @query("SELECT vox, round(CASE WHEN s > 0 THEN x * coalesce(u, 0e0) / s ELSE x END, 5) + 0e0 AS value FROM x0 LEFT JOIN up USING (vox)", LM, DET, LOR, SIDDON, HIST, SH, FACTORS, EM)
 def osem_one_iteration(spark, sf):
-    m, d = recon.cut(matrix(spark, sf), "matrix"), recon.cut(em_data(spark, sf), "data")
-    s = recon.sensitivity(m, d.select("event_id", (F.col("sens") * F.col("atten")).alias("value")), key="event_id")
-    return recon.osem(m, d, s, 1, 1, "event_id").select("vox", r("value", 5).alias("value"))
+    lines = recon.cut(em_lines(spark, sf), "lines")
+    return recon.osem_lines(lines, recon.sensitivity_of(lines), 1, 1).select("vox", r("value", 5).alias("value"))
 
 
 @query(None)
 def osem_subsets(spark, sf):
     """Two iterations of two subsets; checked against numpy in the tests."""
-    m, d = recon.cut(matrix(spark, sf), "matrix"), recon.cut(em_data(spark, sf), "data")
-    s = recon.sensitivity(m, d.select("event_id", (F.col("sens") * F.col("atten")).alias("value")), key="event_id")
-    return recon.osem(m, d, s, 2, 2, "event_id").select("vox", r("value", 5).alias("value"))
+    lines = recon.cut(em_lines(spark, sf), "lines")
+    return recon.osem_lines(lines, recon.sensitivity_of(lines), 2, 2).select("vox", r("value", 5).alias("value"))
 
 
 def _dd_lors(spark, sf):
