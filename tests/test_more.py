@@ -160,3 +160,37 @@ def test_convolution_against_numpy(spark, border, block):
     assert np.allclose(got, want, equal_nan=True)
     with pytest.raises(ValueError):
         convolve.convolve(spark.createDataFrame(rows, "t int, vox long, value double"), np.zeros((1, 1, 99)), g, "mirror")
+
+
+def test_projectors_by_name_are_adjoint_and_say_what_they_need(spark):
+    from tomoframe.operators.projectors import Projector
+    from tomoframe.plans import volumes
+
+    e = volumes._faced(spark, "/root/testdata/sf0.001").where("event_id < 300").withColumnRenamed("randoms", "value")
+    x = spark.range(256).selectExpr("id AS vox", "1D + id % 7 AS value")
+    for p in (Projector(), Projector("siddon", tof=(500.0, 3.0)), Projector("siddon", rays=3, crystal=(5.0, 3.0, 8.0)), Projector("dd", tof=(500.0, 3.0), crystal=(9.0, 12.0, 0.0))):
+        a = p.forward(e, x, "event_id").withColumnRenamed("value", "p").join(e, "event_id").agg(F.sum(F.col("p") * F.col("value"))).first()[0]
+        b = p.back(e, "event_id").withColumnRenamed("value", "u").join(x, "vox").agg(F.sum(F.col("u") * F.col("value"))).first()[0]
+        assert a > 0 and a == pytest.approx(b)
+    with pytest.raises(ValueError, match="nx1"):
+        Projector("dd").forward(e.drop("nx1"), x, "event_id")
+    for bad in ({"name": "none"}, {"name": "siddon", "psf": volumes.ACROSS}, {"name": "dd", "rays": 2}):
+        with pytest.raises(ValueError):
+            Projector(**bad)
+
+
+def test_scanner_files():
+    import json
+
+    from tomoframe.functions import geometry as geo
+
+    raw = {"VERSION": 3.1, "scannerName": "s", "axialFOV": 200, "crystalSize_z": 1, "crystalSize_trans": 2, "crystalDepth": 10, "scannerRadius": 150, "detsPerRing": 48, "num_rings": 12, "numDOI": 2, "max_ring_diff": 8, "minAngDiff": 6, "fwhm": 80.5}
+    f = geo.scanner_file(json.dumps(raw))
+    assert (f.name, f.scanner.rings, f.scanner.dets_per_block, f.scanner.crystal_size_trans, f.fwhm, f.mask) == ("s", 12, 1, 2.0, 80.5, None)
+    assert geo.Scanner.from_json(json.dumps(raw | {"dets_per_block": 4, "detCoord": "d.lut"})).dets_per_block == 4
+    for k in set(raw) - {"fwhm"}:
+        with pytest.raises(ValueError, match="missing"):
+            geo.scanner_file(json.dumps({n: v for n, v in raw.items() if n != k}))
+    for bad, said in ((json.dumps(raw | {"VERSION": 3.3}), "newer"), ("{", "no JSON")):
+        with pytest.raises(ValueError, match=said):
+            geo.scanner_file(bad)

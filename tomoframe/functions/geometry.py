@@ -56,10 +56,61 @@ class Scanner:
 
     @staticmethod
     def from_json(text: str) -> Scanner:
-        """Keys in camel or snake case; a missing mandatory key raises KeyError."""
-        raw = {k.replace("_", "").lower(): v for k, v in json.loads(text).items()}
-        names = {"axial_fov": "axialfov", "crystal_size_z": "crystalsizez", "crystal_size_trans": "crystalsizetrans", "crystal_depth": "crystaldepth", "radius": "scannerradius", "dets_per_ring": "detsperring", "rings": "numrings", "num_doi": "numdoi", "max_ring_diff": "maxringdiff", "min_ang_diff": "minangdiff", "dets_per_block": "detsperblock"}
-        return Scanner(**{k: raw[v] for k, v in names.items()})
+        """The geometry of a scanner definition; see scanner_file."""
+        return scanner_file(text).scanner
+
+
+#: Newest version of a scanner definition that is understood (fixed value).
+NEWEST = 3.2
+
+
+@dataclass(frozen=True)
+class ScannerFile:
+    """A scanner definition: name, version, geometry, what scatter needs (None if not given), and the files it names."""
+
+    name: str
+    version: float
+    scanner: Scanner
+    collimator: float | None = None
+    fwhm: float | None = None
+    lld: float | None = None
+    coordinates: str | None = None
+    mask: str | None = None
+
+
+def json_value(raw: dict, *names: str, default: object = None, needed: bool = False) -> object:
+    """The value under the first of some names that is there, else the default; a needed one that is missing is an error."""
+    for n in names:
+        if n in raw:
+            return raw[n]
+    if needed:
+        raise ValueError(f"{names[0]} is missing")
+    return default
+
+
+def scanner_file(text: str) -> ScannerFile:
+    """A scanner definition from JSON.
+
+    The version, the name, the sizes and the counts are needed; crystals per
+    block are 1 where they are not given.  A newer version is an error.
+    """
+    try:
+        raw = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ValueError("the scanner definition is no JSON") from e
+    need = lambda *n: json_value(raw, *n, needed=True)
+    version = float(need("VERSION"))
+    if version > NEWEST + 1e-6:
+        raise ValueError(f"version {version} is newer than {NEWEST}")
+    sizes = {"axial_fov": "axialFOV", "crystal_size_z": "crystalSize_z", "crystal_size_trans": "crystalSize_trans", "crystal_depth": "crystalDepth", "radius": "scannerRadius"}
+    counts = {"dets_per_ring": "detsPerRing", "rings": "numRings", "num_doi": "numDOI", "max_ring_diff": "maxRingDiff", "min_ang_diff": "minAngDiff"}
+    other = {"rings": "num_rings"}
+    given = {k: float(need(v)) for k, v in sizes.items()} | {k: int(need(other.get(k, k), v)) for k, v in counts.items()}
+    given["dets_per_block"] = int(json_value(raw, "dets_per_block", "detsPerBlock", default=1))
+    return ScannerFile(
+        need("scannerName"), version, Scanner(**given),
+        *(json_value(raw, k) for k in ("collimatorRadius", "fwhm", "energyLLD", "detCoord", "detMask")),
+    )
 
 
 FAKE = Scanner()

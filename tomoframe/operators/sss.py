@@ -20,6 +20,10 @@ SHIFTS = (0.8191725133961645, 0.6710436067037893, 0.5497004779019703)
 LEAST_MU, LEAST_CELLS, EPS = 0.005, 5, 1.1920929e-7
 
 
+#: Fewest points that a simulation takes.
+LEAST_POINTS = 10
+
+
 @dataclass(frozen=True)
 class Detection:
     """What a scanner detects: lower energy bound and energy resolution (keV), crystal depth, radii (mm), and the
@@ -114,6 +118,8 @@ def simulate(points: DataFrame, mu: DataFrame, emission: DataFrame, d: Detection
     adds up its points by cell before anything is exchanged; a cell and its
     mirror image are equal, so one of the two is computed.
     """
+    if points.limit(LEAST_POINTS).count() < LEAST_POINTS:
+        raise ValueError(f"fewer than {LEAST_POINTS} scatter points")
     way = recon.cut(paths(points, mu, emission, d, s, g), "ways")
     one = way.select("point", "density", *[F.col(c).alias(f"{c}1") for c in way.columns if c not in ("point", "density")])
     two = way.select("point", *[F.col(c).alias(f"{c}2") for c in way.columns if c not in ("point", "density")])

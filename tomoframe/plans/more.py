@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tomoframe.functions import geometry as geo
-from tomoframe.operators import convert, convolve, enumerate, poses, recon, solids
+from tomoframe.operators import convert, convolve, enumerate, poses, projectors, recon, solids
 from tomoframe.plans.extra import GATE, _gate
-from tomoframe.plans.slate import DET, LM, VOX2, lors, query, r
-from tomoframe.plans.volumes import FACED, _faced
+from tomoframe.plans.slate import DET, LM, LOR, VOX, VOX2, _sql_siddon, lors, query, r
+from tomoframe.plans.volumes import FACED, _faced, sql_footprint
 from tomoframe.sources import vendor, views
 
 # --- enumeration
@@ -235,3 +235,20 @@ _MIRROR = "(CASE WHEN {p} < 0 THEN -1 - ({p}) WHEN {p} >= {n} THEN {m} - ({p}) E
 def convolve_mirrored(spark, sf):
     e = convolve.convolve(views.voxels(spark, sf, nt=2), KERNEL, border="mirror", block=(4, 3, 3))
     return e.select("t", "vox", r("value", 5).alias("value"))
+
+
+# --- projectors by name
+
+
+@query(
+    "SELECT name, event_id, round(sum(w * value), 3) + 0e0 AS value FROM (SELECT 'dd' AS name, event_id, vox, w FROM dd UNION ALL SELECT 'siddon', event_id, vox, w FROM sm) JOIN voxels USING (vox) GROUP BY ALL",
+    LM, DET, LOR, FACED, sql_footprint("faced"), _sql_siddon("lor", "event_id"), VOX,
+)
+def projectors_by_name(spark, sf):
+    """The same lines and image through either projector."""
+    x, out = views.voxels(spark, sf), None
+    for name in ("dd", "siddon"):
+        e = projectors.Projector(name, crystal=(9.0, 12.0, 0.0)).forward(_faced(spark, sf), x, "event_id")
+        e = e.select(F.lit(name).alias("name"), "event_id", r("value", 3).alias("value"))
+        out = e if out is None else out.unionByName(e)
+    return out
