@@ -40,7 +40,7 @@ WORD_REFERENCE = {
 MIN_CHARS, MIN_WORDS = 200, 50
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.40
 #: Share of common words, over that of the reference, from which a distant text is stuffed.
-STUFFED = 2.0
+STUFFED = 2.5
 #: Word distance above which a text with too few common words lacks them: nine tenths of the least distance (0.387, de)
 #: that a text without any common word has.
 MAX_LACK_DISTANCE = 0.35
