@@ -8,6 +8,7 @@ from tomoframe.plans import extra, files, more, slate, volumes  # noqa: F401
 SF = "/root/testdata/sf0.001"
 ON_LINES = [
     "adjoint_check",
+    "back_project",
 ]
 
 
