@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 ON_LINES = [
     "adjoint_check",
     "back_project",
+    "adjoint_sums",
 ]
 
 
