@@ -10,6 +10,7 @@ ON_LINES = [
     "adjoint_check",
     "back_project",
     "adjoint_sums",
+    "crystal_rays_forward",
 ]
 
 
