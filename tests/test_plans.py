@@ -11,6 +11,7 @@ ON_LINES = [
     "back_project",
     "adjoint_sums",
     "crystal_rays_forward",
+    "forward_project",
 ]
 
 
