@@ -12,6 +12,7 @@ ON_LINES = [
     "adjoint_sums",
     "crystal_rays_forward",
     "forward_project",
+    "em_ratio",
 ]
 
 
