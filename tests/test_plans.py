@@ -13,6 +13,7 @@ ON_LINES = [
     "crystal_rays_forward",
     "forward_project",
     "em_ratio",
+    "lr_back_h",
 ]
 
 
