@@ -14,6 +14,7 @@ ON_LINES = [
     "forward_project",
     "em_ratio",
     "lr_back_h",
+    "lr_back_w",
 ]
 
 
