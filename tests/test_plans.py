@@ -15,6 +15,7 @@ ON_LINES = [
     "em_ratio",
     "lr_back_h",
     "lr_back_w",
+    "lr_forward",
 ]
 
 
