@@ -16,6 +16,7 @@ ON_LINES = [
     "lr_back_h",
     "lr_back_w",
     "lr_forward",
+    "lr_dual_update",
 ]
 
 
