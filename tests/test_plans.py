@@ -17,6 +17,7 @@ ON_LINES = [
     "lr_back_w",
     "lr_forward",
     "lr_dual_update",
+    "lrem_dual",
 ]
 
 
