@@ -18,6 +18,7 @@ ON_LINES = [
     "lr_forward",
     "lr_dual_update",
     "lrem_dual",
+    "lrem_basis",
 ]
 
 
