@@ -19,6 +19,7 @@ ON_LINES = [
     "lr_dual_update",
     "lrem_dual",
     "lrem_basis",
+    "multiray_forward",
 ]
 
 
