@@ -20,6 +20,7 @@ ON_LINES = [
     "lrem_dual",
     "lrem_basis",
     "multiray_forward",
+    "projectors_by_name",
 ]
 
 
