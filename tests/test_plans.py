@@ -21,6 +21,7 @@ ON_LINES = [
     "lrem_basis",
     "multiray_forward",
     "projectors_by_name",
+    "siddon_system_matrix",
 ]
 
 
