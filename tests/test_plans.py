@@ -22,6 +22,7 @@ ON_LINES = [
     "multiray_forward",
     "projectors_by_name",
     "siddon_system_matrix",
+    "sparse_forward",
 ]
 
 
