@@ -23,6 +23,7 @@ ON_LINES = [
     "projectors_by_name",
     "siddon_system_matrix",
     "sparse_forward",
+    "tof_weights",
 ]
 
 
