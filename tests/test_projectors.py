@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +113,16 @@ def test_full_kernel_equals_brute_force(spark):
         kernels.nearest_by_value(df, 7, 0.1, 7)
 
 
+def test_window_neighbours_beside_absent_voxels(spark, tmp_path):
+    """The last slice of the image lacks most of its voxels: patches there are shorter, as in the SQL."""
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT * FROM '{SF}/embeddings.parquet' WHERE vec_id < 237) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = duck.execute(slate.SQL["kernel_knn"]).fetchall()
+    got = slate.kernel_knn(spark, str(tmp_path)).select("i", "j", "k").collect()
+    assert sorted((r.i, r.j, round(r.k, 6)) for r in got) == sorted((i, j, round(k, 6)) for i, j, k in want)
+
+
 def test_bootstrap_split_is_a_partition(spark):
     e = spark.range(1000).withColumnRenamed("id", "event_id")
     parts = recon.bootstrap_split(e, 4, 1).groupBy("part").count().collect()

@@ -37,7 +37,8 @@ def nearest_in_window(image: DataFrame, nx: int, ny: int, nz: int, w: int, p: in
     x, y, z = _coords(F.col("i"), nx, ny)
     e = e.where((x + F.col("o.x")).between(0, nx - 1) & (y + F.col("o.y")).between(0, ny - 1) & (z + F.col("o.z")).between(0, nz - 1))
     e = e.withColumn("j", (F.col("i") + F.col("o.x") + F.col("o.y") * nx + F.col("o.z") * nx * ny).cast("long")).join(patch.select(F.col("vox").alias("j"), F.col("patch").alias("b")), "j")
-    d = F.aggregate(F.zip_with("a", "b", lambda s, t: (s - t) * (s - t)), F.lit(0e0), lambda acc, v: acc + v)
+    # beside voxels that the image lacks, patches are shorter: what only one of two has counts nothing
+    d = F.aggregate(F.zip_with("a", "b", lambda s, t: (s - t) * (s - t)), F.lit(0e0), lambda acc, v: acc + F.coalesce(v, F.lit(0e0)))
     e = e.select("i", "j", d.alias("d")).withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rn") <= most)
     e = e.withColumn("__k", F.exp(F.lit(-1 / sigma2) * F.col("d")))
     return e.select("i", "j", (F.col("__k") / F.sum("__k").over(Window.partitionBy("i").orderBy("d", "j").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("k"))
