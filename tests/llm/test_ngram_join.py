@@ -1,11 +1,14 @@
+import os
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import edge_rows, invented
-from tomoframe.llm import ngram_join
+from tomoframe.llm import ngram_join, shared
 
 
 def shingles(text, width=5):
@@ -146,3 +149,22 @@ def test_word_hash_depends_on_words_only():
     h = WordHasher()
     a, n = h(["one two  three", "", "\x0bthree\ttwo"])
     assert list(n) == [3, 0, 2] and a[2] == a[3] and a[1] == a[4] and len(set(a.tolist())) == 3
+
+
+def _shuffle_files(spark):
+    dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+
+def test_sweep_lets_shuffle_files_of_stored_stages_go(spark):
+    """The files of a stage whose result is written are gone soon after the sweep, not when a heap fills."""
+    old = _shuffle_files(spark)
+    shared.stage_table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "swept")
+    new = _shuffle_files(spark) - old
+    assert new
+    until = time.time() + 20
+    while new & _shuffle_files(spark) and time.time() < until:
+        spark.range(8).collect()  # threads keep hold of the last job until the next one
+        shared.sweep(spark)
+        time.sleep(0.2)
+    assert not new & _shuffle_files(spark)

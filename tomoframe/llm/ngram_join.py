@@ -136,6 +136,7 @@ def _elsewhere(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     each = rows.select(*[c for c in rows.columns if c != "tokens"], F.explode("tokens").alias("token"))
     met = each.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
     met = shared.stage_table(met.select("token", "c"), name)
+    shared.sweep(rows.sparkSession)  # the tokens are exchanged once more below
     told = _split_hot(each.select(*keys, "token"), met, "token", most)
     return told.groupBy(*keys).agg(F.count("*").alias("elsewhere"))
 
@@ -255,6 +256,7 @@ def _matrix_links(left: DataFrame, percent: int) -> DataFrame:
     least_even = F.ceil(2 * percent * F.col("n") / (100 + percent))
     ranked = ranked.where(F.col("i") <= F.col("n") - least + 1).withColumn("indexed", F.col("i") <= F.col("n") - least_even + 1)
     ranked = shared.stage_table(ranked.select("rep", "n", "elsewhere", "label", "whole", "g", "part", "token", "indexed"), "ranked")
+    shared.sweep(left.sparkSession)
     # a member can be the smaller one of a link only if enough of its tokens are elsewhere for one of its own size
     smaller = F.col("indexed") & ((100 + percent) * F.col("elsewhere") >= 2 * percent * F.col("n"))
     index = ranked.where(smaller).groupBy("token", "g", "part").agg(F.first("whole").alias("whole"), F.min("n").alias("small"), F.max("n").alias("large"))
@@ -310,12 +312,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = told.where("elsewhere >= need").select("label", "extra").distinct().withColumn("near", F.lit(True))
     classes = some.groupBy("label", "extra").agg(F.min("doc_id").alias("rep")).join(near, ["label", "extra"], "left")
     classes = shared.stage_table(classes.select("label", "extra", F.coalesce("rep", _unnamed()).alias("rep"), F.coalesce("near", F.lit(False)).alias("near")), "classes")
+    shared.sweep(docs.sparkSession)
     reps = classes.where("near")
     sets = _token_sets(texts.where("doc_id IS NOT NULL").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), width)
     # rows without an id are found by their sets; where all rows have one, this scans statistics only
     bare = _token_sets(texts.where("doc_id IS NULL"), width).withColumn("rep", _unnamed()).dropDuplicates(["rep"]).join(reps.select("rep"), "rep", "left_semi")
     sets = shared.stage_table(sets.unionByName(bare.select(sets.columns)).drop("label", "extra"), "sets")
+    shared.sweep(docs.sparkSession)
     pairs = shared.stage_table(_pivot_links(sets, percent), "pivots")
+    shared.sweep(docs.sparkSession)
     label = shared.stage_table(_stars(pairs.where("linked").select("src", "dst"), "links"), "stars")
     kin = _stars(pairs.select("src", "dst"), "akin").withColumnRenamed("component", "key")
     grouped = sets.join(label, "rep", "left").join(kin, "rep", "left").select("rep", "n", "tokens", F.coalesce("key", "rep").alias("key"), F.coalesce("component", "rep").alias("label"))
@@ -323,8 +328,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = _elsewhere(grouped, ["rep", "n"], "crossed")
     left = cross.where(100 * F.col("elsewhere") >= percent * F.col("n")).select("rep", "elsewhere")
     left = shared.stage_table(grouped.join(left, "rep"), "left")
+    shared.sweep(docs.sparkSession)
     more = shared.stage_table(_matrix_links(left, percent), "matrix")
     whole = shared.connected_components(more, "whole").select(F.col("node").alias("whole"), F.col("component").alias("least"))
+    shared.sweep(docs.sparkSession)
     named = classes.join(label, "rep", "left").select("label", "extra", F.coalesce("component", "rep").alias("own"))
     named = named.join(whole, named["own"] == whole["whole"], "left").select("label", "extra", F.coalesce("least", "own").alias("component"))
     out = seen.select("doc_id", "n", "label", "extra").join(named, ["label", "extra"], "left")
