@@ -67,6 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = shared.stage_table(docs, f"stage{k}")
+            shared.sweep(spark)
     return docs
 
 

@@ -3,10 +3,11 @@ import math
 import re
 from collections import Counter
 
+import corpus_pipeline
 from tests.llm.conftest import SF, invented
 from tests.llm.test_ngram_join import brute
 from tests.llm.test_text_operators import reference_packing_holds
-from tomoframe.llm import quality_rules, toxicity
+from tomoframe.llm import quality_rules, shared, toxicity
 
 
 def test_stages_in_turn(spark):
@@ -156,3 +157,12 @@ def test_run_on_empty_tables(spark, tmp_path, no_docs):
     no_docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_sweeps_after_every_stored_stage(spark, monkeypatch):
+    """The driver's heap and the shuffle files of a stage do not wait for those of the next ones."""
+    swept = []
+    monkeypatch.setattr(shared, "sweep", lambda s: swept.append(s))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("same", lambda spark, docs, sf_dir: docs)] * 3)
+    assert corpus_pipeline.run(spark, SF).count() == shared.read(spark, SF, "documents").count()
+    assert len(swept) == 2

@@ -320,7 +320,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, landmark
 
     got = sample.select("toxic", F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(features, "doc long, toxic int, x array<float>").orderBy("doc", "toxic").toArrow()
     doc, y = got.column("doc").to_numpy(), got.column("toxic").to_numpy()
-    raw = np.array(got.column("x").to_pylist(), np.float64).reshape(len(y), m)
+    raw = got.column("x").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(y), m)  # no Python object a number
+    del got
     # Nyström: features whose inner products are the kernel projected on the landmarks
     kernel = SubsequenceKernel(marks)
     k = kernel(marks)
