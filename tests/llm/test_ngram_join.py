@@ -168,3 +168,22 @@ def test_sweep_lets_shuffle_files_of_stored_stages_go(spark):
         shared.sweep(spark)
         time.sleep(0.2)
     assert not new & _shuffle_files(spark)
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark, edge_docs, monkeypatch):
+    """Without any sweep of the heap, no shuffle file outlives the step that wrote it, and the session keeps its setting."""
+    monkeypatch.setattr(shared, "sweep", lambda s: None)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old, before = _shuffle_files(spark), spark.conf.get(key)
+    left, stage = [], shared.stage_table
+
+    def stored(df, name):
+        out = stage(df, name)
+        left.append(len(_shuffle_files(spark) - old))
+        return out
+
+    monkeypatch.setattr(shared, "stage_table", stored)
+    ngram_join.near_duplicates(edge_docs)
+    assert len(left) > 8
+    assert not any(left)
+    assert spark.conf.get(key) == before

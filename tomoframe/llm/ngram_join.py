@@ -296,31 +296,23 @@ def _stars(links: DataFrame, name: str) -> DataFrame:
     return placed.join(whole, placed["m"] == whole["node"], "left").select(F.col("src").alias("rep"), F.coalesce("component", "m").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, first_share: float = FIRST_SHARE) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
-
-    Null and empty texts have no shingles and are linked with nothing.  Rows
-    that share a doc_id are one vertex.  Rows of a null doc_id link by their
-    texts as all others do; component_id is null only where no linked row has
-    a doc_id.  Very long texts are read whole.  Ties and repeated rows change
-    nothing.  An empty table gives an empty result; other columns are ignored.
-    """
-    texts = arrow_text.id_and_text(docs, id_col, text_col)
+def _components(texts: DataFrame, width: int, percent: int, first_share: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Stored: the rows with their sets' fingerprints, the classes of equal sets, and the components by pivots and by the matrix."""
     seen = shared.stage_table(_shingled(texts, width, percent, first_share), "shingled")
     some = seen.where("n > 0")
     told = _elsewhere(some.select("doc_id", "extra", "need", "label", F.col("first").alias("tokens")), ["doc_id", "label", "extra", "need"], "met")
     near = told.where("elsewhere >= need").select("label", "extra").distinct().withColumn("near", F.lit(True))
     classes = some.groupBy("label", "extra").agg(F.min("doc_id").alias("rep")).join(near, ["label", "extra"], "left")
     classes = shared.stage_table(classes.select("label", "extra", F.coalesce("rep", _unnamed()).alias("rep"), F.coalesce("near", F.lit(False)).alias("near")), "classes")
-    shared.sweep(docs.sparkSession)
+    shared.sweep(texts.sparkSession)
     reps = classes.where("near")
     sets = _token_sets(texts.where("doc_id IS NOT NULL").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), width)
     # rows without an id are found by their sets; where all rows have one, this scans statistics only
     bare = _token_sets(texts.where("doc_id IS NULL"), width).withColumn("rep", _unnamed()).dropDuplicates(["rep"]).join(reps.select("rep"), "rep", "left_semi")
     sets = shared.stage_table(sets.unionByName(bare.select(sets.columns)).drop("label", "extra"), "sets")
-    shared.sweep(docs.sparkSession)
+    shared.sweep(texts.sparkSession)
     pairs = shared.stage_table(_pivot_links(sets, percent), "pivots")
-    shared.sweep(docs.sparkSession)
+    shared.sweep(texts.sparkSession)
     label = shared.stage_table(_stars(pairs.where("linked").select("src", "dst"), "links"), "stars")
     kin = _stars(pairs.select("src", "dst"), "akin").withColumnRenamed("component", "key")
     grouped = sets.join(label, "rep", "left").join(kin, "rep", "left").select("rep", "n", "tokens", F.coalesce("key", "rep").alias("key"), F.coalesce("component", "rep").alias("label"))
@@ -328,10 +320,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = _elsewhere(grouped, ["rep", "n"], "crossed")
     left = cross.where(100 * F.col("elsewhere") >= percent * F.col("n")).select("rep", "elsewhere")
     left = shared.stage_table(grouped.join(left, "rep"), "left")
-    shared.sweep(docs.sparkSession)
+    shared.sweep(texts.sparkSession)
     more = shared.stage_table(_matrix_links(left, percent), "matrix")
     whole = shared.connected_components(more, "whole").select(F.col("node").alias("whole"), F.col("component").alias("least"))
-    shared.sweep(docs.sparkSession)
+    shared.sweep(texts.sparkSession)
+    return seen, classes, label, whole
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, first_share: float = FIRST_SHARE) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
+
+    Null and empty texts have no shingles and are linked with nothing.  Rows
+    that share a doc_id are one vertex.  Rows of a null doc_id link by their
+    texts as all others do; component_id is null only where no linked row has
+    a doc_id.  Very long texts are read whole.  Ties and repeated rows change
+    nothing.  An empty table gives an empty result; other columns are ignored.
+    """
+    with shared.tidied(docs.sparkSession):
+        seen, classes, label, whole = _components(arrow_text.id_and_text(docs, id_col, text_col), width, percent, first_share)
     named = classes.join(label, "rep", "left").select("label", "extra", F.coalesce("component", "rep").alias("own"))
     named = named.join(whole, named["own"] == whole["whole"], "left").select("label", "extra", F.coalesce("least", "own").alias("component"))
     out = seen.select("doc_id", "n", "label", "extra").join(named, ["label", "extra"], "left")
